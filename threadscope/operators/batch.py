@@ -77,11 +77,11 @@ def run_batches(df: DataFrame, prompt: Column, fn: ReplyFn, batch_size: int = 32
                 reply_col: str = "reply", error_col: str = "reply_error") -> DataFrame:
     """Y1 core: add ``reply`` and ``reply_error`` by calling ``fn`` on prompt batches.
 
-    ``partitions`` bounds the number of concurrent callers (``repartition``).
+    The rows are repartitioned round-robin into ``partitions`` tasks (default: the
+    session's default parallelism), which is the number of concurrent callers.
     """
-    staged = df.withColumn("_prompt", prompt)
-    if partitions:
-        staged = staged.repartition(partitions)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    staged = df.repartition(n).withColumn("_prompt", prompt)
     schema = T.StructType(staged.schema.fields + [
         T.StructField(reply_col, T.StringType(), True),
         T.StructField(error_col, T.StringType(), True),

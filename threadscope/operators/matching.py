@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from threadscope.functions.text import collapse_ws, searchable_blob
 from threadscope.operators.filters import acronyms as acronym_filter
-from threadscope.operators.sizing import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, chunk_count
+from threadscope.operators.sizing import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, broadcast_if_small, chunk_count
 
 # --- fixed values -------------------------------------------------------------
 # Characters that delimit an upper-case acronym as a word.
@@ -105,6 +105,7 @@ def match_words(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[s
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
     # only keys travel with the exploded n-grams; matched rows are joined back once
     grams = df.select(*keys, F.explode(word_ngrams(F.coalesce(text, F.lit("")), int(max_n))).alias("_term"))
+    vocab, _ = broadcast_if_small(vocab)
     hits = _best_term(grams.join(vocab, "_term", "inner"), keys, [], "_term", out)
     return df.join(hits, keys, "inner")
 

@@ -63,3 +63,18 @@ def chunk_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
     by_bytes = -(-int(total["b"]) // max_bytes)
     # head-room for uneven hash chunks
     return max(2, int(max(by_rows, by_bytes) * 1.25) + 1)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than the cluster's cores.
+
+    For CPU-heavy per-row work (regex cleaning, substring theta joins) on an input
+    with few splits (e.g. a single Parquet row group). On large inputs, which already
+    have more splits than cores, this is a no-op, so no shuffle is added at scale. An
+    explicit partition count is not coalesced by AQE. Use it on a source read: the
+    partition count of a frame with shuffles is only known after running them.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadscope.functions.text import epoch_seconds
+from threadscope.operators.sizing import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry long text, for per-row regex work: spread over the
+    cores when the file has fewer splits than the session has cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def events_as_objects(spark: SparkSession, d: str) -> DataFrame:
     """Events as flat objects: community = event_type, score = value, num_comments = props.k."""
     e = table(spark, d, "events")

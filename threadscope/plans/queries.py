@@ -95,7 +95,7 @@ def since_date(spark, d):
 
 
 def min_length(spark, d):
-    docs = table(spark, d, "documents").withColumn("clean", clean_text("text"))
+    docs = fx.text_table(spark, d, "documents").withColumn("clean", clean_text("text"))
     return filters.min_text_length(docs, "clean", 20).select(
         "doc_id", F.length("clean").cast("bigint").alias("n_clean"))
 
@@ -114,17 +114,17 @@ def nonempty_body(spark, d):
 
 
 def clean_text_q(spark, d):
-    p = table(spark, d, "pages")
+    p = fx.text_table(spark, d, "pages")
     return p.select("page_id", clean_text(post_text("url", "html")).alias("clean_text"))
 
 
 def one_line_q(spark, d):
-    docs = table(spark, d, "documents")
+    docs = fx.text_table(spark, d, "documents")
     return docs.select("doc_id", truncate_chars(one_line("text"), 300).alias("line"))
 
 
 def shorten_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = fx.text_table(spark, d, "documents")
     return docs.select("doc_id", shorten("text", 200, always=True).alias("short_a"),
                        shorten("text", 4000, always=False).alias("short_b"))
 
@@ -142,7 +142,7 @@ def render_prompt_q(spark, d):
 
 
 def term_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = fx.text_table(spark, d, "documents").select("doc_id", "text")
     terms = table(spark, d, "benchmark").select(F.col("text").alias("term"))
     return matching.match_terms(docs, "text", terms, ["doc_id"]).select("doc_id", "matched_term")
 
