@@ -32,4 +32,5 @@ def tmp_dir(tmp_path):
 
 
 def plan_text(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The formatted physical plan (what ``df.explain("formatted")`` prints)."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadscope.functions import text as T
 from threadscope.operators import filters
+from tests.conftest import plan_text
 
 PY_WS = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
@@ -119,7 +120,7 @@ def test_numeric_terms_and_acronyms(spark):
 
 def test_since_pushes_integer_and_timestamp_literals(spark):
     o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
-    plan = filters.since(o, "o_orderdate", "1998-01-01")._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(filters.since(o, "o_orderdate", "1998-01-01"))
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)]" in plan
     df = spark.createDataFrame([(1420070399,), (1420070400,)], "created_utc long")
     assert [r[0] for r in filters.since(df).collect()] == [1420070400]

@@ -70,14 +70,15 @@ def project_comment(df: DataFrame) -> DataFrame:
 
 
 def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool = True,
-                    max_depth: int | None = None) -> DataFrame:
+                    checkpoint_every: int = 4, max_depth: int | None = None) -> DataFrame:
     """G1: nested threads (VARIANT) -> one post row plus one row per comment at any depth.
 
     The post row is its own parent (``t3_<id>``) with an empty ``comment_id``.
     Comments are reached level by level: each level explodes the ``replies`` array of
-    the previous level (a narrow, shuffle-free step) until a level is empty. Levels
-    are cut with reliable checkpoints so level k does not recompute levels 1..k-1;
-    there is no recursion limit, unlike a recursive CTE.
+    the previous level (a narrow, shuffle-free step) until a level is empty. Every
+    ``checkpoint_every`` levels the frontier is cut with a reliable checkpoint, so a
+    level never re-explodes more than that many levels; there is no recursion limit,
+    unlike a recursive CTE.
     """
     v = F.col(col)
 
@@ -101,10 +102,11 @@ def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool =
     frontier = posts.select("subreddit", "post_id", F.explode("_kids").alias("_node"))
     depth = 0
     while max_depth is None or depth < max_depth:
-        if checkpoint:
-            frontier = reliable_checkpoint(frontier)
-        if frontier.isEmpty():
-            break
+        if not checkpoint or depth % max(1, checkpoint_every) == 0:
+            if checkpoint:
+                frontier = reliable_checkpoint(frontier)
+            if frontier.isEmpty():
+                break
         n = F.col("_node")
         levels.append(frontier.select(*_flat(
             F.col("subreddit"), F.col("post_id"), get(n, "id", "string"),
