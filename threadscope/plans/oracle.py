@@ -411,3 +411,72 @@ SELECT o_orderkey, clean_text, round(coalesce(score, 0) + ln(1 + 0) + 0, 6) AS e
        round(CASE WHEN f IS NOT NULL AND f <> 0 THEN CAST(f - created AS DOUBLE) / 60 END, 6) AS latency_min
 FROM x WHERE author IS NOT NULL AND author NOT IN ('[deleted]') AND length(clean_text) >= 20""",
 }
+
+ORACLE.update({
+    "ontology_terms": """
+SELECT DISTINCT term FROM (
+  SELECT n_name AS term FROM nation
+  UNION ALL SELECT concat_ws(' ', n.n_name, r.r_name) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL SELECT r_name FROM region)""",
+    "term_list_roundtrip": f"""
+SELECT DISTINCT term FROM (SELECT {trim_ws('p_name')} AS term FROM part UNION ALL SELECT {trim_ws('n_name')} FROM nation)
+WHERE term <> ''""",
+    "catalog_csv_roundtrip": "SELECT doc_id, source, text FROM documents",
+    "objects_roundtrip": f"""
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS subreddit, coalesce(CAST(user_id AS VARCHAR), '[deleted]') AS author,
+       CAST(floor(epoch(ts)) AS BIGINT) AS created_utc, coalesce(CAST(floor(value) AS BIGINT), 0) AS score,
+       coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS num_comments,
+       coalesce(event_type, '') AS title, coalesce(props, '') AS body
+FROM events""",
+    "label_files_roundtrip": f"WITH {LABEL_SETS_CTE} SELECT source, doc_id, consensus_labels FROM cons",
+    "period_pruning": """
+SELECT event_id, event_type, value FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-07'""",
+    "ingest_stream": "SELECT event_id, event_type, value FROM events",
+    "first_last_stream": """
+SELECT l_orderkey AS o_orderkey, min(CAST(epoch(l_shipdate) AS BIGINT)) AS first_comment_utc,
+       max(CAST(epoch(l_shipdate) AS BIGINT)) AS last_comment_utc
+FROM lineitem GROUP BY l_orderkey""",
+})
+
+ORACLE.update({
+    "discovery_candidates": f"""
+WITH cat AS (SELECT p_partkey, p_name AS name, p_type AS title, p_brand AS public_description FROM part),
+vocab AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part
+                                     UNION ALL SELECT p_type FROM part UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part)
+          WHERE NOT regexp_full_match(term, '(?:[0-9/.,-]|{WS})+')),
+v1 AS (SELECT DISTINCT lower(term) AS t FROM vocab WHERE term IS NOT NULL AND term <> ''),
+m AS (SELECT c.p_partkey, c.name, c.public_description, v1.t,
+             row_number() OVER (PARTITION BY c.name ORDER BY length(v1.t) DESC, v1.t) AS rn
+      FROM cat c JOIN v1 ON contains(lower(concat_ws(' ', coalesce(c.name, ''), coalesce(c.title, ''),
+                                                     coalesce(c.public_description, ''))), v1.t)),
+hit AS (SELECT p_partkey, name, public_description, t AS matched_term FROM m WHERE rn = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY matched_term, p_partkey) AS rn FROM hit),
+fresh AS (SELECT * FROM w WHERE rn = 1 AND name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_type = 'PROMO'))
+SELECT name, matched_term,
+       CASE WHEN contains(name || ': ' || public_description, 'ring') THEN 'yes'
+            WHEN contains(name || ': ' || public_description, 'bolt') THEN 'no' ELSE 'error' END AS gpt_label,
+       CASE WHEN length(matched_term) % 2 = 1 THEN 'yes' ELSE 'no' END AS keep,
+       '1 in ' || CAST(length(matched_term) AS VARCHAR) || '000' AS prevalence_est
+FROM fresh""",
+    "study_latency_by_label": """
+WITH c AS (SELECT l_orderkey, min(CAST(epoch(l_shipdate) AS BIGINT)) AS f FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT o.o_orderkey AS post_id, o.o_orderpriority AS g, o.o_orderstatus AS st, cu.c_mktsegment AS author,
+             o.o_totalprice / 1000.0 AS score, CAST(epoch(o.o_orderdate) AS BIGINT) AS created
+      FROM orders o LEFT JOIN customer cu ON o.o_custkey = cu.c_custkey),
+e AS (SELECT p.*, CASE WHEN c.f IS NOT NULL AND c.f <> 0 THEN CAST(c.f - p.created AS DOUBLE) / 60 END AS latency_min,
+             coalesce(score, 0) + ln(1 + 0) + 0 AS eng
+      FROM p LEFT JOIN c ON p.post_id = c.l_orderkey
+      WHERE lower(coalesce(author, '')) NOT IN ('[deleted]', '[removed]', '')),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY eng DESC, post_id) AS rn,
+             count(*) OVER (PARTITION BY g) AS n FROM e),
+s AS (SELECT * FROM r WHERE n >= 10 AND rn <= least(20, greatest(1, ceil(n * 10 / 100)))),
+lab AS (SELECT latency_min,
+               concat_ws(';', CASE WHEN author IN ('BUILDING', 'MACHINERY') THEN 'clinical' END,
+                         CASE WHEN author NOT IN ('BUILDING', 'MACHINERY') AND st <> 'F' THEN 'experience' END,
+                         CASE WHEN st = 'F' THEN 'news' END) AS consensus_labels
+        FROM s),
+x AS (SELECT unnest(string_split(consensus_labels, ';')) AS label, latency_min FROM lab)
+SELECT label, count(*) AS n_posts, round(quantile_cont(latency_min, 0.5), 6) AS median_min,
+       round(quantile_cont(latency_min, 0.75) - quantile_cont(latency_min, 0.25), 6) AS iqr_min
+FROM x WHERE label <> '' GROUP BY label""",
+})

@@ -472,3 +472,234 @@ QUERIES: dict[str, Query] = {
     "crosscheck_batch": crosscheck_batch,
     "preprocess_posts": preprocess_posts,
 }
+
+
+# --- sources and sinks, as round trips through the session's shared scratch folder ---
+
+
+def _xml_text(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+_NS = ('xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" '
+       'xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:oboInOwl="http://www.geneontology.org/formats/oboInOwl#"')
+
+
+def ontology_terms(spark, d):
+    """Nations and regions written as one ontology XML document, read back as terms."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_ontology_terms
+
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit(1).alias("_part"), F.concat(
+        F.lit('<owl:Class rdf:about="n'), F.col("n_nationkey").cast("string"), F.lit('">'),
+        F.lit('<rdfs:label xml:lang="en">'), _xml_text(F.col("n_name")), F.lit("</rdfs:label>"),
+        F.lit('<rdfs:label xml:lang="fr">'), _xml_text(F.lower("n_name")), F.lit("</rdfs:label>"),
+        F.lit('<oboInOwl:hasExactSynonym xml:lang="fr">'), _xml_text(F.concat_ws(" ", "n_name", "r_name")),
+        F.lit("</oboInOwl:hasExactSynonym></owl:Class>")).alias("value"))
+    regions = r.select(F.lit(1).alias("_part"), F.concat(
+        F.lit('<owl:AnnotationProperty rdf:about="r'), F.col("r_regionkey").cast("string"), F.lit('">'),
+        F.lit("<rdfs:label> "), _xml_text(F.col("r_name")), F.lit(" </rdfs:label></owl:AnnotationProperty>"))
+        .alias("value"))
+    head = spark.createDataFrame([(0, f'<?xml version="1.0"?>\n<rdf:RDF {_NS}>'), (2, "</rdf:RDF>")],
+                                 "_part int, value string")
+    path = scratch_path(spark, "ontology")
+    # an ontology is a single XML document (one root): header, subjects, footer in one file
+    head.unionByName(nations).unionByName(regions).orderBy("_part", "value").coalesce(1) \
+        .select("value").write.text(path)
+    return read_ontology_terms(spark, path).orderBy("term")
+
+
+def term_list_roundtrip(spark, d):
+    """K1 + S2: a sorted term file written and read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_term_list
+    from threadscope.sources.sinks import write_term_list
+
+    terms = relations.union_inputs(
+        table(spark, d, "part").select(F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")).alias("term")),
+        table(spark, d, "nation").select(F.col("n_name").alias("term")))
+    path = scratch_path(spark, "terms")
+    write_term_list(terms, path)
+    return read_term_list(spark, path)
+
+
+def catalog_csv_roundtrip(spark, d):
+    """K5 + S6: multi-line, quoted text through CSV and back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_catalog_csv
+    from threadscope.sources.sinks import write_csv
+
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    path = scratch_path(spark, "csv")
+    write_csv(docs, path)
+    return read_catalog_csv(spark, path, docs.schema)
+
+
+def objects_roundtrip(spark, d):
+    """P1 + K3 + S5 + F7: events as submission objects, gzip JSON per community, read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_flat_objects
+    from threadscope.sources.sinks import write_objects
+
+    e = table(spark, d, "events")
+    objs = threads.project_submission(e.select(
+        F.col("event_type").alias("subreddit"), F.col("event_id").cast("string").alias("id"),
+        F.col("user_id").cast("string").alias("author"), epoch_seconds("ts").alias("created_utc"),
+        F.floor("value").cast("bigint").alias("score"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("num_comments"),
+        F.col("event_type").alias("title"), F.col("props").alias("selftext")))
+    path = scratch_path(spark, "objects")
+    write_objects(objs, path)
+    back = filters.posts_only(read_flat_objects(spark, path))
+    return back.select("id", "subreddit", "author", "created_utc", "score", "num_comments", "title", "body")
+
+
+def label_files_roundtrip(spark, d):
+    """K5 + S8 + A5: the three label sets as per-model CSV folders, read back and voted."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_label_files
+    from threadscope.sources.sinks import write_csv
+
+    root = scratch_path(spark, "labels")
+    paths = []
+    for model, f in fx.label_sets(spark, d).items():
+        p = f"{root}/labels_{model}"
+        write_csv(f.select(F.col("source").alias("subreddit"), F.col("doc_id").alias("post_id"), "labels"), p)
+        paths.append(p)
+    long = read_label_files(spark, paths, keys=["subreddit", "post_id"])
+    cons = consensus.consensus_labels(long, ["subreddit", "post_id"], len(paths))
+    return cons.select(F.col("subreddit").alias("source"), F.col("post_id").cast("bigint").alias("doc_id"),
+                       "consensus_labels")
+
+
+def period_pruning(spark, d):
+    """Events partitioned by day; only the first week is read (partition pruning)."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_by_period
+
+    e = table(spark, d, "events")
+    path = scratch_path(spark, "by_day")
+    e.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.partitionBy("day").parquet(path)
+    days = [f"2024-01-0{i}" for i in range(1, 8)]
+    return read_by_period(spark, path, days, col="day").select("event_id", "event_type", "value")
+
+
+# --- incremental runs ---------------------------------------------------------------
+
+
+def ingest_stream(spark, d):
+    """I1 + I3: events arrive as two file batches; two available-now runs each take only new files."""
+    from threadscope.session import scratch_path
+    from threadscope.streaming.incremental import dedupe_stream, ingest_new_files
+
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    root = scratch_path(spark, "ingest")
+    src, sink, ck = f"{root}/src", f"{root}/sink", f"{root}/ck"
+    first = F.col("event_type").isin("view", "click")
+    e.where(first).write.parquet(f"{src}/batch=1")
+    dedupe = lambda s: dedupe_stream(s.withColumn("_k", F.col("event_id").cast("string")), "_k").drop("_k")  # noqa
+    ingest_new_files(spark, f"{src}/*", sink, ck, e.schema, transform=dedupe)
+    e.where(~first).write.parquet(f"{src}/batch=2")
+    e.where(first).write.parquet(f"{src}/batch=3")  # replayed batch: every key already seen
+    ingest_new_files(spark, f"{src}/*", sink, ck, e.schema, transform=dedupe)
+    return spark.read.parquet(sink)
+
+
+def first_last_stream(spark, d):
+    """I4: running first/last reply per post over two batches of line items."""
+    from threadscope.session import scratch_path
+    from threadscope.streaming.incremental import first_last_reply_stream, latest_first_last
+
+    c = fx.line_comments(spark, d)
+    root = scratch_path(spark, "firstlast")
+    src, sink, ck = f"{root}/src", f"{root}/sink", f"{root}/ck"
+    early = F.col("created_utc") < F.lit(epoch_seconds(F.lit("1998-01-01 00:00:00")))
+    c.where(early).write.parquet(f"{src}/batch=1")
+    first_last_reply_stream(spark, f"{src}/*", c.schema, sink, ck)
+    c.where(~early).write.parquet(f"{src}/batch=2")
+    first_last_reply_stream(spark, f"{src}/*", c.schema, sink, ck)
+    return latest_first_last(spark, sink).select(F.col("post_id").alias("o_orderkey"), "first_comment_utc",
+                                                 "last_comment_utc")
+
+
+QUERIES.update({
+    "ontology_terms": ontology_terms,
+    "term_list_roundtrip": term_list_roundtrip,
+    "catalog_csv_roundtrip": catalog_csv_roundtrip,
+    "objects_roundtrip": objects_roundtrip,
+    "label_files_roundtrip": label_files_roundtrip,
+    "period_pruning": period_pruning,
+    "ingest_stream": ingest_stream,
+    "first_last_stream": first_last_stream,
+})
+
+
+# --- composed plans -------------------------------------------------------------
+
+
+def _keyword_model(prompts):
+    return ["rare" if "ring" in p else ("common" if "bolt" in p else "not sure") for p in prompts]
+
+
+def _prevalence_model(terms):
+    return [f'```json\n{{"is_rare": "{"yes" if len(t) % 2 else "no"}", "prevalence": "1 in {len(t)}000"}}\n```'
+            for t in terms]
+
+
+def discovery_candidates(spark, d):
+    """Discovery plan on the part catalogue: candidates, both verdicts."""
+    from threadscope.plans.discovery import find_communities, verify_communities
+
+    part = table(spark, d, "part")
+    catalog = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("title"),
+                          F.col("p_brand").alias("public_description"), F.col("p_size").alias("subscribers"))
+    vocab = relations.union_inputs(part.select(F.explode(F.split("p_name", " ")).alias("term")),
+                                   part.select(F.col("p_type").alias("term")),
+                                   part.select(F.col("p_size").cast("string").alias("term")))
+    done = part.where((F.col("p_size") == 50) & (F.col("p_type") == "PROMO")).select(F.col("p_name").alias("name"))
+    cands = find_communities(catalog, vocab, order=["matched_term", "p_partkey"], done=done)
+    prompt = F.concat(F.col("name"), F.lit(": "), F.col("public_description"))
+    out = verify_communities(cands, _keyword_model, _prevalence_model, prompt)
+    return out.select("name", "matched_term", "gpt_label", "keep", "prevalence_est")
+
+
+def _model_a(prompts):
+    return [json.dumps({"labels": ["clinical"] + (["news"] if "status=F" in p else [])}) for p in prompts]
+
+
+def _model_b(prompts):
+    out = []
+    for p in prompts:
+        lab = ["clinical"] if ("segment=BUILDING" in p or "segment=MACHINERY" in p) else ["experience"]
+        out.append("Sure: " + json.dumps({"labels": lab}) + " ok")
+    return out
+
+
+def _model_c(prompts):
+    return [json.dumps({"labels": ["news"] if "status=F" in p else ["experience", "spam"]}) for p in prompts]
+
+
+def study_latency_by_label(spark, d):
+    """The study plan on orders/line items: sample, three labellers, vote, latency by label."""
+    from threadscope.plans.study import Labeller, run_study
+
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer")
+    posts = o.join(c, o["o_custkey"] == c["c_custkey"], "left").select(
+        F.col("o_orderpriority").alias("subreddit"), F.col("o_orderkey").alias("post_id"),
+        F.col("c_mktsegment").alias("author"), F.col("o_orderstatus").alias("status"),
+        (F.col("o_totalprice") / 1000.0).alias("score"), epoch_seconds("o_orderdate").alias("created_utc"))
+    labellers = {"A": Labeller(_model_a, "strict"), "B": Labeller(_model_b, "first_object"),
+                 "C": Labeller(_model_c, "fallback")}
+    prompt = lambda _body: F.concat(F.lit("status="), F.col("status"), F.lit(" segment="), F.col("author"))  # noqa
+    res = run_study(posts, fx.line_comments(spark, d), labellers, prompt=prompt, text_col="status")
+    return res.latency.select("label", "n_posts", _r6(F.col("median_min")).alias("median_min"),
+                              _r6(F.col("iqr_min")).alias("iqr_min"))
+
+
+QUERIES.update({
+    "discovery_candidates": discovery_candidates,
+    "study_latency_by_label": study_latency_by_label,
+})

@@ -149,15 +149,18 @@ def read_label_files(spark: SparkSession, paths: Sequence[str], keys: Sequence[s
     if len(paths) < 2:
         raise ValueError("need at least two label files for a consensus")
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("nullValue", None).option("emptyValue", ""))
+         .option("nullValue", "\u0000").option("emptyValue", ""))
+    for p in paths:  # header check per file (a file lacking a column would read it as NULL)
+        cols = r.csv(p).columns
+        missing = [k for k in (*keys, labels_col) if k not in cols]
+        if missing:
+            raise ValueError(f"{p} lacks columns {missing}")
     raw = r.csv(paths)
-    missing = [k for k in (*keys, labels_col) if k not in raw.columns]
-    if missing:
-        raise ValueError(f"label files lack columns {missing}")
-    # per-file header check: a file without the columns would read them as NULL
-    return raw.select(*keys, model_name_from_path(F.col("_metadata.file_name")).alias("model"),
-                      F.coalesce(F.col(labels_col), F.lit("")).alias("labels"),
-                      F.col("_metadata.file_name").alias("source_file"))
+    path = F.col("_metadata.file_path")
+    # a folder written by Spark holds part files: the folder names the model
+    folder = F.regexp_extract(path, r"([^/]+)/part-[^/]*$", 1)
+    model = model_name_from_path(F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")))
+    return raw.select(*keys, model.alias("model"), F.coalesce(F.col(labels_col), F.lit("")).alias("labels"))
 
 
 def read_by_period(spark: SparkSession, root: str, months: Sequence[str] | None = None,

@@ -17,7 +17,8 @@ def write_term_list(df: DataFrame, path: str, col: str = "term", mode: str = "ov
 
 def append_candidates(df: DataFrame, path: str) -> None:
     """K2: append rows to a header CSV folder (every part file carries its header)."""
-    (df.write.mode("append").option("header", True).option("escape", '"').csv(path))
+    (df.write.mode("append").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_objects(df: DataFrame, path: str, by: str = "subreddit", mode: str = "overwrite") -> None:
@@ -36,7 +37,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K5: header CSV; booleans written as 1/0 as flat tables expect."""
     out = df.select(*[F.col(f"`{f.name}`").cast("int").alias(f.name) if f.dataType.typeName() == "boolean"
                       else F.col(f"`{f.name}`") for f in df.schema.fields])
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (out.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 _VERSION = re.compile(r"v=(\d+)$")
