@@ -31,6 +31,18 @@ def test_match_terms_chunked_equals_broadcast(spark):
     assert a == b and len(a) == 26
 
 
+def test_match_terms_qgram_equals_nested_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("text").alias("term"))
+    words = bench.select(F.explode(F.split("term", " ")).alias("term")).distinct()
+    vocab = bench.unionByName(words).unionByName(_terms(spark, ["de", "the", "é", "ion d"]))
+    a = sorted(tuple(r) for r in matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="nested_loop")
+               .select("doc_id", "matched_term").collect())
+    b = sorted(tuple(r) for r in matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="qgram", q=4)
+               .select("doc_id", "matched_term").collect())
+    assert a == b and len(a) > 900
+
+
 def test_match_terms_plan_is_broadcast_nested_loop(spark):
     texts = _texts(spark, [(1, "a b")])
     plan = plan_text(matching.match_terms(texts, "txt", _terms(spark, ["a"]), ["id"]))

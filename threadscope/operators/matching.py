@@ -16,13 +16,23 @@ from pyspark.sql import functions as F
 
 from threadscope.functions.text import collapse_ws, searchable_blob
 from threadscope.operators.filters import acronyms as acronym_filter
-from threadscope.operators.sizing import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, broadcast_if_small, chunk_count
+from threadscope.operators.sizing import (
+    DEFAULT_MAX_BYTES,
+    DEFAULT_MAX_ROWS,
+    broadcast_if_small,
+    chunk_count,
+    measure,
+)
 
 # --- fixed values -------------------------------------------------------------
 # Characters that delimit an upper-case acronym as a word.
 ACRONYM_DELIMITER = "[^A-Za-z0-9]+"
 # Number of relevance hits a term without an exact name hit may add.
 FALLBACK_K = 3
+# Substring matching: q-gram anchor length, and the vocabulary size up to which the
+# nested-loop strategy is chosen automatically.
+QGRAM = 5
+NESTED_LOOP_MAX_TERMS = 512
 # -----------------------------------------------------------------------------
 
 
@@ -47,31 +57,66 @@ def _terms(terms: DataFrame, term_col: str, fold: bool) -> DataFrame:
 
 def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[str],
                 term_col: str = "term", out: str = "matched_term", fold: bool = True,
-                max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                strategy: str = "auto", q: int = QGRAM, max_rows: int = DEFAULT_MAX_ROWS,
+                max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """Rows whose (lower-cased) text contains a term, with one matched term each.
 
     Unmatched rows are dropped. ``keys`` must identify a row of ``df``. The matched
     term is the lower-cased term; the longest wins, then code-point order (the
-    choice is deterministic). Plan: BroadcastNestedLoopJoin with ``contains``;
-    a vocabulary beyond the bounded check is split into hash chunks, each broadcast
-    on its own and the matches unioned.
+    choice is deterministic). Two exact strategies:
+
+    * ``nested_loop``: BroadcastNestedLoopJoin with ``contains`` — every row is tested
+      against every term, O(rows x terms); a vocabulary beyond the bounded size check
+      is split into hash chunks, each broadcast on its own.
+    * ``qgram``: each term of at least ``q`` characters is anchored on its first ``q``
+      characters; texts explode their distinct q-grams and hash-join the anchors,
+      and only candidate (row, term) pairs are verified with ``contains`` — work grows
+      with text length, not with vocabulary size. Shorter terms use the nested loop.
+
+    ``auto`` takes the nested loop for vocabularies up to ``NESTED_LOOP_MAX_TERMS``.
     """
     keys = list(keys)
     carry = [c for c in df.columns if c not in keys]
     vocab = _terms(terms, term_col, fold)
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
     left = df.withColumn("_text", text)
+    if strategy == "auto":
+        size = measure(vocab, NESTED_LOOP_MAX_TERMS)
+        strategy = "nested_loop" if size is not None else "qgram"
+    if strategy == "nested_loop":
+        pairs = _nested_loop_pairs(left, vocab, max_rows, max_bytes)
+    elif strategy == "qgram":
+        short = vocab.where(F.length("_term") < q)
+        anchored = vocab.where(F.length("_term") >= q).withColumn("_gram", F.substring("_term", 1, q))
+        anchored, _ = broadcast_if_small(anchored, max_rows, max_bytes)
+        # every overlapping q-gram in one linear regex pass (a zero-width lookahead that
+        # captures q code points); position-wise substr would rescan the string per call
+        grams = F.regexp_extract_all(F.col("_text"), F.lit("(?s)(?=(.{%d}))" % q), 1)
+        # only keys travel with the exploded q-grams; each (row, anchor) pair appears once
+        probes = left.select(*keys, F.explode(F.array_distinct(grams)).alias("_gram"))
+        # candidate terms per row (at most the vocabulary), joined to the text once per row
+        cands = (probes.join(anchored, "_gram", "inner").groupBy(*keys)
+                 .agg(F.collect_list("_term").alias("_cands")))
+        hits = cands.join(left, keys, "inner").select(
+            *keys, *[F.col(f"`{c}`") for c in carry], "_text",
+            F.explode(F.filter("_cands", lambda t: F.col("_text").contains(t))).alias("_term"))
+        pairs = hits.unionByName(_nested_loop_pairs(left, short, max_rows, max_bytes))
+    else:
+        raise ValueError("strategy must be 'auto', 'nested_loop' or 'qgram'")
+    return _best_term(pairs.drop("_text"), keys, carry, "_term", out)
+
+
+def _nested_loop_pairs(left: DataFrame, vocab: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
     cond = F.col("_text").contains(F.col("_term"))
     k = chunk_count(vocab, max_rows, max_bytes)
     if k == 1:
-        pairs = left.join(F.broadcast(vocab), cond, "inner")
-    else:
-        chunked = vocab.withColumn("_chunk", F.pmod(F.xxhash64("_term"), F.lit(k)))
-        pairs = None
-        for i in range(k):
-            part = left.join(F.broadcast(chunked.filter(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
-            pairs = part if pairs is None else pairs.unionByName(part)
-    return _best_term(pairs.drop("_text"), keys, carry, "_term", out)
+        return left.join(F.broadcast(vocab), cond, "inner")
+    chunked = vocab.withColumn("_chunk", F.pmod(F.xxhash64("_term"), F.lit(k)))
+    pairs = None
+    for i in range(k):
+        part = left.join(F.broadcast(chunked.filter(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs
 
 
 def word_ngrams(text: Column, max_n: int) -> Column:

@@ -212,6 +212,13 @@ SELECT doc_id, 'Community r/' || coalesce(source, '') || ' (' || coalesce(lang,
 FROM documents""",
     "term_match": """
 WITH t AS (SELECT DISTINCT lower(text) AS term FROM benchmark WHERE text IS NOT NULL AND text <> ''),
+m AS (SELECT d.doc_id, t.term, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(t.term) DESC, t.term) AS rn
+      FROM documents d JOIN t ON contains(lower(d.text), t.term))
+SELECT doc_id, term AS matched_term FROM m WHERE rn = 1""",
+    "term_match_qgram": """
+WITH t AS (SELECT DISTINCT lower(term) AS term
+           FROM (SELECT text AS term FROM benchmark UNION ALL SELECT unnest(string_split(text, ' ')) FROM benchmark)
+           WHERE term IS NOT NULL AND term <> ''),
 m AS (SELECT d.doc_id, t.term, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(t.term) DESC, t.term) AS rn
       FROM documents d JOIN t ON contains(lower(d.text), t.term))
 SELECT doc_id, term AS matched_term FROM m WHERE rn = 1""",

@@ -147,6 +147,15 @@ def term_match(spark, d):
     return matching.match_terms(docs, "text", terms, ["doc_id"]).select("doc_id", "matched_term")
 
 
+def term_match_qgram(spark, d):
+    """J1 with a vocabulary of passages and all their words (the q-gram strategy)."""
+    docs = fx.text_table(spark, d, "documents").select("doc_id", "text")
+    b = table(spark, d, "benchmark")
+    vocab = b.select(F.col("text").alias("term")).unionByName(
+        b.select(F.explode(F.split("text", " ")).alias("term")))
+    return matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="qgram").select("doc_id", "matched_term")
+
+
 def _word_vocab(spark, d):
     part = table(spark, d, "part")
     return part.select(F.lower("p_type").alias("term")).unionByName(
@@ -437,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "shorten_text": shorten_text,
     "render_prompt": render_prompt_q,
     "term_match": term_match,
+    "term_match_qgram": term_match_qgram,
     "term_match_words": term_match_words,
     "acronym_match": acronym_match,
     "acronym_match_parity": acronym_match_parity,
