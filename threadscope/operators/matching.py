@@ -120,15 +120,15 @@ def _nested_loop_pairs(left: DataFrame, vocab: DataFrame, max_rows: int, max_byt
 
 
 def word_ngrams(text: Column, max_n: int) -> Column:
-    """Distinct space-delimited word n-grams (n = 1..max_n) of whitespace-collapsed text."""
-    words = F.split(collapse_ws(text), " ")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.lit(max_n)),
-        lambda n: F.when(F.size(words) >= n,
-                         F.transform(F.sequence(F.lit(0), F.size(words) - n),
-                                     lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
-        .otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(grams))
+    """Distinct space-delimited word n-grams (n = 1..max_n) of whitespace-collapsed text.
+
+    One linear regex pass per n: a lookahead anchored at each word start captures the
+    next n words (no per-element higher-order function over the word array).
+    """
+    s = collapse_ws(text)
+    runs = [F.regexp_extract_all(s, F.lit("(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"), 1)
+            for n in range(1, max_n + 1)]
+    return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
 
 
 def match_words(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[str],
