@@ -46,6 +46,11 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
                        .cast("bigint").alias("duplicate_rows"))
 
 
+def select_labels_only(df: DataFrame, keys: Sequence[str], model: str, labels: str = "labels") -> DataFrame:
+    """Key columns plus one labels column named after the model (wide form)."""
+    return df.select(*keys, F.col(labels).alias(model))
+
+
 def label_long(frames: Mapping[str, DataFrame], keys: Sequence[str], labels: str = "labels",
                dedupe_order: Sequence[str | Column] | None = None) -> DataFrame:
     """P9 + U2: per-model frames -> one long table ``(keys..., model, labels)``.

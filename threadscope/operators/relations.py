@@ -59,3 +59,15 @@ def intersect_keys(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFram
         tagged = part if tagged is None else tagged.unionByName(part)
     return (tagged.groupBy(*keys).agg(F.size(F.collect_set("_src")).alias("_m"))
             .filter(F.col("_m") == len(frames)).select(*keys))
+
+
+def distinct_terms(df: DataFrame, col: str = "term") -> DataFrame:
+    """A10: the set of stripped, non-blank terms."""
+    from threadscope.functions.text import trim_ws
+
+    return df.select(trim_ws(F.col(col)).alias(col)).where(F.col(col) != "").distinct()
+
+
+def sorted_terms(df: DataFrame, col: str = "term") -> DataFrame:
+    """Terms in code-point order (binary string ordering)."""
+    return df.orderBy(F.col(col).asc())

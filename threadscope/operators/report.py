@@ -52,3 +52,13 @@ def annotate_posts(posts: DataFrame, labels: DataFrame, keys: Sequence[str],
                    col: str = "consensus_labels") -> DataFrame:
     """All posts with their consensus labels (NULL when unlabelled)."""
     return posts.join(labels.select(*keys, col), list(keys), "left")
+
+
+def verdict_counts(df: DataFrame, col: str = "gpt_label", positive: str = "yes") -> DataFrame:
+    """One row with the number of rows and of positive verdicts (one aggregate)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(col) == positive).alias("n_positive"))
+
+
+def verdict_breakdown(df: DataFrame, col: str = "verdict", out: str = "n") -> DataFrame:
+    """Rows per verdict value."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias(out))

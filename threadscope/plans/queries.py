@@ -197,8 +197,8 @@ def numeric_terms(spark, d):
         table(spark, d, "part").select(F.col("p_name").alias("term")),
         table(spark, d, "nation").select(F.col("n_name").alias("term")),
         table(spark, d, "region").select(F.col("r_name").alias("term")),
-    ).select(trim_ws("term").alias("term")).where(F.col("term") != "")
-    return filters.drop_numeric_terms(raw, "term").distinct()
+    )
+    return filters.drop_numeric_terms(relations.distinct_terms(raw, "term"), "term")
 
 
 def lookup_exact(spark, d):
@@ -345,7 +345,7 @@ def kept_names(spark, d):
 
 def keyword_verdict(spark, d):
     r = fx.keyword_replies(spark, d).withColumn("verdict", verdict_from_keyword("reply"))
-    return r.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return report.verdict_breakdown(r, "verdict")
 
 
 def yield_curve(spark, d):
