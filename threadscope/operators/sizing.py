@@ -1,4 +1,6 @@
-"""Size checks before a broadcast.
+"""Plan helpers: size checks before a broadcast, spreading single-split inputs, and
+computing an expensive column once.
+
 
 A side is broadcast only after a bounded check proves it small: the check reads at
 most ``max_rows + 1`` rows (``limit`` stops the scan early), so it stays cheap even
@@ -78,3 +80,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def with_computed(df: DataFrame, name: str, col) -> DataFrame:
+    """Add an expensive column that later filters read, evaluated exactly once.
+
+    Catalyst pushes a filter on a projected column below the projection by inlining
+    the expression (so e.g. a regex chain runs twice, in the filter and in the output)
+    and below a round-robin repartition (back into the scan task). A one-element
+    lateral view is a boundary for both: filters on generator output stay above it.
+    """
+    return df.select("*", F.explode(F.array(col)).alias(name))

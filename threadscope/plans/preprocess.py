@@ -14,6 +14,7 @@ from threadscope.functions.text import clean_text, post_text
 from threadscope.operators.filters import DEFAULT_SINCE, drop_deleted_authors, min_text_length, since
 from threadscope.operators.latency import enrich_first_last, with_latency
 from threadscope.operators.sampling import with_engagement
+from threadscope.operators.sizing import with_computed
 
 
 def clean_posts(posts: DataFrame, comments: DataFrame | None = None, since_date: str = DEFAULT_SINCE,
@@ -29,7 +30,7 @@ def clean_posts(posts: DataFrame, comments: DataFrame | None = None, since_date:
         df = enrich_first_last(df, comments)
     elif "first_comment_utc" not in df.columns:
         df = df.withColumn("first_comment_utc", F.lit(None).cast("bigint"))
-    df = df.withColumn("clean_text", clean_text(post_text(title, selftext)))
+    df = with_computed(df, "clean_text", clean_text(post_text(title, selftext)))
     df = drop_deleted_authors(df, "author", case_insensitive=False)
     df = min_text_length(df, "clean_text", min_chars)
     df = with_engagement(df)

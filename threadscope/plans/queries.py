@@ -38,6 +38,7 @@ from threadscope.operators import (
     sampling,
     threads,
 )
+from threadscope.operators.sizing import with_computed
 from threadscope.plans import fixtures as fx
 from threadscope.plans.fixtures import table
 
@@ -95,7 +96,7 @@ def since_date(spark, d):
 
 
 def min_length(spark, d):
-    docs = fx.text_table(spark, d, "documents").withColumn("clean", clean_text("text"))
+    docs = with_computed(fx.text_table(spark, d, "documents"), "clean", clean_text("text"))
     return filters.min_text_length(docs, "clean", 20).select(
         "doc_id", F.length("clean").cast("bigint").alias("n_clean"))
 
