@@ -132,3 +132,16 @@ def test_author_filters(spark):
     strict = sorted(str(r[0]) for r in filters.drop_deleted_authors(df, case_insensitive=False).collect())
     assert loose == ["NA", "None", "bob"]
     assert strict == sorted(["[Removed]", "", "None", "NA", "bob"])
+
+
+def test_since_timestamp_instant_is_zone_free(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([("2014-12-31T23:59:59Z",), ("2015-01-01T00:00:00Z",)], "s string") \
+            .select(F.col("s").cast("timestamp").alias("t"))
+        assert filters.since(df, "t").count() == 1
+        ntz = spark.createDataFrame([("2015-01-01 00:00:00",), ("2014-12-31 23:59:59",)], "s string") \
+            .select(F.col("s").cast("timestamp_ntz").alias("t"))
+        assert filters.since(ntz, "t").count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -30,7 +30,7 @@ from threadscope.functions.labels import (
 from threadscope.functions.text import shorten
 from threadscope.functions.verdicts import fenced_verdict, verdict_from_keyword
 from threadscope.operators.sizing import broadcast_if_small
-from threadscope.session import reliable_checkpoint
+from threadscope.session import reliable_checkpoint, ship_package
 
 ReplyFn = Callable[[list[str]], Sequence[str | None]]
 
@@ -80,6 +80,7 @@ def run_batches(df: DataFrame, prompt: Column, fn: ReplyFn, batch_size: int = 32
     The rows are repartitioned round-robin into ``partitions`` tasks (default: the
     session's default parallelism), which is the number of concurrent callers.
     """
+    ship_package(df.sparkSession)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     staged = df.repartition(n).withColumn("_prompt", prompt)
     schema = T.StructType(staged.schema.fields + [

@@ -35,8 +35,11 @@ def since(df: DataFrame, col: str = "created_utc", date: str = DEFAULT_SINCE) ->
     """
     day = dt.date.fromisoformat(date)
     dtype = df.schema[col].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        lit = F.lit(dt.datetime(day.year, day.month, day.day)).cast(dtype.simpleString())
+    if isinstance(dtype, T.TimestampNTZType):
+        lit = F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
+    elif isinstance(dtype, T.TimestampType):
+        # an instant: midnight UTC, whatever the session or process time zone
+        lit = F.lit(f"{day.isoformat()}T00:00:00Z").cast("timestamp")
     elif isinstance(dtype, T.DateType):
         lit = F.lit(day)
     else:

@@ -76,10 +76,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     explicit partition count is not coalesced by AQE. Use it on a source read: the
     partition count of a frame with shuffles is only known after running them.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan alone
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def with_computed(df: DataFrame, name: str, col) -> DataFrame:

@@ -40,13 +40,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     folder is not visible to other executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         root = tempfile.mkdtemp(prefix="threadscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
@@ -62,3 +63,31 @@ def reliable_checkpoint(df):
     """Cut lineage with a reliable checkpoint in the session's shared checkpoint dir."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``threadscope`` importable in Python workers (``addPyFile`` of a zip).
+
+    Model functions and retry policies are pickled by reference, so tasks that run
+    Python (``mapInPandas``) import this package. The zip is built on the driver and
+    distributed by Spark itself; it is shipped once per application.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="threadscope-pyfiles-"), "threadscope.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
