@@ -38,10 +38,10 @@ def test_first_last_stream_equals_batch(spark, tmp_dir):
     li = (spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
           .select(F.col("l_orderkey").alias("post_id"), F.unix_timestamp("l_shipdate").alias("created_utc")))
     src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
-    li.where("post_id % 2 = 0").write.parquet(os.path.join(src, "a"))
+    cut = li.agg(F.expr("percentile_approx(created_utc, 0.5)")).first()[0]
+    li.where(F.col("created_utc") < cut).write.parquet(os.path.join(src, "a"))
     I.first_last_reply_stream(spark, src + "/*", li.schema, sink, ck)
-    li.where("post_id % 2 = 1").write.parquet(os.path.join(src, "b"))
-    li.where("post_id < 100").write.parquet(os.path.join(src, "c"))  # late comments for known posts
+    li.where(F.col("created_utc") >= cut).write.parquet(os.path.join(src, "b"))  # later comments of known posts
     I.first_last_reply_stream(spark, src + "/*", li.schema, sink, ck)
     got = I.latest_first_last(spark, sink)
     want = li.groupBy("post_id").agg(F.min("created_utc").alias("first_comment_utc"),

@@ -202,12 +202,13 @@ WITH b AS (SELECT d.doc_id, d.source,
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT doc_id, source FROM b WHERE {trim_ws("coalesce(body, '')")} <> ''""",
     "clean_text": f"SELECT page_id, {clean("coalesce(url, '') || ' ' || coalesce(html, '')")} AS clean_text FROM pages",
-    "one_line": f"SELECT doc_id, substring({one_line('text')}, 1, 300) AS line FROM documents",
+    "one_line": f"SELECT doc_id, {one_line('text')} AS line, substring({one_line('text')}, 1, 300) AS line_300 "
+                "FROM documents",
     "shorten_text": f"SELECT doc_id, {shorten('text', 200, True)} AS short_a, {shorten('text', 4000, False)} AS short_b "
                     "FROM documents",
     "render_prompt": """
 SELECT doc_id, 'Community r/' || coalesce(source, '') || ' (' || coalesce(lang, '') || ')' || chr(10) || 'Length: '
-       || coalesce(CAST(n_chars AS VARCHAR), '') || chr(10) || 'Post:' || chr(10) || coalesce(substring(text, 1, 300), '')
+       || coalesce(CAST(n_chars AS VARCHAR), '') || chr(10) || 'Post:' || chr(10) || coalesce(text, '')
        AS prompt
 FROM documents""",
     "term_match": """

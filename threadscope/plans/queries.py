@@ -121,7 +121,8 @@ def clean_text_q(spark, d):
 
 def one_line_q(spark, d):
     docs = fx.text_table(spark, d, "documents")
-    return docs.select("doc_id", truncate_chars(one_line("text"), 300).alias("line"))
+    line = one_line("text")
+    return docs.select("doc_id", line.alias("line"), truncate_chars(line, 300).alias("line_300"))
 
 
 def shorten_text(spark, d):
@@ -135,7 +136,7 @@ PROMPT_TEMPLATE = "Community r/{source} ({lang})\nLength: {n_chars}\nPost:\n{pos
 
 def render_prompt_q(spark, d):
     docs = table(spark, d, "documents")
-    p = render_prompt(PROMPT_TEMPLATE, {"post": truncate_chars("text", 300)})
+    p = render_prompt(PROMPT_TEMPLATE, {"post": F.col("text")})
     return docs.select("doc_id", p.alias("prompt"))
 
 
@@ -497,28 +498,33 @@ _NS = ('xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http
 
 
 def ontology_terms(spark, d):
-    """Nations and regions written as one ontology XML document, read back as terms."""
+    """Nations and regions written as ontology XML documents, read back as terms.
+
+    The XML source needs one root element per file, so each region becomes one complete
+    document (its subjects aggregated, bounded by the nations of a region) and the
+    write is partitioned by region: every file holds exactly one document, written in
+    parallel.
+    """
     from threadscope.session import scratch_path
     from threadscope.sources.readers import read_ontology_terms
 
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
-    nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit(1).alias("_part"), F.concat(
+    nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_regionkey", F.concat(
         F.lit('<owl:Class rdf:about="n'), F.col("n_nationkey").cast("string"), F.lit('">'),
         F.lit('<rdfs:label xml:lang="en">'), _xml_text(F.col("n_name")), F.lit("</rdfs:label>"),
         F.lit('<rdfs:label xml:lang="fr">'), _xml_text(F.lower("n_name")), F.lit("</rdfs:label>"),
         F.lit('<oboInOwl:hasExactSynonym xml:lang="fr">'), _xml_text(F.concat_ws(" ", "n_name", "r_name")),
-        F.lit("</oboInOwl:hasExactSynonym></owl:Class>")).alias("value"))
-    regions = r.select(F.lit(1).alias("_part"), F.concat(
+        F.lit("</oboInOwl:hasExactSynonym></owl:Class>")).alias("element"))
+    regions = r.select("r_regionkey", F.concat(
         F.lit('<owl:AnnotationProperty rdf:about="r'), F.col("r_regionkey").cast("string"), F.lit('">'),
         F.lit("<rdfs:label> "), _xml_text(F.col("r_name")), F.lit(" </rdfs:label></owl:AnnotationProperty>"))
-        .alias("value"))
-    head = spark.createDataFrame([(0, f'<?xml version="1.0"?>\n<rdf:RDF {_NS}>'), (2, "</rdf:RDF>")],
-                                 "_part int, value string")
+        .alias("element"))
+    docs = nations.unionByName(regions).groupBy("r_regionkey").agg(F.concat(
+        F.lit(f'<?xml version="1.0"?>\n<rdf:RDF {_NS}>\n'),
+        F.array_join(F.array_sort(F.collect_list("element")), "\n"), F.lit("\n</rdf:RDF>")).alias("value"))
     path = scratch_path(spark, "ontology")
-    # an ontology is a single XML document (one root): header, subjects, footer in one file
-    head.unionByName(nations).unionByName(regions).orderBy("_part", "value").coalesce(1) \
-        .select("value").write.text(path)
+    docs.write.partitionBy("r_regionkey").text(path)
     return read_ontology_terms(spark, path).orderBy("term")
 
 
