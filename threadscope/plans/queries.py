@@ -21,7 +21,6 @@ from threadscope.functions.text import (
     post_text,
     render_prompt,
     shorten,
-    trim_ws,
     truncate_chars,
     utc_year,
 )
