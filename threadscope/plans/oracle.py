@@ -488,3 +488,17 @@ SELECT label, count(*) AS n_posts, round(quantile_cont(latency_min, 0.5), 6) AS
        round(quantile_cont(latency_min, 0.75) - quantile_cont(latency_min, 0.25), 6) AS iqr_min
 FROM x WHERE label <> '' GROUP BY label""",
 })
+
+ORACLE.update({
+    "catalog_dump_roundtrip": """
+SELECT p_name AS name, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS title,
+       CASE WHEN p_size > 10 THEN p_brand ELSE '' END AS public_description, p_partkey AS subscribers
+FROM part""",
+    "flat_csv_roundtrip": UNIFY_SQL,
+    "candidates_append": ORACLE["term_match"],
+    "snapshot_versions": ORACLE["consensus_attached"],
+    "preview_replies": f"WITH {REPLIES_CTE} SELECT doc_id, reply FROM r ORDER BY doc_id LIMIT 3",
+    "label_incremental": f"""
+SELECT doc_id, CASE WHEN {shorten('text', 4000, False)} LIKE '% (…)' THEN 'news' ELSE 'experience' END AS labels
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+})

@@ -719,3 +719,90 @@ QUERIES.update({
     "discovery_candidates": discovery_candidates,
     "study_latency_by_label": study_latency_by_label,
 })
+
+
+# --- remaining sources, sinks and incremental steps -------------------------------
+
+
+def catalog_dump_roundtrip(spark, d):
+    """S3: the part catalogue as gzip JSON lines (title/description sometimes absent), read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_catalog_dump
+
+    part = table(spark, d, "part")
+    cat = part.select(F.col("p_name").alias("name"),
+                      F.when(F.col("p_size") > 25, F.col("p_type")).alias("title"),
+                      F.when(F.col("p_size") > 10, F.col("p_brand")).alias("public_description"),
+                      F.col("p_partkey").alias("subscribers"))
+    path = scratch_path(spark, "catalog")
+    cat.write.option("compression", "gzip").json(path)
+    return read_catalog_dump(spark, path).select("name", "title", "public_description", "subscribers")
+
+
+def flat_csv_roundtrip(spark, d):
+    """K5 + S7: the unified flat table through CSV with a blank-named column, read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_flat_csv
+    from threadscope.sources.sinks import write_csv
+
+    flat = threads.unify_flat_objects(fx.conversation_objects(spark, d))
+    path = scratch_path(spark, "flatcsv")
+    write_csv(flat.select("subreddit", F.lit("").alias(" "), *[c for c in flat.columns if c != "subreddit"]), path)
+    back = read_flat_csv(spark, path)
+    return back.select(
+        "subreddit", "post_id", F.coalesce("comment_id", F.lit("")).alias("comment_id"), "parent_id",
+        (F.col("is_post").cast("int") == 1).alias("is_post"), "author",
+        *[F.col(c).cast("bigint").alias(c) for c in ("created_utc", "score", "num_comments")],
+        F.coalesce("body", F.lit("")).alias("body"))
+
+
+def candidates_append(spark, d):
+    """K2: matches of two runs (by language) appended to one candidate folder, read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_catalog_csv
+    from threadscope.sources.sinks import append_candidates
+
+    path = scratch_path(spark, "candidates")
+    terms = table(spark, d, "benchmark").select(F.col("text").alias("term"))
+    docs = fx.text_table(spark, d, "documents").select("doc_id", "lang", "text")
+    for run in (F.col("lang") == "en", F.col("lang") != "en"):
+        hits = matching.match_terms(docs.where(run), "text", terms, ["doc_id"])
+        append_candidates(hits.select("doc_id", "matched_term"), path)
+    return read_catalog_csv(spark, path, "doc_id bigint, matched_term string")
+
+
+def snapshot_versions(spark, d):
+    """K6: two versions of the verified table; the latest read back equals the second write."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.sinks import read_latest, snapshot_then_replace
+
+    path = scratch_path(spark, "verified")
+    snapshot_then_replace(fx.label_va(spark, d), path)
+    snapshot_then_replace(consensus_attached(spark, d), path)
+    return read_latest(spark, path)
+
+
+def preview_replies(spark, d):
+    """T4: the first three model replies in key order (a debugging preview)."""
+    return ordering.preview(fx.label_replies(spark, d), ["doc_id"], 3)
+
+
+def label_incremental(spark, d):
+    """Only documents without a label row go through the labeller."""
+    from threadscope.streaming.incremental import label_incremental as incremental
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    done = table(spark, d, "labels").select("doc_id")
+    out = incremental(docs, done, ["doc_id"], lambda new: batch.label_posts(
+        new, offline_labeller, text_col="text", parser="fallback", shorten_always=False))
+    return out.select("doc_id", "labels")
+
+
+QUERIES.update({
+    "catalog_dump_roundtrip": catalog_dump_roundtrip,
+    "flat_csv_roundtrip": flat_csv_roundtrip,
+    "candidates_append": candidates_append,
+    "snapshot_versions": snapshot_versions,
+    "preview_replies": preview_replies,
+    "label_incremental": label_incremental,
+})
