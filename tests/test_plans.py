@@ -35,7 +35,7 @@ def test_expected_operators(spark):
     p = plan_text(QUERIES["fastest_20"](spark, SF01))
     assert "TakeOrderedAndProject" in p
     p = plan_text(QUERIES["keep_first"](spark, SF01))
-    assert "partial_min" in p and "Window" not in p
+    assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_label_batch_uses_arrow_batches(spark):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadscope.functions.labels import LABEL_SEPARATOR, split_labels
 
@@ -20,23 +21,17 @@ DEFAULT_KEYS = ("subreddit", "post_id", "comment_id")
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first by ``order`` (ascending, nulls first).
 
-    Planned as ``min(struct(order..., row...))`` per key: a partial aggregate keeps
-    one row per key per map task before the shuffle, so a key repeated millions of
-    times does not pile up in one task (a ``row_number`` window would sort them all).
-    ``order`` should be total; remaining columns break any tie.
+    ``row_number() <= 1`` over the key lets Spark insert a partial WindowGroupLimit
+    before the shuffle: each map task forwards at most one row per key, so a key
+    repeated millions of times does not pile up in one task. Remaining (orderable)
+    columns are appended to ``order`` so the choice is deterministic.
     """
     keys = list(keys)
-    order_cols = []
-    tmp = {}
-    for i, o in enumerate(order):
-        name = f"_o{i}"
-        tmp[name] = F.col(o) if isinstance(o, str) else o
-        order_cols.append(name)
-    rest = [c for c in df.columns if c not in keys]
-    staged = df.withColumns(tmp) if tmp else df
-    packed = F.struct(*[F.col(c) for c in order_cols], *[F.col(f"`{c}`") for c in rest]).alias("_first")
-    out = staged.groupBy(*keys).agg(F.min(packed).alias("_first"))
-    return out.select(*[F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
+    named = {o for o in order if isinstance(o, str)}
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields
+            if f.name not in keys and f.name not in named and not isinstance(f.dataType, T.MapType)]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order], *rest)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:

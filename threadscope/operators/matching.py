@@ -40,13 +40,12 @@ def _best_term(pairs: DataFrame, keys: Sequence[str], carry: Sequence[str], term
                out: str) -> DataFrame:
     """One term per row: longest first, then the smallest code point order.
 
-    After a broadcast join all pairs of one text row come out of the same task, so
-    the partial aggregate collapses them to one row before the shuffle.
+    ``row_number() <= 1`` per row key plans a partial WindowGroupLimit before the
+    shuffle, so each task forwards one match per row however many terms hit it.
     """
-    best = F.min(F.struct((-F.length(term)).alias("neg_len"), F.col(term).alias("t")))
-    aggs = [F.any_value(F.col(f"`{c}`")).alias(c) for c in carry] + [best.alias("_best")]
-    g = pairs.groupBy(*keys).agg(*aggs)
-    return g.withColumn(out, F.col("_best.t")).drop("_best")
+    w = Window.partitionBy(*keys).orderBy(F.length(term).desc(), F.col(term).asc())
+    best = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1)
+    return best.select(*keys, *[F.col(f"`{c}`") for c in carry], F.col(term).alias(out))
 
 
 def _terms(terms: DataFrame, term_col: str, fold: bool) -> DataFrame:
