@@ -54,3 +54,14 @@ def test_label_incremental_skips_done(spark):
     done = spark.createDataFrame([(2,)], "id long")
     out = I.label_incremental(df, done, ["id"], lambda d: d.withColumn("labels", F.lit("x")))
     assert sorted(r["id"] for r in out.collect()) == [1, 3]
+
+
+def test_dedupe_stream_within_watermark(spark, tmp_dir):
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    schema = "name string, ts timestamp"
+    rows = [("ALS", "2024-01-01 00:00:00"), ("als", "2024-01-01 00:05:00"), ("SMA", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "name string, t string").select("name", F.col("t").cast("timestamp").alias("ts")) \
+        .write.parquet(os.path.join(src, "a"))
+    I.ingest_new_files(spark, src + "/*", sink, ck, spark.createDataFrame([], schema).schema,
+                       transform=lambda s: I.dedupe_stream(s, "name", event_time="ts", delay="1 hour"))
+    assert sorted(r[0].lower() for r in spark.read.parquet(sink).collect()) == ["als", "sma"]

@@ -48,14 +48,21 @@ def label_incremental(df: DataFrame, done: DataFrame, keys: Sequence[str],
     return label(only_new(df, done, keys))
 
 
-def dedupe_stream(stream: DataFrame, key_col: str = "name", fold: bool = True) -> DataFrame:
+def dedupe_stream(stream: DataFrame, key_col: str = "name", fold: bool = True,
+                  event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """Names seen before (case-folded) are ignored, across micro-batches and runs.
 
-    State holds every key seen (unbounded, like a seen-set); use
-    ``dropDuplicatesWithinWatermark`` for bounded state when late keys may repeat.
+    By default the state holds every key seen (unbounded, like a seen-set; use the
+    RocksDB state store for large key sets). With ``event_time`` and ``delay`` the
+    state is bounded by a watermark (``dropDuplicatesWithinWatermark``): a key is
+    forgotten once the watermark passes its first sighting plus ``delay``.
     """
     k = F.lower(F.col(key_col)) if fold else F.col(key_col)
-    return stream.withColumn("_seen_key", k).dropDuplicates(["_seen_key"]).drop("_seen_key")
+    staged = stream.withColumn("_seen_key", k)
+    if event_time and delay:
+        return (staged.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_seen_key"])
+                .drop("_seen_key"))
+    return staged.dropDuplicates(["_seen_key"]).drop("_seen_key")
 
 
 def first_last_reply_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
