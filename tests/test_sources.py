@@ -20,6 +20,7 @@ OWL = """<?xml version="1.0"?>
   <oboInOwl:hasExactSynonym>ALD</oboInOwl:hasExactSynonym></owl:Class>
 <owl:Class rdf:about="b"><rdfs:label>  Beta syndrome </rdfs:label></owl:Class>
 <owl:AnnotationProperty rdf:about="p"><rdfs:label xml:lang="en">has phenotype</rdfs:label></owl:AnnotationProperty>
+<owl:NamedIndividual rdf:about="i"><rdfs:label>Gamma</rdfs:label><rdfs:label rdf:resource="x"/></owl:NamedIndividual>
 </rdf:RDF>"""
 
 
@@ -27,7 +28,7 @@ def test_ontology_terms(spark, tmp_dir):
     p = os.path.join(tmp_dir, "o.owl")
     open(p, "w").write(OWL)
     terms = sorted(r[0] for r in R.read_ontology_terms(spark, p).collect())
-    assert terms == ["ALD", "Alpha disease", "Alpha syndrome FR", "Beta syndrome", "has phenotype"]
+    assert terms == ["ALD", "Alpha disease", "Alpha syndrome FR", "Beta syndrome", "Gamma", "has phenotype"]
 
 
 def test_term_list_roundtrip(spark, tmp_dir):

@@ -39,7 +39,7 @@ FLAT_OBJECT_SCHEMA = T.StructType([
 ])
 # Ontology elements: subject kinds, label element, exact-synonym element.
 ONTOLOGY_ROW_TAGS = ("owl:Class", "owl:ObjectProperty", "owl:AnnotationProperty", "owl:DatatypeProperty",
-                     "rdf:Description")
+                     "owl:NamedIndividual", "owl:Ontology", "rdf:Description")
 ONTOLOGY_LABEL = "rdfs:label"
 ONTOLOGY_SYNONYM = "oboInOwl:hasExactSynonym"
 LABEL_KEYS = ("subreddit", "post_id")
