@@ -45,7 +45,9 @@ def run_study(posts: DataFrame, comments: DataFrame, labellers: Mapping[str, Lab
     """Run the study end to end; every labeller's output is checkpointed so no model is
     called twice for a row."""
     posts = with_latency(enrich_first_last(posts, comments))
-    sample = select_high_signal(posts, by=community, tiebreak=list(tiebreak))
+    # the sample is small (at most cap rows per community); materialise it once so every
+    # labeller sees the same rows and the upstream joins are not recomputed per labeller
+    sample = reliable_checkpoint(select_high_signal(posts, by=community, tiebreak=list(tiebreak)))
     frames = {}
     for model, lab in labellers.items():
         labelled = label_posts(sample, lab.fn, text_col=text_col, parser=lab.parser, prompt=prompt, cap=lab.cap,
