@@ -57,3 +57,20 @@ def kept_names(verified: DataFrame, name: str = "name", order: Sequence[str] = (
     """F8 + K7 input: names with both verdicts yes, in a stated order."""
     both = kept(kept(verified, "gpt_label", "yes"), "keep", "yes")
     return both.select(name, *[c for c in order if c != name]).orderBy(*order)
+
+
+def lookup_communities(vocabulary: DataFrame, catalog: DataFrame, name: str = "name",
+                       description: str | None = "public_description", relevance: Sequence[Column] | None = None,
+                       tiebreak: str = "name", k: int = 3, done: DataFrame | None = None) -> DataFrame:
+    """Search path: numeric terms dropped, exact case-insensitive name hits (J4), top-k
+    relevance hits for terms without one (J5), one row per case-folded name with the
+    earliest term winning (W3), names already collected skipped (J11)."""
+    from threadscope.operators.matching import lookup_with_fallback
+
+    vocab = drop_numeric_terms(vocabulary.select(F.col(vocabulary.columns[0]).alias("term"))).distinct()
+    hits = lookup_with_fallback(vocab, catalog, "term", name, description, relevance=relevance,
+                                tiebreak=tiebreak, k=k)
+    first = first_writer_wins(hits, name, ["matched_term", "hit_rank", tiebreak])
+    if done is not None:
+        first = only_new(first, done.select(F.col(done.columns[0]).alias(name)), [name])
+    return first

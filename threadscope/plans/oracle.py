@@ -502,3 +502,23 @@ FROM part""",
 SELECT doc_id, CASE WHEN {shorten('text', 4000, False)} LIKE '% (…)' THEN 'news' ELSE 'experience' END AS labels
 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
 })
+
+ORACLE.update({
+    "discovery_lookup": f"""
+WITH terms AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part
+                                          UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part
+                                          UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part)
+               WHERE NOT regexp_full_match(term, '(?:[0-9/.,-]|{WS})+')),
+exact AS (SELECT t.term AS matched_term, p.p_partkey, p.p_name AS name, 'exact' AS hit_kind, 1 AS hit_rank
+          FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name)),
+missing AS (SELECT term FROM terms WHERE term NOT IN (SELECT matched_term FROM exact)),
+fb AS (SELECT m.term AS matched_term, p.p_partkey, p.p_name AS name, 'fallback' AS hit_kind,
+              row_number() OVER (PARTITION BY m.term ORDER BY p.p_size DESC, p.p_partkey) AS hit_rank
+       FROM missing m JOIN part p
+         ON contains(lower(concat_ws(' ', coalesce(p.p_name, ''), coalesce(p.p_type, ''))), lower(m.term))),
+hits AS (SELECT * FROM exact UNION ALL SELECT * FROM fb WHERE hit_rank <= 3),
+w AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY matched_term, hit_rank, p_partkey) AS rn
+      FROM hits)
+SELECT name, p_partkey, matched_term, hit_kind FROM w
+WHERE rn = 1 AND name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_type = 'PROMO')""",
+})

@@ -715,7 +715,24 @@ def study_latency_by_label(spark, d):
                               _r6(F.col("iqr_min")).alias("iqr_min"))
 
 
+def discovery_lookup(spark, d):
+    """Discovery search path on the part catalogue: exact name hits, top-3 fallback, first writer wins."""
+    from threadscope.plans.discovery import lookup_communities
+
+    part = table(spark, d, "part")
+    catalog = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("public_description"),
+                          F.col("p_size").alias("subscribers"))
+    vocab = relations.union_inputs(part.select(F.col("p_name").alias("term")),
+                                   part.select(F.explode(F.split("p_name", " ")).alias("term")),
+                                   part.select(F.col("p_size").cast("string").alias("term")))
+    done = part.where((F.col("p_size") == 50) & (F.col("p_type") == "PROMO")).select(F.col("p_name").alias("name"))
+    out = lookup_communities(vocab, catalog, relevance=[F.col("subscribers").desc()], tiebreak="p_partkey",
+                             done=done)
+    return out.select("name", "p_partkey", "matched_term", "hit_kind")
+
+
 QUERIES.update({
+    "discovery_lookup": discovery_lookup,
     "discovery_candidates": discovery_candidates,
     "study_latency_by_label": study_latency_by_label,
 })
