@@ -1,7 +1,8 @@
 """Vocabulary matching against community text.
 
-J1 ``match_terms``: substring (theta) join; the vocabulary is broadcast behind a
-bounded size check, and split into hash chunks of broadcastable size beyond it.
+J1 ``match_terms``: exact substring matching, either a broadcast nested-loop join
+(the vocabulary behind a bounded size check, hash-chunked beyond it) or, for large
+vocabularies, q-gram anchors hash-joined to each text's q-grams and verified.
 J2 ``match_words``: word n-gram equi-join (scales with any vocabulary size).
 J3 ``match_acronyms``: acronyms over rows J1 left unmatched.
 J4/J5 name lookups and W3 first-writer-wins.
@@ -238,17 +239,8 @@ def lookup_with_fallback(terms: DataFrame, catalog: DataFrame, term_col: str = "
     missing = terms.join(exact.select(F.col("matched_term").alias(term_col)).distinct(), term_col, "left_anti")
     blob = searchable_blob(name_col, desc_col) if desc_col else F.col(name_col)
     vocab = missing.select(F.lower(F.col(term_col)).alias("_term"), F.col(term_col).alias("matched_term"))
-    k_chunks = chunk_count(vocab)
     cat = catalog.withColumn("_text", F.lower(blob))
-    cond = F.col("_text").contains(F.col("_term"))
-    if k_chunks == 1:
-        pairs = cat.join(F.broadcast(vocab), cond, "inner")
-    else:
-        chunked = vocab.withColumn("_chunk", F.pmod(F.xxhash64("_term"), F.lit(k_chunks)))
-        pairs = None
-        for i in range(k_chunks):
-            p = cat.join(F.broadcast(chunked.filter(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
-            pairs = p if pairs is None else pairs.unionByName(p)
+    pairs = _nested_loop_pairs(cat, vocab, DEFAULT_MAX_ROWS, DEFAULT_MAX_BYTES)
     rel = list(relevance) if relevance else []
     w = Window.partitionBy("matched_term").orderBy(*rel, F.col(tiebreak).asc())
     fb = (pairs.drop("_text", "_term").withColumn("hit_rank", F.row_number().over(w))
