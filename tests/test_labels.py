@@ -156,3 +156,22 @@ def test_verdicts(spark):
     assert got == [("yes", "~1"), ("no", ""), ("error", ""), ("error", ""), ("error", "")]
     par = [tuple(r[0]) for r in df.select(V.fenced_verdict("r", strict_parity=True)).collect()]
     assert par == [("yes", "~1"), ("no", ""), ("no", ""), ("no", ""), ("no", "")]
+
+
+def test_latency_by_label_approx_is_close(spark):
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select(
+        F.col("o_orderpriority").alias("l"), (F.col("o_totalprice") / 100).alias("v"))
+    exact = {r["label"]: r for r in report.latency_by_label(o, "l", "v").collect()}
+    approx = {r["label"]: r for r in report.latency_by_label(o, "l", "v", approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert exact[k]["n_posts"] == approx[k]["n_posts"]
+        assert abs(exact[k]["median_min"] - approx[k]["median_min"]) <= 0.01 * exact[k]["median_min"]
+
+
+def test_drop_report_without_groups(spark):
+    from threadscope.operators import sampling
+
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    r = sampling.drop_report(df, F.col("x") > 1).first().asDict()
+    assert r == {"rows_before": 3, "rows_after": 1, "rows_dropped": 2}
