@@ -74,3 +74,9 @@ def test_write_clean_partitions(spark, tmp_dir):
     write_clean(df, os.path.join(tmp_dir, "clean"))
     back = spark.read.parquet(os.path.join(tmp_dir, "clean"))
     assert sorted(tuple(r) for r in back.select("subreddit", "x").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_top_k_per_group(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 5)], "g string, v int")
+    out = sorted(tuple(r) for r in ordering.top_k_per_group(df, "g", [F.col("v").desc()], 2).collect())
+    assert out == [("a", 2, 2), ("a", 3, 1), ("b", 5, 1)]

@@ -118,6 +118,10 @@ def label_posts(df: DataFrame, fn: ReplyFn, text_col: str = "body", parser: str
     parsed with ``parser`` ('strict' X10, 'first_object' X11, 'fallback' X12), filtered
     to ``allowed`` and capped, and stored as an ``a;b`` string; a row whose call
     failed keeps a NULL label and the error text.
+
+    The result is lazy: checkpoint or write it before using it more than once, or a
+    recomputation (including a retried stage after a lost executor) calls the model
+    again. ``plans.study.run_study`` does this for every labeller.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     p = prompt(body) if prompt else shorten(body, width, always=shorten_always)
