@@ -151,3 +151,14 @@ def test_append_candidates(spark, tmp_dir):
     K.append_candidates(df, out)
     K.append_candidates(df, out)
     assert R.read_catalog_csv(spark, out).count() == 2
+
+
+def test_period_paths_select_month_files(spark, tmp_dir):
+    for m in ("2024-01", "2024-02", "2024-03"):
+        with gzip.open(os.path.join(tmp_dir, f"RS_{m}.jsonl.gz"), "wt") as f:
+            f.write(json.dumps({"name": f"c{m}", "subscribers": 1}) + "\n")
+    paths = R.period_paths(tmp_dir, ["2024-01", "2024-03"])
+    got = sorted(r["name"] for r in R.read_catalog_dump(spark, paths).collect())
+    assert got == ["c2024-01", "c2024-03"]
+    with pytest.raises(ValueError):
+        R.period_paths(tmp_dir, ["2024-1"])

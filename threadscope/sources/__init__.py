@@ -1,6 +1,7 @@
 """Readers (S1-S9) and writers (K1-K7)."""
 
 from threadscope.sources.readers import (  # noqa: F401
+    period_paths,
     read_by_period,
     read_catalog_csv,
     read_catalog_dump,

@@ -171,3 +171,12 @@ def read_by_period(spark: SparkSession, root: str, months: Sequence[str] | None
     if months:
         df = df.filter(F.col(col).isin(list(months)))
     return df
+
+
+def period_paths(root: str, months: Sequence[str], template: str = "*{month}*") -> list[str]:
+    """S9 for dumps named by period (e.g. ``RS_2024-01.zst``): one glob per requested
+    ``YYYY-MM``, so files of other months are never listed or opened."""
+    for m in months:
+        if not re.fullmatch(r"\d{4}-\d{2}", m):
+            raise ValueError(f"period must be YYYY-MM: {m!r}")
+    return [f"{root.rstrip('/')}/{template.format(month=m)}" for m in months]
