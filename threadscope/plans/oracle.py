@@ -522,3 +522,6 @@ w AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY matched_ter
 SELECT name, p_partkey, matched_term, hit_kind FROM w
 WHERE rn = 1 AND name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_type = 'PROMO')""",
 })
+
+ORACLE["catalog_months"] = """
+SELECT p_name AS name, p_type AS title, p_partkey AS subscribers FROM part WHERE p_size <= 16 OR p_size > 33"""

@@ -823,3 +823,23 @@ QUERIES.update({
     "preview_replies": preview_replies,
     "label_incremental": label_incremental,
 })
+
+
+def catalog_months(spark, d):
+    """S3 + S9: catalogue dumps named by month; only two of three months are read."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import period_paths, read_catalog_dump
+
+    part = table(spark, d, "part")
+    month = (F.when(F.col("p_size") <= 16, F.lit("2024-01")).when(F.col("p_size") <= 33, F.lit("2024-02"))
+             .otherwise(F.lit("2024-03")))
+    cat = part.select(month.alias("m"), F.col("p_name").alias("name"), F.col("p_type").alias("title"),
+                      F.col("p_partkey").alias("subscribers"))
+    root = scratch_path(spark, "dumps")
+    for m in ("2024-01", "2024-02", "2024-03"):
+        cat.where(F.col("m") == m).drop("m").write.option("compression", "gzip").json(f"{root}/RS_{m}")
+    back = read_catalog_dump(spark, period_paths(root, ["2024-01", "2024-03"]))
+    return back.select("name", "title", "subscribers")
+
+
+QUERIES["catalog_months"] = catalog_months
