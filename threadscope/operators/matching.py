@@ -80,11 +80,12 @@ def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[s
     vocab = _terms(terms, term_col, fold)
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
     left = df.withColumn("_text", text)
+    size = None
     if strategy == "auto":
-        size = measure(vocab, NESTED_LOOP_MAX_TERMS)
-        strategy = "nested_loop" if size is not None else "qgram"
+        size = measure(vocab, max_rows)
+        strategy = "nested_loop" if size is not None and size.rows <= NESTED_LOOP_MAX_TERMS else "qgram"
     if strategy == "nested_loop":
-        pairs = _nested_loop_pairs(left, vocab, max_rows, max_bytes)
+        pairs = _nested_loop_pairs(left, vocab, max_rows, max_bytes, size)
     elif strategy == "qgram":
         short = vocab.where(F.length("_term") < q)
         anchored = vocab.where(F.length("_term") >= q).withColumn("_gram", F.substring("_term", 1, q))
@@ -106,9 +107,10 @@ def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[s
     return _best_term(pairs.drop("_text"), keys, carry, "_term", out)
 
 
-def _nested_loop_pairs(left: DataFrame, vocab: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+def _nested_loop_pairs(left: DataFrame, vocab: DataFrame, max_rows: int, max_bytes: int,
+                       size=None) -> DataFrame:
     cond = F.col("_text").contains(F.col("_term"))
-    k = chunk_count(vocab, max_rows, max_bytes)
+    k = chunk_count(vocab, max_rows, max_bytes, size)
     if k == 1:
         return left.join(F.broadcast(vocab), cond, "inner")
     chunked = vocab.withColumn("_chunk", F.pmod(F.xxhash64("_term"), F.lit(k)))

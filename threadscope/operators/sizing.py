@@ -53,9 +53,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
 
 
 def chunk_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                max_bytes: int = DEFAULT_MAX_BYTES) -> int:
-    """How many hash chunks split ``df`` into broadcastable pieces (1 = broadcast whole)."""
-    size = measure(df, max_rows)
+                max_bytes: int = DEFAULT_MAX_BYTES, size: SideSize | None = None) -> int:
+    """How many hash chunks split ``df`` into broadcastable pieces (1 = broadcast whole).
+
+    ``size`` may carry a measurement already taken with the same ``max_rows``.
+    """
+    size = size if size is not None else measure(df, max_rows)
     if size is not None and size.fits(max_rows, max_bytes):
         return 1
     total = df.agg(F.count(F.lit(1)).alias("n"),
