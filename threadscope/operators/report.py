@@ -21,7 +21,7 @@ def explode_labels(df: DataFrame, col: str = "consensus_labels", out: str = "lab
 def label_frequency(df: DataFrame, col: str = "consensus_labels", sep: str = LABEL_SEPARATOR,
                     out: str = "n") -> DataFrame:
     """A3: label counts, most frequent first (ties by label); NULL/'' ignored."""
-    e = df.select(F.explode(split_labels(col, sep)).alias("label"))
+    e = explode_labels(df.select(col), col, "label", sep, keep_unlabelled=False)
     return e.groupBy("label").agg(F.count(F.lit(1)).alias(out)).orderBy(F.col(out).desc(), "label")
 
 
@@ -34,8 +34,8 @@ def latency_by_label(df: DataFrame, label_col: str = "consensus_labels", value_c
     value->count maps, so a label's state grows with its distinct latencies, not its
     rows; ``approx=True`` switches to ``percentile_approx`` sketches.
     """
-    v = to_number(F.col(value_col))
-    e = df.select(F.explode(split_labels(label_col, sep)).alias("label"), v.alias("_v"))
+    staged = df.select(F.col(label_col).alias("_labels"), to_number(F.col(value_col)).alias("_v"))
+    e = explode_labels(staged, "_labels", "label", sep, keep_unlabelled=False)
     if approx:
         q = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
         return (e.groupBy("label").agg(F.count(F.lit(1)).alias("n_posts"), q.alias("_q"))
