@@ -4,6 +4,8 @@ import re
 import textwrap
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadscope.functions import text as T
@@ -142,3 +144,20 @@ def test_since_timestamp_instant_is_zone_free(spark):
         assert filters.since(ntz, "t").count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+ALPHABET = ("abcXYZ éÉçÇüÜßΩω019 .,-/:" + "\t\n\x0b\x0c\r\x1c\x1f\x85\xa0  　"
+            + "\U0001F600\U0001F680\U0001F1EB♀" + "h")
+PIECES = ["http://", "https://x.y/", "HTTP://", "www", "😀", " "]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=ALPHABET, max_size=12), st.sampled_from(PIECES)), max_size=8))
+def test_text_functions_match_python_on_random_strings(spark, parts):
+    s = "".join(parts)
+    df = spark.createDataFrame([(s,)], "s string")
+    r = df.select(T.clean_text("s"), T.trim_ws("s"), T.one_line("s"), T.collapse_ws("s")).first()
+    assert r[0] == py_clean(s)
+    assert r[1] == s.strip()
+    assert r[2] == s.replace("\n", " ").strip()
+    assert r[3] == " ".join(s.split())
