@@ -70,6 +70,8 @@ REPLIES = [
     '{"labels": [1, "news", null]}',
     '{"labels": ["news"], "x": {"y": 2}}',
     '{"labels": {"news": 1}}',
+    '{"labels": ["news"]}]}',            # trailing closing tokens (found by a random sweep)
+    ',{"labels": ["news"]} ]}',
 ]
 
 

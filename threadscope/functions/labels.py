@@ -68,11 +68,24 @@ def strict_labels(reply: ColumnOrName) -> Column:
     an array (a string, number or object gives NULL).
     """
     r = _c(reply)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), r, F.lit("]")))
-    one_object = F.size(wrapped.try_cast("array<variant>")) == 1
+    wrapped, one_object = strict_json_value(r)
     is_list = F.try_variant_get(wrapped, "$[0].labels", "array<variant>").isNotNull()
     labels = F.try_variant_get(wrapped, "$[0].labels", "array<string>")
-    return F.when(r.rlike(_OBJECT_SHAPE) & one_object & is_list, labels)
+    return F.when(r.rlike(_OBJECT_SHAPE) & F.coalesce(one_object, F.lit(False)) & is_list, labels)
+
+
+# A sentinel element closes the wrapper array: Spark's JSON parser stops after the first
+# complete value and ignores some trailing tokens (e.g. a stray "]}"), so the wrapper
+# proves the reply is exactly one value only when the sentinel is parsed as element 2.
+_END = "threadscope:end-of-reply"
+
+
+def strict_json_value(text: Column) -> tuple[Column, Column]:
+    """``(v, ok)``: ``v`` parses ``[text, sentinel]``; ``ok`` is true only when ``text`` is
+    exactly one JSON value (nothing before or after it but JSON whitespace)."""
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    ok = (F.size(v.try_cast("array<variant>")) == 2) & (F.try_variant_get(v, "$[1]", "string") == _END)
+    return v, ok
 
 
 def parse_labels_strict(reply: ColumnOrName, allowed: Sequence[str] = LABEL_NAMES,

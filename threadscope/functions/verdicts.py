@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadscope.functions.labels import strict_json_value
 from threadscope.functions.text import WS_CLASS, ColumnOrName, _c, trim_ws
 
 # --- fixed values -------------------------------------------------------------
@@ -27,8 +28,8 @@ def parse_fenced_json(reply: ColumnOrName) -> Column:
     absent fields read as ''. Non-string ``is_rare`` values stay non-matching.
     """
     body = F.regexp_extract(F.coalesce(_c(reply), F.lit("")), _FENCE, 1)
-    v = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    ok = (body != "") & (F.size(v.try_cast("array<variant>")) == 1)
+    v, one_value = strict_json_value(body)
+    ok = (body != "") & F.coalesce(one_value, F.lit(False))
     is_rare = F.coalesce(F.try_variant_get(v, "$[0].is_rare", "string"), F.lit(""))
     prevalence = F.coalesce(F.try_variant_get(v, "$[0].prevalence", "string"), F.lit(""))
     return F.struct(
