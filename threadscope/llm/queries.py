@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 
-from . import huffman, mixing, topk, url_filter
+from . import huffman, mixing, ngram_join, topk, url_filter
 from .common import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -55,6 +59,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op7_top_k": op7_top_k,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
