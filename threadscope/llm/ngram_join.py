@@ -18,7 +18,6 @@ Hot n-grams are dealt out by a salt in step 3; step 4 joins what the salt kept a
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, arrow_map, as_long, byte_rows, id_and_text, saved, shingles, word_hashes
 from .components import connected_components
+from .sketch import CELL_BITS, add_up, maybe_in, packed, seen_in
 
-CELL_BITS = 20
-SLICES = 32
 NEIGHBOURS = 2
 SUFFIX_SLICES = 64
 _U = np.uint64
@@ -39,32 +37,6 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
-def _sketch_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Non-empty slices of a cell count array, packed."""
-    parts = [(i, p) for i, p in enumerate(np.split(counts, SLICES)) if p.any()]
-    return [i for i, _ in parts], [zlib.compress(p.astype("<u4").tobytes(), 1) for _, p in parts]
-
-
-def _collect_sketch(rows: DataFrame) -> np.ndarray:
-    """The sum of all tasks' (slice, cells): added up by slice on the executors, 2^20 cells arrive here."""
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, cells in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist()):
-                got = np.frombuffer(zlib.decompress(cells), "<u4").astype(np.int64)
-                sums[i] = sums[i] + got if i in sums else got
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())],
-            names=["slice", "cells"])
-
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    size = len(total) // SLICES
-    for r in arrow_map(rows.select("slice", "cells").repartition(SLICES, "slice"), run, "slice int, cells binary").collect():
-        total[r["slice"] * size:(r["slice"] + 1) * size] += np.frombuffer(zlib.decompress(r["cells"]), np.int64)
-    return total
-
-
 def _scan(k: int):
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -81,7 +53,7 @@ def _scan(k: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "d1", "d2", "slice", "cells"])
-        at, cells = _sketch_rows(counts)
+        at, cells = packed(counts)
         n = len(at)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
@@ -90,35 +62,6 @@ def _scan(k: int):
     return run
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    return _cell(ids.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
-def _seen(ids: DataFrame, col: str) -> np.ndarray:
-    """A bit per cell of an id space: whether an id of ``col`` may be among ``ids`` (no false 'no')."""
-
-    def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            counts[_spread(batch.column(0).to_numpy(zero_copy_only=False))] = 1
-        at, cells = _sketch_rows(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells, pa.binary())], names=["slice", "cells"])
-
-    return _collect_sketch(arrow_map(ids.select(col), run, "slice int, cells binary")) > 0
-
-
-def _texts_in(texts: DataFrame, seen, wanted: bool) -> DataFrame:
-    """The rows of ``texts`` whose id's cell is set (or isn't)."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            keep = seen.value[_spread(ids.fill_null(0).to_numpy(zero_copy_only=False))] == wanted
-            yield batch.filter(pa.array(keep & ~np.asarray(ids.is_null())))
-
-    return arrow_map(texts, run, "doc_id long, text binary")
-
-
 def _postings(texts: DataFrame, order, k: int, num: int, den: int, hot: float) -> DataFrame:
     """tok, node, size << 32 | position, salt of the first ``n - ceil(t n) + 1`` n-grams of every text."""
 
@@ -259,8 +202,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     """The pairs (a, b), distinct, that link; the sets of their texts are made anew from the texts."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seen = spark.sparkContext.broadcast(_seen(nodes, "node"))
-    asked = _texts_in(texts, seen, True).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    seen = spark.sparkContext.broadcast(seen_in(nodes, "node"))
+    asked = maybe_in(texts, seen, True).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     sets = saved(_sets(asked, k), "gram-sets")
 
     def beside(p, col):
@@ -285,7 +228,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     texts = id_and_text(docs, id_col, text_col)
     scan = saved(arrow_map(texts, _scan(k), "doc_id long, n long, d1 long, d2 long, slice int, cells binary"), "gram-scan")
     rows = scan.where("n is not null").select("doc_id", "n", "d1", "d2")
-    counts = _collect_sketch(scan.where("slice is not null"))
+    counts = add_up(scan.where("slice is not null"))
     order = spark.sparkContext.broadcast(np.minimum(np.round(8 * np.log2(1.0 + counts)), 511).astype(np.uint16))
     hot = 16 * float(counts.mean()) + 16384
 
@@ -296,9 +239,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     copies = members.where("n > 0").groupBy("doc_id").agg(F.max(F.col("rep") == F.col("doc_id")).alias("kept")).where(
         "not kept").select("doc_id")
 
-    maybe = spark.sparkContext.broadcast(_seen(copies, "doc_id"))
-    alone = _texts_in(texts, maybe, False)
-    others = _texts_in(texts, maybe, True).join(copies, "doc_id", "left_anti").select("doc_id", "text")
+    maybe = spark.sparkContext.broadcast(seen_in(copies, "doc_id"))
+    alone = maybe_in(texts, maybe, False)
+    others = maybe_in(texts, maybe, True).join(copies, "doc_id", "left_anti").select("doc_id", "text")
     postings = _postings(alone, order, k, num, den, hot).unionByName(_postings(others, order, k, num, den, hot))
     dealt = postings.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "place", "node")
     met = saved(arrow_map(dealt.select("tok", "salt", "node", "place"), _neighbours(num, den),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 
-from . import huffman, mixing, ngram_join, topk, url_filter
+from . import decontam, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter
 from .common import read_table
 
 
@@ -21,6 +21,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("dig")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -60,6 +72,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
