@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 
-from . import decontam, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter
+from . import decontam, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter, warc
 from .common import read_table
 
 
@@ -29,6 +29,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("dig")
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op4_warc": op4_warc,
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mixing": op8_mixing,
