@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 
-from . import decontam, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter, warc
+from . import decontam, hmm, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter, warc
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("dig")
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_warc": op4_warc,
+    "op5_hmm": op5_hmm,
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mixing": op8_mixing,
