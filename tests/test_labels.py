@@ -160,15 +160,35 @@ def test_verdicts(spark):
     assert par == [("yes", "~1"), ("no", ""), ("no", ""), ("no", ""), ("no", "")]
 
 
-def test_latency_by_label_approx_is_close(spark):
-    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select(
-        F.col("o_orderpriority").alias("l"), (F.col("o_totalprice") / 100).alias("v"))
-    exact = {r["label"]: r for r in report.latency_by_label(o, "l", "v").collect()}
-    approx = {r["label"]: r for r in report.latency_by_label(o, "l", "v", approx=True).collect()}
-    assert exact.keys() == approx.keys()
-    for k in exact:
-        assert exact[k]["n_posts"] == approx[k]["n_posts"]
-        assert abs(exact[k]["median_min"] - approx[k]["median_min"]) <= 0.01 * exact[k]["median_min"]
+def test_latency_by_label_of_a_hot_label(spark):
+    """One label holds 90 % of the rows: exact quantiles, and no plan gathers a label's values."""
+    import numpy as np
+
+    from tests.conftest import plan_text
+
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else f"l{i % 3}", float(rng.integers(0, 4000)) / 7) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "l string, v double")
+    out = report.latency_by_label(df, "l", "v")
+    for r in out.collect():
+        v = np.array([x for k, x in rows if k == r["label"]])
+        p25, p50, p75 = np.percentile(v, [25, 50, 75])
+        assert r["n_posts"] == len(v) and abs(r["median_min"] - p50) < 1e-9 and abs(r["iqr_min"] - (p75 - p25)) < 1e-9
+    assert "percentile" not in plan_text(out)
+
+
+def test_a_failing_prompt_loses_its_own_reply(spark):
+    from threadscope.operators import batch
+
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("refused")
+        return ['{"labels": ["news"]}'] * len(prompts)
+
+    df = spark.createDataFrame([(i, "bad" if i == 7 else f"p{i}", {"k": i}) for i in range(40)], "id int, body string, extra map<string,int>")
+    got = batch.label_posts(df, model, policy=batch.RetryPolicy(1, 0.0)).collect()
+    assert [r["id"] for r in got if r["labels"] is None] == [7] and [r["id"] for r in got if r["reply_error"]] == [7]
+    assert len(got) == 40 and all(r["extra"] == {"k": r["id"]} for r in got)
 
 
 def test_drop_report_without_groups(spark):

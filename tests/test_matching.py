@@ -21,32 +21,46 @@ def test_match_terms_is_deterministic_and_drops_unmatched(spark):
     assert got == {1: "living with", 3: "als"}  # longest wins; substring hits inside words (parity)
 
 
-def test_match_terms_chunked_equals_broadcast(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    terms = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("text").alias("term"))
-    a = sorted(tuple(r) for r in matching.match_terms(docs, "text", terms, ["doc_id"]).select(
-        "doc_id", "matched_term").collect())
-    b = sorted(tuple(r) for r in matching.match_terms(docs, "text", terms, ["doc_id"], max_rows=7).select(
-        "doc_id", "matched_term").collect())
-    assert a == b and len(a) == 26
-
-
-def test_match_terms_qgram_equals_nested_loop(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("text").alias("term"))
+def test_match_terms_equals_plain_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("text").alias("term"))
     words = bench.select(F.explode(F.split("term", " ")).alias("term")).distinct()
-    vocab = bench.unionByName(words).unionByName(_terms(spark, ["de", "the", "é", "ion d"]))
-    a = sorted(tuple(r) for r in matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="nested_loop")
-               .select("doc_id", "matched_term").collect())
-    b = sorted(tuple(r) for r in matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="qgram", q=4)
-               .select("doc_id", "matched_term").collect())
-    assert a == b and len(a) > 900
+    vocab = bench.unionByName(words).unionByName(_terms(spark, ["de", "the", "é", "ion d", "x", "a.b", "\n"]))
+    terms = sorted({r[0].lower() for r in vocab.collect()} - {""}, key=lambda t: (-len(t), t))
+    want = {d: next((t for t in terms if t in x.lower()), None) for d, x in docs.collect()}
+    for q in (3, 5):
+        got = {r["doc_id"]: r["matched_term"] for r in matching.match_terms(docs, "text", vocab, ["doc_id"], q=q).collect()}
+        assert got == {d: t for d, t in want.items() if t}
 
 
-def test_match_terms_plan_is_broadcast_nested_loop(spark):
+def test_no_plan_has_a_nested_loop(spark):
     texts = _texts(spark, [(1, "a b")])
-    plan = plan_text(matching.match_terms(texts, "txt", _terms(spark, ["a"]), ["id"]))
-    assert "BroadcastNestedLoopJoin" in plan and "BatchEvalPython" not in plan
+    cat = spark.createDataFrame([("ALS", "als group")], "name string, public_description string")
+    t = _terms(spark, ["a", "abcdefgh"])
+    for df in (matching.match_terms(texts, "txt", t, ["id"]), matching.find_candidates(texts, "txt", t, ["id"]),
+               matching.match_acronyms(texts, "txt", t, ["id"]), matching.lookup_with_fallback(t, cat)):
+        plan = plan_text(df)
+        assert not any(x in plan for x in ("NestedLoop", "Cartesian", "EvalPython"))
+
+
+def test_long_word_terms_are_verified(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = _texts(spark, [(1, f"x {long} y"), (2, long.replace("w20", "other")), (3, "W0 w1"), (4, None)])
+    got = {r["id"]: r["matched_term"] for r in matching.match_words(texts, "txt", _terms(spark, [long, "w0 w1", "w29"]), ["id"]).collect()}
+    assert got == {1: long, 2: "w0 w1", 3: "w0 w1"}
+
+
+def test_discovery_gives_one_answer_for_any_order(spark):
+    from threadscope.plans.discovery import find_communities
+
+    rows = [("als", f"title {i % 5}", "about als", i) for i in range(40)]
+    vocab = _terms(spark, ["als", "title 3"])
+    answers = set()
+    for seed in range(5):
+        cat = spark.createDataFrame(rows, "name string, title string, public_description string, rk int").orderBy(F.rand(seed)).repartition(1 + seed)
+        got = find_communities(cat, vocab, order=["matched_term", "rk"]).collect()
+        answers.add(tuple((r["name"], r["matched_term"], r["rk"]) for r in got))
+    assert answers == {(("als", "als", 0),)}
 
 
 def test_match_words_word_boundaries(spark):

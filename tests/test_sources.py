@@ -73,7 +73,8 @@ def test_threads_and_flat_objects(spark, tmp_dir):
     with gzip.open(p, "wt") as f:
         f.write(json.dumps({"subreddit": "x", "id": "p", "created_utc": 1, "comments": []}) + "\n")
         f.write("garbage\n")
-    assert R.read_threads(spark, p, min_partitions=2).count() == 1
+    back = R.read_threads(spark, p, min_partitions=2)
+    assert back.where("thread is not null").count() == 1 and back.where("_corrupt_record = 'garbage'").count() == 1
     q = os.path.join(tmp_dir, "flat.jsonl")
     with open(q, "w") as f:
         f.write(json.dumps({"subreddit": "x", "id": "p", "created_utc": 1}) + "\n")
@@ -120,6 +121,58 @@ def test_label_files(spark, tmp_dir):
         R.read_label_files(spark, [os.path.join(tmp_dir, "bad.csv"), os.path.join(tmp_dir, "bad.csv")])
 
 
+def test_label_files_by_name_and_first_row(spark, tmp_dir):
+    files = {"a": "subreddit,post_id,labels\ns,1,clinical\ns,1,news\ns,2,x\n",
+             "b": "post_id,subreddit,body,labels\n1,s,hello,news\n1,s,hi,clinical\n2,s,\"a,\nb\",x\n"}
+    for m, text in files.items():
+        open(os.path.join(tmp_dir, f"labels_{m}.csv"), "w").write(text)
+    long = R.read_label_files(spark, [os.path.join(tmp_dir, f"labels_{m}.csv") for m in files])
+    assert sorted(tuple(r) for r in long.collect()) == [("s", "1", "a", "clinical"), ("s", "1", "b", "news"), ("s", "2", "a", "x"), ("s", "2", "b", "x")]
+
+
+def _chain_line(n, post="p"):
+    node = lambda i: f'{{"id": "c{i}", "parent_id": "{"t3_" + post if i == 0 else f"t1_c{i - 1}"}", "body": "say ] }} \\" {i}", "replies": ['
+    return f'{{"subreddit": "s", "id": "{post}", "comments": [' + "".join(map(node, range(n))) + "]}" * n + "]}"
+
+
+def test_no_thread_is_lost_at_any_depth(spark, tmp_dir):
+    from threadscope.operators import threads
+
+    depths = [0, 1, 15, 40, 520, 1200, 5000]
+    broken = ['{"id": "cut off', "[1, 2]", "plain text"]
+    path = os.path.join(tmp_dir, "threads.jsonl")
+    open(path, "w").write("\n".join([*(_chain_line(n, f"p{n}") for n in depths), "", *broken]) + "\n")
+    back = R.read_threads(spark, path)
+    flat = threads.flatten_threads(back, "thread").select("post_id", "comment_id", "parent_id", "body", "is_post").collect()
+    for n in depths:
+        own = {r["comment_id"]: r for r in flat if r["post_id"] == f"p{n}" and not r["is_post"]}
+        assert len(own) == n == sum(r["post_id"] == f"p{n}" and not r["is_post"] for r in flat)
+        assert all(own[f"c{i}"]["parent_id"] == (f"t1_c{i - 1}" if i else f"t3_p{n}") for i in range(n))
+        assert all(own[f"c{i}"]["body"] == f'say ] }} " {i}' for i in range(n))
+        assert sum(r["post_id"] == f"p{n}" and r["is_post"] for r in flat) == 1
+    assert sorted(r["_corrupt_record"] for r in back.collect() if r["_corrupt_record"]) == sorted(broken)
+
+
+def test_half_written_versions_are_passed_over(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    K.snapshot_then_replace(spark.createDataFrame([(1,)], "x int"), path)
+    os.makedirs(os.path.join(path, "v=2"))
+    open(os.path.join(path, "v=2", "part-0.parquet"), "w").write("half")
+    assert [r["x"] for r in K.read_latest(spark, path).collect()] == [1]
+    assert K.snapshot_then_replace(spark.createDataFrame([(3,)], "x int"), path).endswith("v=3")
+    assert [r["x"] for r in K.read_latest(spark, path).collect()] == [3]
+
+
+def test_files_per_community_are_bounded(spark, tmp_dir):
+    df = spark.range(4000).selectExpr("id", "if(id % 4 = 0, 'b', 'a') subreddit").repartition(40)
+    out = os.path.join(tmp_dir, "clean")
+    K.write_clean(df, out, pieces=3)
+    for name in ("a", "b"):
+        files = [f for f in os.listdir(os.path.join(out, f"subreddit={name}")) if f.startswith("part-")]
+        assert 1 <= len(files) <= 3
+    assert spark.read.parquet(out).count() == 4000
+
+
 def test_period_pruning(spark, tmp_dir):
     e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     out = os.path.join(tmp_dir, "by_day")

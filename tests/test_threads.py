@@ -100,3 +100,21 @@ def test_verify_candidates_keywords(spark):
     out = batch.verify_candidates(df, lambda ps: ["rare" if "a" in p else "maybe" for p in ps],
                                   F.concat(F.lit("r/"), F.col("name")))
     assert sorted((r["name"], r["gpt_label"]) for r in out.collect()) == [("a", "yes"), ("b", "error")]
+
+
+def test_roots_with_repeats_cycles_and_missing_parents(spark):
+    rows = [("c1", "t3_p"), ("c1", "t3_p"), ("c2", "t1_c1"), ("c3", "t1_c2"), ("x", "t1_y"), ("y", "t1_z"), ("z", "t1_x"),
+            ("self", "t1_self"), ("tail", "t1_x"), ("lost", "t1_nobody"), ("none", None), (None, "t3_p")]
+    rows += [(f"d{i}", f"t1_d{i - 1}" if i else "t3_q") for i in range(300)]
+    got = threads.resolve_roots(spark.createDataFrame(rows, "id string, parent_id string"))
+    found = {r["id"]: r["post_id"] for r in got.collect()}
+    assert got.count() == len(found) == len({i for i, _ in rows if i})
+    assert {i: p for i, p in found.items() if p} == {"c1": "p", "c2": "p", "c3": "p", **{f"d{i}": "q" for i in range(300)}}
+
+
+def test_unify_keeps_repeated_objects(spark):
+    rows = [(True, "p", None), (False, "c1", "t3_p"), (False, "c1", "t3_p"), *[(False, f"c{i}", f"t1_c{i - 1}") for i in range(2, 6)]]
+    df = spark.createDataFrame([(a, "s", b, c, "u", 1, 1, "x") for a, b, c in rows],
+                               "is_post boolean, subreddit string, id string, parent_id string, author string, created_utc long, score long, body string")
+    got = sorted(r["comment_id"] for r in threads.unify_flat_objects(df).collect() if not r["is_post"])
+    assert got == ["c1", "c1", "c2", "c3", "c4", "c5"]

@@ -2,17 +2,16 @@
 
 The library ships the distributed job, not an API client: ``fn`` maps a list of
 prompts to a list of replies (``None`` for a missing reply). It runs inside
-``mapInPandas`` — one client per task, Arrow batches in and out — with retries and
-pacing per call. A batch that still fails keeps its rows with an error value; no
-row is lost. Replies are parsed by the JVM-side parsers of ``functions.labels``.
+an iterator pandas UDF — one client per task, prompts in and replies out as Arrow batches —
+with retries and pacing per call. A prompt that still fails keeps its row with an error value;
+no row is lost. Replies are parsed by the JVM-side parsers of ``functions.labels``.
 """
 
-from __future__ import annotations
-
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +28,6 @@ from threadscope.functions.labels import (
 )
 from threadscope.functions.text import shorten
 from threadscope.functions.verdicts import fenced_verdict, verdict_from_keyword
-from threadscope.operators.sizing import broadcast_if_small
 from threadscope.session import reliable_checkpoint, ship_package
 
 ReplyFn = Callable[[list[str]], Sequence[str | None]]
@@ -77,33 +75,43 @@ def run_batches(df: DataFrame, prompt: Column, fn: ReplyFn, batch_size: int = 32
                 reply_col: str = "reply", error_col: str = "reply_error") -> DataFrame:
     """Y1 core: add ``reply`` and ``reply_error`` by calling ``fn`` on prompt batches.
 
-    The rows are repartitioned round-robin into ``partitions`` tasks (default: the
-    session's default parallelism), which is the number of concurrent callers.
+    Only the prompt column goes to Python (an iterator pandas UDF); all others stay in the JVM.
+    A batch that fails after the last try is asked again prompt by prompt, so one bad prompt
+    costs its own reply alone. ``partitions`` bounds the concurrent callers by a round-robin
+    repartition; left out, the rows stay where they are and every running task is a caller.
     """
     ship_package(df.sparkSession)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    staged = df.repartition(n).withColumn("_prompt", prompt)
-    schema = T.StructType(staged.schema.fields + [
-        T.StructField(reply_col, T.StringType(), True),
-        T.StructField(error_col, T.StringType(), True),
-    ])
-
-    def run(batches):
+    staged = df.repartition(partitions) if partitions else df
+    reply = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(reply)
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         last_call = 0.0
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].copy()
+        for prompts in batches:
+            texts = ["" if p is None else str(p) for p in prompts]
+            replies: list[str | None] = []
+            errors: list[str | None] = []
+            for start in range(0, len(texts), batch_size):
+                chunk = texts[start:start + batch_size]
                 if policy.min_interval:
                     gap = policy.min_interval - (time.monotonic() - last_call)
                     if gap > 0:
                         time.sleep(gap)
-                replies, err = policy.call(fn, ["" if p is None else str(p) for p in chunk["_prompt"]])
+                got, err = policy.call(fn, chunk)
+                one_by_one = [policy.call(fn, [c]) for c in chunk] if err and len(chunk) > 1 else None
                 last_call = time.monotonic()
-                chunk[reply_col] = replies
-                chunk[error_col] = [err or (None if r is not None else "no reply") for r in replies]
-                yield chunk
+                if one_by_one:
+                    got, errs = [g[0] for g, _ in one_by_one], [e for _, e in one_by_one]
+                else:
+                    errs = [err] * len(chunk)
+                replies += got
+                errors += [e or (None if r is not None else "no reply") for r, e in zip(got, errs)]
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return staged.mapInPandas(run, schema).drop("_prompt")
+    # a model may answer differently each time: the call is never duplicated or moved by the optimizer
+    answered = staged.withColumn("_answer", ask.asNondeterministic()(prompt))
+    return answered.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_answer.reply").alias(reply_col),
+                           F.col("_answer.error").alias(error_col))
 
 
 def label_posts(df: DataFrame, fn: ReplyFn, text_col: str = "body", parser: str = "strict",
@@ -113,7 +121,7 @@ def label_posts(df: DataFrame, fn: ReplyFn, text_col: str = "body", parser: str
                 shorten_always: bool = True) -> DataFrame:
     """Label every row with a caller-supplied model function.
 
-    The prompt defaults to the body shortened to ``width`` characters (X8;
+    The prompt is the body shortened to ``width`` characters, or what ``prompt`` makes of it (X8;
     ``shorten_always=False`` leaves bodies within the width untouched). Replies are
     parsed with ``parser`` ('strict' X10, 'first_object' X11, 'fallback' X12), filtered
     to ``allowed`` and capped, and stored as an ``a;b`` string; a row whose call
@@ -124,7 +132,8 @@ def label_posts(df: DataFrame, fn: ReplyFn, text_col: str = "body", parser: str
     again. ``plans.study.run_study`` does this for every labeller.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    p = prompt(body) if prompt else shorten(body, width, always=shorten_always)
+    short = shorten(body, width, always=shorten_always)
+    p = prompt(short) if prompt else short
     replied = run_batches(df, p, fn, batch_size, policy, partitions)
     parse, default_cap = PARSERS[parser]
     parsed = parse(F.col("reply"), allowed, cap or default_cap)
@@ -145,8 +154,7 @@ def crosscheck_terms(df: DataFrame, fn: ReplyFn, term_col: str = "matched_term",
     replied = run_batches(terms, p, fn, batch_size, policy, partitions)
     v = fenced_verdict(F.col("reply"), strict_parity)
     verdicts = replied.select("_t", v["keep"].alias("keep"), v["prevalence_est"].alias("prevalence_est"))
-    # materialise once: the size check and the join must not call the model twice
-    verdicts, _ = broadcast_if_small(reliable_checkpoint(verdicts))
+    verdicts = reliable_checkpoint(verdicts)  # once: a retried join must not call the model again
     return df.join(verdicts, df[term_col] == verdicts["_t"], "left").drop("_t")
 
 

@@ -50,15 +50,15 @@ def label_long(frames: Mapping[str, DataFrame], keys: Sequence[str], labels: str
                dedupe_order: Sequence[str | Column] | None = None) -> DataFrame:
     """P9 + U2: per-model frames -> one long table ``(keys..., model, labels)``.
 
-    With ``dedupe_order`` each model's duplicate keys are reduced to the first row (W2).
+    Each model's duplicate keys are reduced to the first row (W2) by ``dedupe_order``, or by the
+    labels where no order is given, so no key votes twice for one model.
     """
     parts = []
     for model, f in frames.items():
         part = f.select(*keys, F.col(labels).alias("labels"), *(
             [F.col(o) if isinstance(o, str) else o for o in dedupe_order] if dedupe_order else []))
-        if dedupe_order:
-            part = keep_first(part, keys, [c for c in part.columns if c not in keys and c != "labels"]
-                              ).select(*keys, "labels")
+        part = keep_first(part, keys, [c for c in part.columns if c not in keys and c != "labels"]
+                          ).select(*keys, "labels")
         parts.append(part.withColumn("model", F.lit(model)))
     out = parts[0]
     for p in parts[1:]:
@@ -103,19 +103,15 @@ def attach_consensus(base: DataFrame, consensus: DataFrame, keys: Sequence[str],
 
 
 def label_summary(df: DataFrame, col: str = "consensus_labels", sep: str = LABEL_SEPARATOR) -> DataFrame:
-    """Rows, '' rows, NULL rows, distinct labels and their sorted list — one aggregate.
+    """Rows, '' rows, NULL rows, distinct labels and their sorted list.
 
-    ``posexplode_outer`` keeps one row per input row at position 0 (or NULL), so row
-    counts and the label set come from a single pass; the set is merged from small
-    per-task partial sets (bounded by the label vocabulary).
+    The counts are one aggregate over the rows. Labels are made distinct by a shuffle of
+    their own first; only the vocabulary, the answer itself, is gathered.
     """
-    e = df.select(F.col(col).alias("_c"), F.posexplode_outer(split_labels(col, sep)).alias("_p", "_l"))
-    first = F.col("_p").isNull() | (F.col("_p") == 0)
-    labels = F.array_sort(F.collect_set("_l"))
-    return e.agg(
-        F.count_if(first).alias("n_rows"),
-        F.count_if(first & (F.col("_c") == "")).alias("n_empty"),
-        F.count_if(first & F.col("_c").isNull()).alias("n_null"),
-        labels.alias("_labels"),
-    ).select("n_rows", "n_empty", "n_null", F.size("_labels").cast("bigint").alias("n_distinct"),
-             F.array_join("_labels", sep).alias("labels"))
+    c = F.col(col)
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c == "").alias("n_empty"),
+                    F.count_if(c.isNull()).alias("n_null"))
+    labels = df.select(F.explode(split_labels(col, sep)).alias("_l")).distinct().agg(
+        F.count("_l").alias("n_distinct"), F.array_join(F.array_sort(F.collect_list("_l")), sep).alias("labels"))
+    both = counts.unionByName(labels, allowMissingColumns=True)  # two rows
+    return both.agg(*[F.max(x).alias(x) for x in ("n_rows", "n_empty", "n_null", "n_distinct", "labels")])

@@ -1,8 +1,7 @@
 """Vocabulary matching against community text.
 
-J1 ``match_terms``: exact substring matching, either a broadcast nested-loop join
-(the vocabulary behind a bounded size check, hash-chunked beyond it) or, for large
-vocabularies, q-gram anchors hash-joined to each text's q-grams and verified.
+J1 ``match_terms``: exact substring matching; terms anchored on a run of their characters
+are hash-joined to each text's runs and verified.
 J2 ``match_words``: word n-gram equi-join (scales with any vocabulary size).
 J3 ``match_acronyms``: acronyms over rows J1 left unmatched.
 J4/J5 name lookups and W3 first-writer-wins.
@@ -17,23 +16,17 @@ from pyspark.sql import functions as F
 
 from threadscope.functions.text import collapse_ws, searchable_blob
 from threadscope.operators.filters import acronyms as acronym_filter
-from threadscope.operators.sizing import (
-    DEFAULT_MAX_BYTES,
-    DEFAULT_MAX_ROWS,
-    broadcast_if_small,
-    chunk_count,
-    measure,
-)
+from threadscope.session import scratch_path
 
 # --- fixed values -------------------------------------------------------------
 # Characters that delimit an upper-case acronym as a word.
 ACRONYM_DELIMITER = "[^A-Za-z0-9]+"
 # Number of relevance hits a term without an exact name hit may add.
 FALLBACK_K = 3
-# Substring matching: q-gram anchor length, and the vocabulary size up to which the
-# nested-loop strategy is chosen automatically.
+# Substring matching: length of the anchors.
 QGRAM = 5
-NESTED_LOOP_MAX_TERMS = 512
+# Word n-grams longer than this are found by their first words and verified.
+ANCHOR_WORDS = 8
 # -----------------------------------------------------------------------------
 
 
@@ -55,81 +48,66 @@ def _terms(terms: DataFrame, term_col: str, fold: bool) -> DataFrame:
     return terms.select(t.alias("_term")).where(F.col("_term").isNotNull() & (F.col("_term") != "")).distinct()
 
 
+def _anchors(vocab: DataFrame, q: int) -> DataFrame:
+    """``(_term, _gram)``: each term with the one of its q-character runs that the fewest terms have
+    (the smallest of equals); a term shorter than q is its own run."""
+    runs = F.when(F.length("_term") < q, F.array("_term")).otherwise(
+        F.array_distinct(F.regexp_extract_all(F.col("_term"), F.lit("(?s)(?=(.{%d}))" % q), 1)))
+    grams = vocab.select("_term", F.explode(runs).alias("_gram"))
+    shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return grams.join(shared, "_gram").groupBy("_term").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select(
+        "_term", F.col("_a._gram").alias("_gram"))
+
+
+def _contained(left: DataFrame, keys: Sequence[str], vocab: DataFrame, q: int) -> DataFrame:
+    """``(keys..., _term)`` for every row whose ``_text`` contains the term.
+
+    Every term is anchored on one run of its characters. A text's distinct runs of the anchors' lengths
+    (one linear regex pass per length that occurs; a zero-width lookahead captures them) are joined with
+    the anchors on equality; (row, term) pairs found so are checked against the text, unless the run is
+    the whole term. Work grows with the text, not with the vocabulary.
+    """
+    lengths = [r[0] for r in vocab.select(F.least(F.length("_term"), F.lit(q)).alias("n")).distinct().collect()]  # at most q
+    if not lengths:
+        return left.select(*keys).limit(0).withColumn("_term", F.lit(None).cast("string"))
+    runs = [F.regexp_extract_all(F.col("_text"), F.lit("(?s)(?=(.{%d}))" % n), 1) for n in sorted(lengths)]
+    probes = left.select(*keys, F.explode(F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])).alias("_gram"))
+    # written first: the planner then knows its size and broadcasts it or not by the session's threshold
+    path = scratch_path(left.sparkSession, "anchors")
+    _anchors(vocab, q).write.parquet(path)
+    anchors = left.sparkSession.read.schema("_term string, _gram string").parquet(path)
+    pairs = probes.join(anchors, "_gram", "inner").select(*keys, "_term", (F.col("_gram") == F.col("_term")).alias("_whole"))
+    # the pairs go to the text once; its other columns stay behind
+    checked = pairs.join(left.select(*keys, "_text"), list(keys), "inner").where(
+        F.col("_whole") | F.col("_text").contains(F.col("_term")))
+    return checked.select(*keys, "_term")
+
+
 def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[str],
-                term_col: str = "term", out: str = "matched_term", fold: bool = True,
-                strategy: str = "auto", q: int = QGRAM, max_rows: int = DEFAULT_MAX_ROWS,
-                max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                term_col: str = "term", out: str = "matched_term", fold: bool = True, q: int = QGRAM) -> DataFrame:
     """Rows whose (lower-cased) text contains a term, with one matched term each.
 
     Unmatched rows are dropped. ``keys`` must identify a row of ``df``. The matched
     term is the lower-cased term; the longest wins, then code-point order (the
-    choice is deterministic). Two exact strategies:
-
-    * ``nested_loop``: BroadcastNestedLoopJoin with ``contains`` — every row is tested
-      against every term, O(rows x terms); a vocabulary beyond the bounded size check
-      is split into hash chunks, each broadcast on its own.
-    * ``qgram``: each term of at least ``q`` characters is anchored on its first ``q``
-      characters; texts explode their distinct q-grams and hash-join the anchors,
-      and only candidate (row, term) pairs are verified with ``contains`` — work grows
-      with text length, not with vocabulary size. Shorter terms use the nested loop.
-
-    ``auto`` takes the nested loop for vocabularies up to ``NESTED_LOOP_MAX_TERMS``.
+    choice is deterministic). One anchored equi-join for any vocabulary (``_contained``).
     """
     keys = list(keys)
-    carry = [c for c in df.columns if c not in keys]
     vocab = _terms(terms, term_col, fold)
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
-    left = df.withColumn("_text", text)
-    size = None
-    if strategy == "auto":
-        size = measure(vocab, max_rows)
-        strategy = "nested_loop" if size is not None and size.rows <= NESTED_LOOP_MAX_TERMS else "qgram"
-    if strategy == "nested_loop":
-        pairs = _nested_loop_pairs(left, vocab, max_rows, max_bytes, size)
-    elif strategy == "qgram":
-        short = vocab.where(F.length("_term") < q)
-        anchored = vocab.where(F.length("_term") >= q).withColumn("_gram", F.substring("_term", 1, q))
-        anchored, _ = broadcast_if_small(anchored, max_rows, max_bytes)
-        # every overlapping q-gram in one linear regex pass (a zero-width lookahead that
-        # captures q code points); position-wise substr would rescan the string per call
-        grams = F.regexp_extract_all(F.col("_text"), F.lit("(?s)(?=(.{%d}))" % q), 1)
-        # only keys travel with the exploded q-grams; each (row, anchor) pair appears once
-        probes = left.select(*keys, F.explode(F.array_distinct(grams)).alias("_gram"))
-        # candidate terms per row (at most the vocabulary), joined to the text once per row
-        cands = (probes.join(anchored, "_gram", "inner").groupBy(*keys)
-                 .agg(F.collect_list("_term").alias("_cands")))
-        hits = cands.join(left, keys, "inner").select(
-            *keys, *[F.col(f"`{c}`") for c in carry], "_text",
-            F.explode(F.filter("_cands", lambda t: F.col("_text").contains(t))).alias("_term"))
-        pairs = hits.unionByName(_nested_loop_pairs(left, short, max_rows, max_bytes))
-    else:
-        raise ValueError("strategy must be 'auto', 'nested_loop' or 'qgram'")
-    return _best_term(pairs.drop("_text"), keys, carry, "_term", out)
-
-
-def _nested_loop_pairs(left: DataFrame, vocab: DataFrame, max_rows: int, max_bytes: int,
-                       size=None) -> DataFrame:
-    cond = F.col("_text").contains(F.col("_term"))
-    k = chunk_count(vocab, max_rows, max_bytes, size)
-    if k == 1:
-        return left.join(F.broadcast(vocab), cond, "inner")
-    chunked = vocab.withColumn("_chunk", F.pmod(F.xxhash64("_term"), F.lit(k)))
-    pairs = None
-    for i in range(k):
-        part = left.join(F.broadcast(chunked.filter(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs
-
-
-def word_ngrams(text: Column, max_n: int) -> Column:
-    """Distinct space-delimited word n-grams (n = 1..max_n) of whitespace-collapsed text.
+    left = df.select(*keys, text.alias("_text"))
+    best = _best_term(_contained(left, keys, vocab, q), keys, [], "_term", out)
+    return df.join(best, keys, "inner")
+
+
+def word_ngrams(text: Column, lengths: Sequence[int]) -> Column:
+    """Distinct space-delimited word n-grams (n in ``lengths``) of whitespace-collapsed text.
 
     One linear regex pass per n: a lookahead anchored at each word start captures the
     next n words (no per-element higher-order function over the word array).
     """
     s = collapse_ws(text)
     runs = [F.regexp_extract_all(s, F.lit("(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"), 1)
-            for n in range(1, max_n + 1)]
+            for n in lengths]
     return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
 
 
@@ -139,22 +117,30 @@ def match_words(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[s
 
     Text and terms are lower-cased (``fold``) and whitespace-collapsed; a term
     matches when it equals a run of consecutive words. Each row explodes into its
-    distinct n-grams (n up to the longest term) and joins the vocabulary on
-    equality — a hash join that needs no broadcast to scale. Best term as in J1.
+    distinct n-grams, only of lengths that terms have, and joins the vocabulary on
+    equality — a hash join that needs no broadcast to scale. Terms of more than
+    ``ANCHOR_WORDS`` words join on their first words and are verified after. Best term as in J1.
     """
     keys = list(keys)
     t = F.col(term_col)
     norm = collapse_ws(F.lower(t) if fold else t)
     vocab = terms.select(norm.alias("_term")).where(F.col("_term") != "").distinct()
-    max_n = vocab.agg(F.max(F.size(F.split("_term", " ")))).first()[0]
-    if not max_n:
+    n = F.size(F.split("_term", " "))
+    lengths = [r[0] for r in vocab.select(F.least(n, F.lit(ANCHOR_WORDS)).alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
         return df.limit(0).withColumn(out, F.lit(None).cast("string"))
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
     # only keys travel with the exploded n-grams; matched rows are joined back once
-    grams = df.select(*keys, F.explode(word_ngrams(F.coalesce(text, F.lit("")), int(max_n))).alias("_term"))
-    vocab, _ = broadcast_if_small(vocab)
-    hits = _best_term(grams.join(vocab, "_term", "inner"), keys, [], "_term", out)
-    return df.join(hits, keys, "inner")
+    grams = df.select(*keys, F.explode(word_ngrams(F.coalesce(text, F.lit("")), lengths)).alias("_anchor"))
+    anchored = vocab.withColumn("_anchor", F.array_join(F.slice(F.split("_term", " "), 1, ANCHOR_WORDS), " "))
+    hits = grams.join(anchored, "_anchor", "inner")
+    if lengths[-1] == ANCHOR_WORDS:
+        body = df.select(*keys, collapse_ws(F.coalesce(text, F.lit(""))).alias("_body"))
+        long = hits.where(n > ANCHOR_WORDS).join(body, keys, "inner").where(
+            F.concat(F.lit(" "), "_body", F.lit(" ")).contains(F.concat(F.lit(" "), "_term", F.lit(" ")))).drop("_body")
+        hits = hits.where(n <= ANCHOR_WORDS).unionByName(long)
+    best = _best_term(hits, keys, [], "_term", out)
+    return df.join(best, keys, "inner")
 
 
 def match_acronyms(df: DataFrame, text_col: str, acronym_terms: DataFrame, keys: Sequence[str],
@@ -227,24 +213,26 @@ def first_writer_wins(df: DataFrame, name_col: str = "name", order: Sequence[str
 def lookup_with_fallback(terms: DataFrame, catalog: DataFrame, term_col: str = "term",
                          name_col: str = "name", desc_col: str | None = "public_description",
                          relevance: Sequence[Column] | None = None, tiebreak: str = "name",
-                         k: int = FALLBACK_K) -> DataFrame:
+                         k: int = FALLBACK_K, exclude_exact: Column | None = None) -> DataFrame:
     """Exact name hits (J4); terms without one get their top-k relevance hits.
 
     Fallback hits are catalogue rows whose ``name + description`` contains the term
-    (case-folded, J1's theta join with the unmatched terms broadcast behind the size
-    check), ranked by ``relevance`` then ``tiebreak``; ``row_number() <= k`` is a
+    (case-folded, J1's anchored join), ranked by ``relevance`` then ``tiebreak``; ``row_number() <= k`` is a
     constant limit so Spark trims each term's hits per task before the shuffle.
     Adds ``hit_kind`` ('exact'/'fallback') and ``hit_rank``.
     """
-    exact = lookup_by_name(terms, catalog, term_col, name_col)
+    exact = lookup_by_name(terms, catalog, term_col, name_col, exclude_exact)
     exact = exact.withColumn("hit_kind", F.lit("exact")).withColumn("hit_rank", F.lit(1))
     missing = terms.join(exact.select(F.col("matched_term").alias(term_col)).distinct(), term_col, "left_anti")
     blob = searchable_blob(name_col, desc_col) if desc_col else F.col(name_col)
     vocab = missing.select(F.lower(F.col(term_col)).alias("_term"), F.col(term_col).alias("matched_term"))
-    cat = catalog.withColumn("_text", F.lower(blob))
-    pairs = _nested_loop_pairs(cat, vocab, DEFAULT_MAX_ROWS, DEFAULT_MAX_BYTES)
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in catalog.columns]), {"ignoreNullFields": "false"})
+    cat = catalog.withColumn("_row", F.md5(whole.cast("binary")))
+    found = _contained(cat.select("_row", F.lower(blob).alias("_text")).distinct(), ["_row"],
+                       vocab.select("_term").where("_term != ''").distinct(), QGRAM)
+    pairs = found.distinct().join(vocab, "_term").join(cat, "_row").drop("_row")
     rel = list(relevance) if relevance else []
     w = Window.partitionBy("matched_term").orderBy(*rel, F.col(tiebreak).asc())
-    fb = (pairs.drop("_text", "_term").withColumn("hit_rank", F.row_number().over(w))
+    fb = (pairs.drop("_term").withColumn("hit_rank", F.row_number().over(w))
           .filter(F.col("hit_rank") <= k).withColumn("hit_kind", F.lit("fallback")))
     return exact.unionByName(fb, allowMissingColumns=True)

@@ -40,7 +40,7 @@ def yield_curve(df: DataFrame, flag: Column, order: Sequence[str], every: int =
                          F.coalesce(F.sum("_y").over(before), F.lit(0)).alias("_yes0"))
     w = Window.partitionBy("_pid").orderBy(*order)
     run = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    pos = ranged.join(F.broadcast(offsets), "_pid").select(
+    pos = ranged.join(offsets, "_pid").select(
         (F.col("_row0") + F.row_number().over(w)).cast("bigint").alias(processed),
         (F.col("_yes0") + F.sum("_f").over(run)).cast("bigint").alias(positives))
     return pos.filter((F.col(processed) % every == 0) | (F.col(processed) == n))

@@ -7,18 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadscope.operators.sizing import broadcast_if_small
-
 
 def restrict_to(df: DataFrame, names: DataFrame, col: str = "subreddit", name_col: str | None = None
                 ) -> DataFrame:
     """Rows whose ``col`` is on the list (left semi join).
 
-    The list is broadcast when the bounded size check passes; otherwise a shuffle
-    semi join (AQE may still broadcast from runtime statistics).
+    The planner picks the join; AQE broadcasts the list when its measured size allows.
     """
     n = names.select(F.col(name_col or col).alias(col)).distinct()
-    n, _ = broadcast_if_small(n)
     return df.join(n, col, "left_semi")
 
 

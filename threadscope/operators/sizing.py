@@ -1,90 +1,21 @@
-"""Plan helpers: size checks before a broadcast, spreading single-split inputs, and
-computing an expensive column once.
-
-
-A side is broadcast only after a bounded check proves it small: the check reads at
-most ``max_rows + 1`` rows (``limit`` stops the scan early), so it stays cheap even
-when the side turns out to be large. Beyond the bound the caller takes a
-non-broadcast path (a shuffle join, or chunked broadcasts for theta joins).
-"""
+"""Plan helpers: spreading single-split inputs, and computing an expensive column once."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Defaults sized for executors with a few GiB of memory: a broadcast table is held
-# once per executor and shipped to all of them.
-DEFAULT_MAX_ROWS = 2_000_000
-DEFAULT_MAX_BYTES = 128 * 1024 * 1024
-
-
-@dataclass(frozen=True)
-class SideSize:
-    rows: int
-    bytes: int
-
-    def fits(self, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> bool:
-        return self.rows <= max_rows and self.bytes <= max_bytes
-
-
-def measure(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> SideSize | None:
-    """Rows and approximate serialized bytes of ``df``; None when it has more than max_rows."""
-    probe = df.limit(max_rows + 1)
-    payload = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    row = probe.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(payload), F.lit(0)).alias("b")).first()
-    if row["n"] > max_rows:
-        return None
-    return SideSize(int(row["n"]), int(row["b"]))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                       max_bytes: int = DEFAULT_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when the bounded check passes, else ``(df, False)``.
-
-    Without the hint the planner (and AQE, from runtime statistics) picks the join.
-    """
-    size = measure(df, max_rows)
-    if size is not None and size.fits(max_rows, max_bytes):
-        return F.broadcast(df), True
-    return df, False
-
-
-def chunk_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                max_bytes: int = DEFAULT_MAX_BYTES, size: SideSize | None = None) -> int:
-    """How many hash chunks split ``df`` into broadcastable pieces (1 = broadcast whole).
-
-    ``size`` may carry a measurement already taken with the same ``max_rows``.
-    """
-    size = size if size is not None else measure(df, max_rows)
-    if size is not None and size.fits(max_rows, max_bytes):
-        return 1
-    total = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
-                              F.lit(0)).alias("b")).first()
-    by_rows = -(-int(total["n"]) // max_rows)
-    by_bytes = -(-int(total["b"]) // max_bytes)
-    # head-room for uneven hash chunks
-    return max(2, int(max(by_rows, by_bytes) * 1.25) + 1)
-
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when ``df`` has fewer partitions than the cluster's cores.
+    """Round-robin repartition of a source read that has fewer partitions than the cluster's cores.
 
-    For CPU-heavy per-row work (regex cleaning, substring theta joins) on an input
-    with few splits (e.g. a single Parquet row group). On large inputs, which already
-    have more splits than cores, this is a no-op, so no shuffle is added at scale. An
-    explicit partition count is not coalesced by AQE. Use it on a source read: the
-    partition count of a frame with shuffles is only known after running them.
+    For CPU-heavy per-row work (regex cleaning, substring matching) on an input with few splits
+    (e.g. a single Parquet row group). Inputs with more splits than cores stay as they are. An
+    explicit partition count is not coalesced by AQE. Use it on a source read: the partition count
+    of a frame with shuffles is only known after running them.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan alone
-        return df
-    return df.repartition(target) if current < target else df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def with_computed(df: DataFrame, name: str, col) -> DataFrame:

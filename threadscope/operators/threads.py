@@ -70,7 +70,7 @@ def project_comment(df: DataFrame) -> DataFrame:
 
 
 def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool = True,
-                    checkpoint_every: int = 4, max_depth: int | None = None) -> DataFrame:
+                    checkpoint_every: int = 4) -> DataFrame:
     """G1: nested threads (VARIANT) -> one post row plus one row per comment at any depth.
 
     The post row is its own parent (``t3_<id>``) with an empty ``comment_id``.
@@ -78,9 +78,11 @@ def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool =
     the previous level (a narrow, shuffle-free step) until a level is empty. Every
     ``checkpoint_every`` levels the frontier is cut with a reliable checkpoint, so a
     level never re-explodes more than that many levels; there is no recursion limit,
-    unlike a recursive CTE.
+    unlike a recursive CTE. Fragments of a deep thread (``read_threads``) give comments
+    but no post, and rows without a thread give nothing.
     """
     v = F.col(col)
+    threads = threads.where(v.isNotNull())
 
     def get(node: Column, field: str, t: str) -> Column:
         return F.try_variant_get(node, f"$.{field}", t)
@@ -94,14 +96,15 @@ def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool =
         get(v, "num_comments", "bigint").alias("_nc"),
         get(v, "selftext", "string").alias("_body"),
         get(v, "comments", "array<variant>").alias("_kids"),
+        F.coalesce(get(v, "_fragment", "boolean"), F.lit(False)).alias("_fragment"),
     )
-    levels = [posts.select(*_flat(F.col("subreddit"), F.col("post_id"), F.lit(""),
+    levels = [posts.where(~F.col("_fragment")).select(*_flat(F.col("subreddit"), F.col("post_id"), F.lit(""),
                                   F.concat(F.lit(POST_PREFIX), F.col("post_id")), True,
                                   F.col("_author"), F.col("_created"), F.col("_score"), F.col("_nc"),
                                   F.col("_body")))]
     frontier = posts.select("subreddit", "post_id", F.explode("_kids").alias("_node"))
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while True:
         if not checkpoint or depth % max(1, checkpoint_every) == 0:
             if checkpoint:
                 frontier = reliable_checkpoint(frontier)
@@ -122,33 +125,38 @@ def flatten_threads(threads: DataFrame, col: str = "thread", checkpoint: bool =
     return out
 
 
-def resolve_roots(comments: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
-                  max_rounds: int = 64) -> DataFrame:
-    """Root submission of every comment by pointer doubling: ``(id, post_id)``.
+def resolve_roots(comments: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """Root submission of every distinct comment id by pointer doubling: ``(id, post_id)``.
 
-    A ``t3_`` parent is the root; a ``t1_`` parent is followed. Each round joins the
-    unresolved comments to the current state and jumps to the parent's pointer, so a
-    chain of depth d resolves in about log2(d) rounds; each round is checkpointed.
-    A comment whose chain reaches a missing parent keeps ``post_id`` NULL.
+    A ``t3_`` parent is the root; a ``t1_`` parent is followed. Of several rows with one id the first by
+    parent counts. Each round joins the open comments with all pointers and doubles the distance they
+    look ahead, so a chain of depth d takes about log2(d) rounds. The table is written once per round
+    (checkpoint) in a fixed number of partitions. The rounds end when no comment is open, or when a
+    round leaves as many open as before the distance could have crossed all of them: those lie on a
+    cycle. They, and chains that reach a missing parent, keep ``post_id`` NULL.
     """
+    from threadscope.operators.consensus import keep_first
+
     pid = F.col(parent_col)
-    state = comments.select(
-        F.col(id_col).cast("string").alias("_id"),
-        F.when(pid.startswith(POST_PREFIX), strip_fullname(pid)).alias("_root"),
-        F.when(pid.startswith(COMMENT_PREFIX), strip_fullname(pid)).alias("_ptr"),
-    )
-    for _ in range(max_rounds):
-        state = reliable_checkpoint(state)
-        open_ = F.col("_root").isNull() & F.col("_ptr").isNotNull()
-        pending = state.filter(open_)
-        if pending.isEmpty():
-            break
-        other = state.select(F.col("_id").alias("_bid"), F.col("_root").alias("_broot"),
-                             F.col("_ptr").alias("_bptr"))
-        stepped = pending.join(other, pending["_ptr"] == other["_bid"], "left").select(
-            "_id", F.col("_broot").alias("_root"),
-            F.when(F.col("_broot").isNull(), F.col("_bptr")).alias("_ptr"))
-        state = state.filter(~open_).unionByName(stepped)
+    parts = int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = keep_first(comments.select(F.col(id_col).cast("string").alias("_id"), pid.alias("_parent")).where(
+        F.col("_id").isNotNull()), ["_id"], ["_parent"])
+    state = one.select(
+        "_id", F.when(F.col("_parent").startswith(POST_PREFIX), strip_fullname(F.col("_parent"))).alias("_root"),
+        F.when(F.col("_parent").startswith(COMMENT_PREFIX), strip_fullname(F.col("_parent"))).alias("_ptr"))
+    open_ = F.col("_root").isNull() & F.col("_ptr").isNotNull()
+    state = reliable_checkpoint(state.repartition(parts, "_id"))
+    pending, reach = state.where(open_).count(), 1
+    while pending:
+        other = state.select(F.col("_id").alias("_bid"), F.col("_root").alias("_broot"), F.col("_ptr").alias("_bptr"))
+        stepped = state.join(other, open_ & (F.col("_ptr") == F.col("_bid")), "left").select(
+            "_id", F.coalesce("_root", "_broot").alias("_root"),
+            F.when(open_ & F.col("_broot").isNull(), F.col("_bptr")).alias("_ptr"))
+        state = reliable_checkpoint(stepped.repartition(parts, "_id"))
+        left, reach = state.where(open_).count(), 2 * reach
+        if left == pending and reach > left:
+            break  # a path of open comments longer than their number repeats one
+        pending = left
     return state.select(F.col("_id").alias(id_col), F.col("_root").alias("post_id"))
 
 
@@ -156,7 +164,8 @@ def unify_flat_objects(objs: DataFrame) -> DataFrame:
     """Flat submission + comment objects -> the ten-column flat table.
 
     Submissions map directly; a comment's ``post_id`` comes from its parent chain
-    (``resolve_roots``). ``is_post`` missing means submission.
+    (``resolve_roots``, one row per distinct id, so repeated objects stay as many as
+    they are). ``is_post`` missing means submission.
     """
     is_post = F.coalesce(F.col("is_post"), F.lit(True))
     posts = objs.filter(is_post)

@@ -27,14 +27,16 @@ def find_communities(catalog: DataFrame, vocabulary: DataFrame, name: str = "nam
                      description: str = "public_description", max_description: int = 300) -> DataFrame:
     """Candidate communities: catalogue rows whose text contains a vocabulary term.
 
-    Numeric terms are dropped first; one row per case-folded name survives (the
-    earliest by ``order``); names already in ``done`` are skipped. The description
-    is cut to ``max_description`` characters.
+    Numeric terms are dropped first. Rows are matched one by one (keyed by a digest of all their
+    columns, so rows that share a name stay apart); then one row per case-folded name survives,
+    the earliest by ``order`` and, among equals, by the remaining columns. Names already in
+    ``done`` are skipped. The description is cut to ``max_description`` characters.
     """
     vocab = drop_numeric_terms(vocabulary.select(F.col(vocabulary.columns[0]).alias("term")))
-    staged = catalog.withColumn("_blob", searchable_blob(*text_cols))
-    cands = find_candidates(staged, "_blob", vocab, [name], acronym_case=acronym_case,
-                            acronyms_in_substring_pass=acronyms_in_substring_pass).drop("_blob")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in catalog.columns]), {"ignoreNullFields": "false"})
+    staged = catalog.withColumn("_blob", searchable_blob(*text_cols)).withColumn("_row", F.md5(whole.cast("binary")))
+    cands = find_candidates(staged, "_blob", vocab, ["_row"], acronym_case=acronym_case,
+                            acronyms_in_substring_pass=acronyms_in_substring_pass).drop("_blob", "_row")
     if description in cands.columns:
         cands = cands.withColumn(description, truncate_chars(description, max_description))
     cands = first_writer_wins(cands, name, list(order))
@@ -61,15 +63,23 @@ def kept_names(verified: DataFrame, name: str = "name", order: Sequence[str] = (
 
 def lookup_communities(vocabulary: DataFrame, catalog: DataFrame, name: str = "name",
                        description: str | None = "public_description", relevance: Sequence[Column] | None = None,
-                       tiebreak: str = "name", k: int = 3, done: DataFrame | None = None) -> DataFrame:
-    """Search path: numeric terms dropped, exact case-insensitive name hits (J4), top-k
-    relevance hits for terms without one (J5), one row per case-folded name with the
-    earliest term winning (W3), names already collected skipped (J11)."""
+                       tiebreak: str = "name", k: int = 3, done: DataFrame | None = None,
+                       exclude_exact: Column | None = None, max_description: int = 300,
+                       subscribers: str = "subscribers") -> DataFrame:
+    """Search path: numeric terms dropped, exact case-insensitive name hits (J4, without rows that
+    ``exclude_exact`` names, e.g. ``F.col("over18")``), top-k relevance hits for terms without one
+    (J5), one row per case-folded name with the earliest term winning (W3), names already collected
+    skipped (J11). The description is cut to ``max_description`` characters and a missing
+    ``subscribers`` count is 0, where the catalogue has these columns."""
     from threadscope.operators.matching import lookup_with_fallback
 
     vocab = drop_numeric_terms(vocabulary.select(F.col(vocabulary.columns[0]).alias("term"))).distinct()
     hits = lookup_with_fallback(vocab, catalog, "term", name, description, relevance=relevance,
-                                tiebreak=tiebreak, k=k)
+                                tiebreak=tiebreak, k=k, exclude_exact=exclude_exact)
+    if description in hits.columns:
+        hits = hits.withColumn(description, truncate_chars(description, max_description))
+    if subscribers in hits.columns:
+        hits = hits.withColumn(subscribers, F.coalesce(F.col(subscribers), F.lit(0)))
     first = first_writer_wins(hits, name, ["matched_term", "hit_rank", tiebreak])
     if done is not None:
         first = only_new(first, done.select(F.col(done.columns[0]).alias(name)), [name])

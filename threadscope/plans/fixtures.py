@@ -71,12 +71,12 @@ def label_va(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_vb(spark: SparkSession, d: str) -> DataFrame:
-    """VB: documents up to 8,000 characters, labelled by length band (one band votes twice)."""
+    """VB: every document, labelled by length band (one band votes twice)."""
     docs = table(spark, d, "documents")
     n = F.col("n_chars")
     lab = (F.when(n < 500, F.lit("experience")).when(n < 2000, F.lit("clinical;news"))
            .when(n < 4000, F.lit("news;news")).otherwise(F.lit("")))
-    return docs.where(n <= 8000).select("source", "doc_id", lab.alias("labels"))
+    return docs.select("source", "doc_id", lab.alias("labels"))
 
 
 def label_vc(spark: SparkSession, d: str) -> DataFrame:
@@ -155,31 +155,58 @@ def keyword_replies(spark: SparkSession, d: str) -> DataFrame:
 # --- threads from conversations ----------------------------------------------------
 
 
-def conversation_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Each conversation nested to one JSON thread (turn n+1 in the replies of turn n)."""
+def conversation_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation nested to one JSON thread, as text (turn n+1 in the replies of turn n)."""
     c = table(spark, d, "conversations")
     turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     cid = F.col("conv_id").cast("string")
 
-    def node(x: Column) -> Column:
+    def opened(x: Column) -> Column:
+        """The node without its end: every node is closed after the last one has begun."""
         parent = F.when(x["turn"] == 1, F.concat(F.lit("t3_"), cid)).otherwise(
             F.concat(F.lit("t1_"), cid, F.lit("_"), (x["turn"] - 1).cast("string")))
-        return F.to_json(F.struct(
+        node = F.to_json(F.struct(
             F.concat(cid, F.lit("_"), x["turn"].cast("string")).alias("id"), parent.alias("parent_id"),
             x["role"].alias("author"), x["turn"].alias("created_utc"), x["turn"].alias("score"),
             x["text"].alias("body")))
+        return F.concat(F.regexp_replace(node, r"\}$", ""), F.lit(',"replies":['))
 
     comments = F.filter(F.col("t"), lambda x: x["turn"] > 0)
-    chain = F.aggregate(F.reverse(comments), F.lit(""),
-                        lambda acc, x: F.concat(F.regexp_replace(node(x), r"\}$", ""),
-                                                F.lit(',"replies":['), acc, F.lit("]}")))
     post = F.element_at(F.col("t"), 1)
     head = F.to_json(F.struct(F.lit("conversations").alias("subreddit"), cid.alias("id"),
                               post["role"].alias("author"), post["turn"].alias("created_utc"),
                               post["turn"].alias("score"), (F.size(F.col("t")) - 1).alias("num_comments"),
                               post["text"].alias("selftext")))
-    js = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"comments":['), chain, F.lit("]}"))
-    return turns.select(F.parse_json(js).alias("thread"))
+    return turns.select(_nested(head, F.transform(comments, opened)).alias("value"))
+
+
+def _nested(head: Column, opened: Column) -> Column:
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"comments":['), F.array_join(opened, ""),
+                    F.repeat(F.lit("]}"), F.size(opened)), F.lit("]}"))
+
+
+def conversation_threads(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_lines(spark, d).select(F.parse_json("value").alias("thread"))
+
+
+# Replies in one chain of the deep threads.
+CHAIN = 1500
+
+
+def part_chain_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as threads of CHAIN replies, each the reply to the one before."""
+    part = table(spark, d, "part").select(F.floor((F.col("p_partkey") - 1) / CHAIN).cast("string").alias("g"), "p_partkey", "p_name")
+    threads = part.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("t"))
+
+    def opened(x: Column, i: Column) -> Column:
+        parent = F.when(i == 0, F.concat(F.lit("t3_chain"), F.col("g"))).otherwise(
+            F.concat(F.lit("t1_p"), F.get(F.col("t"), i - 1)["p_partkey"].cast("string")))
+        node = F.to_json(F.struct(F.concat(F.lit("p"), x["p_partkey"].cast("string")).alias("id"), parent.alias("parent_id"),
+                                  x["p_name"].alias("body")))
+        return F.concat(F.regexp_replace(node, r"\}$", ""), F.lit(',"replies":['))
+
+    head = F.to_json(F.struct(F.lit("parts").alias("subreddit"), F.concat(F.lit("chain"), F.col("g")).alias("id")))
+    return threads.select(_nested(head, F.transform(F.col("t"), opened)).alias("value"))
 
 
 def conversation_objects(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ va AS (SELECT d.source, d.doc_id,
        FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 vb AS (SELECT source, doc_id, CASE WHEN n_chars < 500 THEN 'experience' WHEN n_chars < 2000 THEN 'clinical;news'
                                    WHEN n_chars < 4000 THEN 'news;news' ELSE '' END AS labels
-       FROM documents WHERE n_chars <= 8000),
+       FROM documents),
 vc AS (SELECT source, doc_id, CASE lang WHEN 'en' THEN 'clinical' WHEN 'fr' THEN 'off_topic;clinical'
                                         WHEN 'de' THEN 'experience; clinical' END AS labels FROM documents),
 long AS (SELECT source, doc_id, labels, 'A' AS model FROM va UNION ALL
@@ -225,7 +225,7 @@ m AS (SELECT d.doc_id, t.term, row_number() OVER (PARTITION BY d.doc_id ORDER BY
 SELECT doc_id, term AS matched_term FROM m WHERE rn = 1""",
     "term_match_words": f"""
 WITH v AS (SELECT DISTINCT {collapse('t')} AS term
-           FROM (SELECT lower(p_type) AS t FROM part UNION ALL SELECT lower(p_name) FROM part WHERE p_brand = 'Brand#1')
+           FROM (SELECT lower(p_type) AS t FROM part UNION ALL SELECT lower(p_name) FROM part)
            WHERE {collapse('t')} <> ''),
 mx AS (SELECT max(len(string_split(term, ' '))) AS m FROM v),
 w AS (SELECT p_partkey, string_split({collapse("lower(coalesce(p_name, ''))")}, ' ') AS ws FROM part),
@@ -289,7 +289,7 @@ SELECT p_name, p_partkey, matched_term FROM h WHERE rn = 1""",
 WITH names AS (SELECT DISTINCT p_name AS term FROM part),
 words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
 terms AS (SELECT term FROM names UNION SELECT term FROM words),
-exact AS (SELECT t.term AS matched_term, p.p_partkey FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name)),
+exact AS (SELECT t.term AS matched_term, p.p_partkey FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name) AND p.p_size < 45),
 missing AS (SELECT term FROM terms WHERE term NOT IN (SELECT matched_term FROM exact)),
 fb AS (SELECT m.term AS matched_term, p.p_partkey,
               row_number() OVER (PARTITION BY m.term ORDER BY p.p_retailprice DESC, p.p_partkey) AS hit_rank
@@ -306,7 +306,7 @@ WHERE source IN (SELECT d.source FROM documents d JOIN labels l ON d.doc_id = l.
     "union_terms": "SELECT n_name AS term FROM nation UNION SELECT r_name AS term FROM region",
     "intersect_keys": """
 SELECT d.source, d.doc_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id
-INTERSECT SELECT source, doc_id FROM documents WHERE n_chars <= 8000
+INTERSECT SELECT source, doc_id FROM documents
 INTERSECT SELECT source, doc_id FROM documents""",
     "first_last_reply": f"""
 WITH {LATENCY_CTE}
@@ -454,13 +454,13 @@ vocab AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(p_name, ' ')) AS
           WHERE NOT regexp_full_match(term, '(?:[0-9/.,-]|{WS})+')),
 v1 AS (SELECT DISTINCT lower(term) AS t FROM vocab WHERE term IS NOT NULL AND term <> ''),
 m AS (SELECT c.p_partkey, c.name, c.public_description, v1.t,
-             row_number() OVER (PARTITION BY c.name ORDER BY length(v1.t) DESC, v1.t) AS rn
+             row_number() OVER (PARTITION BY c.p_partkey ORDER BY length(v1.t) DESC, v1.t) AS rn
       FROM cat c JOIN v1 ON contains(lower(concat_ws(' ', coalesce(c.name, ''), coalesce(c.title, ''),
                                                      coalesce(c.public_description, ''))), v1.t)),
 hit AS (SELECT p_partkey, name, public_description, t AS matched_term FROM m WHERE rn = 1),
 w AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY matched_term, p_partkey) AS rn FROM hit),
 fresh AS (SELECT * FROM w WHERE rn = 1 AND name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_type = 'PROMO'))
-SELECT name, matched_term,
+SELECT p_partkey, name, matched_term,
        CASE WHEN contains(name || ': ' || public_description, 'ring') THEN 'yes'
             WHEN contains(name || ': ' || public_description, 'bolt') THEN 'no' ELSE 'error' END AS gpt_label,
        CASE WHEN length(matched_term) % 2 = 1 THEN 'yes' ELSE 'no' END AS keep,
@@ -510,18 +510,62 @@ WITH terms AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part
                                           UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part)
                WHERE NOT regexp_full_match(term, '(?:[0-9/.,-]|{WS})+')),
 exact AS (SELECT t.term AS matched_term, p.p_partkey, p.p_name AS name, 'exact' AS hit_kind, 1 AS hit_rank
-          FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name)),
+          FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name) AND p.p_size < 45),
 missing AS (SELECT term FROM terms WHERE term NOT IN (SELECT matched_term FROM exact)),
 fb AS (SELECT m.term AS matched_term, p.p_partkey, p.p_name AS name, 'fallback' AS hit_kind,
-              row_number() OVER (PARTITION BY m.term ORDER BY p.p_size DESC, p.p_partkey) AS hit_rank
+              row_number() OVER (PARTITION BY m.term ORDER BY CASE WHEN p.p_size % 3 > 0 THEN p.p_size END DESC NULLS LAST, p.p_partkey) AS hit_rank
        FROM missing m JOIN part p
          ON contains(lower(concat_ws(' ', coalesce(p.p_name, ''), coalesce(p.p_type, ''))), lower(m.term))),
 hits AS (SELECT * FROM exact UNION ALL SELECT * FROM fb WHERE hit_rank <= 3),
 w AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY matched_term, hit_rank, p_partkey) AS rn
       FROM hits)
-SELECT name, p_partkey, matched_term, hit_kind FROM w
+SELECT name, w.p_partkey, matched_term, hit_kind, substring(p_type, 1, 6) AS public_description,
+       coalesce(CASE WHEN p_size % 3 > 0 THEN p_size END, 0) AS subscribers
+FROM w JOIN part ON w.p_partkey = part.p_partkey
 WHERE rn = 1 AND name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_type = 'PROMO')""",
 })
 
 ORACLE["catalog_months"] = """
 SELECT p_name AS name, p_type AS title, p_partkey AS subscribers FROM part WHERE p_size <= 16 OR p_size > 33"""
+
+
+ORACLE.update({
+    "threads_file_roundtrip": """
+SELECT post_id, comment_id, parent_id, is_post FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS post_id,
+         CASE WHEN turn = 0 THEN '' ELSE CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) END AS comment_id,
+         CASE WHEN turn <= 1 THEN 't3_' || CAST(conv_id AS VARCHAR)
+              ELSE 't1_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn - 1 AS VARCHAR) END AS parent_id, turn = 0 AS is_post
+  FROM conversations
+  UNION ALL
+  SELECT DISTINCT 'chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), '', 't3_chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), true FROM part
+  UNION ALL
+  SELECT 'chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), 'p' || CAST(p_partkey AS VARCHAR),
+         coalesce('t1_p' || CAST(lag(p_partkey) OVER (PARTITION BY (p_partkey - 1) // 1500 ORDER BY p_partkey) AS VARCHAR),
+                  't3_chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR)), false FROM part
+  UNION ALL
+  SELECT NULL, '{"id": "' || r_name, NULL, NULL FROM region)""",
+    "label_files_mixed_headers": ORACLE["label_files_roundtrip"],
+    "unify_flat_duplicates": f"""
+WITH u AS (SELECT * FROM ({UNIFY_SQL}))
+SELECT * FROM u UNION ALL SELECT * FROM u WHERE NOT is_post AND created_utc <= 2
+UNION ALL
+SELECT r_name, NULL, 'cycle' || CAST(r_regionkey AS VARCHAR) || '_' || CAST(k AS VARCHAR),
+       't1_cycle' || CAST(r_regionkey AS VARCHAR) || '_' || CAST((k + 1) % 3 AS VARCHAR), false, '[deleted]', 0, 0, 0, ''
+FROM region, (SELECT unnest([0, 1, 2]) AS k)""",
+    "label_batch_with_failures": """
+SELECT doc_id, CASE WHEN doc_id % 101 <> 7 THEN 'news' END AS labels, doc_id % 101 = 7 AS failed FROM documents""",
+    "clean_by_lang": "SELECT doc_id, lang, n_chars FROM documents",
+    "name_list": "SELECT n_name AS name FROM nation",
+    "comment_objects": f"""
+SELECT false AS is_post, 'conversations' AS subreddit, CASE WHEN turn = 1 THEN 't3_' || CAST(conv_id AS VARCHAR)
+       ELSE 't1_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn - 1 AS VARCHAR) END AS parent_id,
+       CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, coalesce(nullif(role, 'user'), '[deleted]') AS author,
+       CAST(turn AS BIGINT) AS created_utc, CASE WHEN turn % 2 = 0 THEN CAST(turn AS BIGINT) ELSE 0 END AS score, coalesce(text, '') AS body
+FROM conversations WHERE turn > 0""",
+    "defaults": """
+SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.0) AS score, 0 AS num_comments FROM customer""",
+    "strip_links": f"""
+SELECT page_id, regexp_replace(coalesce(html, ''), '{URL_PATTERN}', ' ', 'g') AS no_links,
+       regexp_replace(coalesce(html, ''), '{EMOJI_PATTERN}', ' ', 'g') AS no_emoji FROM pages""",
+})

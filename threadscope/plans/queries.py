@@ -21,6 +21,8 @@ from threadscope.functions.text import (
     post_text,
     render_prompt,
     shorten,
+    strip_emoji,
+    strip_urls,
     truncate_chars,
     utc_year,
 )
@@ -149,18 +151,18 @@ def term_match(spark, d):
 
 
 def term_match_qgram(spark, d):
-    """J1 with a vocabulary of passages and all their words (the q-gram strategy)."""
+    """J1 with a vocabulary of passages and all their words ."""
     docs = fx.text_table(spark, d, "documents").select("doc_id", "text")
     b = table(spark, d, "benchmark")
     vocab = b.select(F.col("text").alias("term")).unionByName(
         b.select(F.explode(F.split("text", " ")).alias("term")))
-    return matching.match_terms(docs, "text", vocab, ["doc_id"], strategy="qgram").select("doc_id", "matched_term")
+    return matching.match_terms(docs, "text", vocab, ["doc_id"]).select("doc_id", "matched_term")
 
 
 def _word_vocab(spark, d):
     part = table(spark, d, "part")
     return part.select(F.lower("p_type").alias("term")).unionByName(
-        part.where(F.col("p_brand") == "Brand#1").select(F.col("p_name").alias("term")))
+        part.select(F.col("p_name").alias("term")))
 
 
 def term_match_words(spark, d):
@@ -678,7 +680,7 @@ def discovery_candidates(spark, d):
     cands = find_communities(catalog, vocab, order=["matched_term", "p_partkey"], done=done)
     prompt = F.concat(F.col("name"), F.lit(": "), F.col("public_description"))
     out = verify_communities(cands, _keyword_model, _prevalence_model, prompt)
-    return out.select("name", "matched_term", "gpt_label", "keep", "prevalence_est")
+    return out.select("p_partkey", "name", "matched_term", "gpt_label", "keep", "prevalence_est")
 
 
 def _model_a(prompts):
@@ -721,14 +723,15 @@ def discovery_lookup(spark, d):
 
     part = table(spark, d, "part")
     catalog = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("public_description"),
-                          F.col("p_size").alias("subscribers"))
+                          F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("subscribers"),
+                          (F.col("p_size") >= 45).alias("over18"))
     vocab = relations.union_inputs(part.select(F.col("p_name").alias("term")),
                                    part.select(F.explode(F.split("p_name", " ")).alias("term")),
                                    part.select(F.col("p_size").cast("string").alias("term")))
     done = part.where((F.col("p_size") == 50) & (F.col("p_type") == "PROMO")).select(F.col("p_name").alias("name"))
     out = lookup_communities(vocab, catalog, relevance=[F.col("subscribers").desc()], tiebreak="p_partkey",
-                             done=done)
-    return out.select("name", "p_partkey", "matched_term", "hit_kind")
+                             done=done, exclude_exact=F.col("over18"), max_description=6)
+    return out.select("name", "p_partkey", "matched_term", "hit_kind", "public_description", "subscribers")
 
 
 QUERIES.update({
@@ -843,3 +846,121 @@ def catalog_months(spark, d):
 
 
 QUERIES["catalog_months"] = catalog_months
+
+
+# --- files and edge cases ---------------------------------------------------------
+
+
+def threads_file_roundtrip(spark, d):
+    """S4 + G1: thread files with chains of 1,500 replies and malformed lines; no line is lost."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_threads
+
+    path = scratch_path(spark, "threads")
+    broken = table(spark, d, "region").select(F.concat(F.lit('{"id": "'), F.col("r_name")).alias("value"))
+    fx.conversation_lines(spark, d).unionByName(fx.part_chain_lines(spark, d)).unionByName(broken).write.text(path)
+    back = read_threads(spark, path)
+    flat = threads.flatten_threads(back, "thread").select("post_id", "comment_id", "parent_id", "is_post")
+    bad = back.where(F.col("_corrupt_record").isNotNull()).select(
+        F.lit(None).cast("string").alias("post_id"), F.col("_corrupt_record").alias("comment_id"),
+        F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("boolean").alias("is_post"))
+    return flat.unionByName(bad)
+
+
+def label_files_mixed_headers(spark, d):
+    """S8 + W2: files with another column order, an extra column and keys that repeat."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_label_files
+    from threadscope.sources.sinks import write_csv
+
+    root, paths = scratch_path(spark, "labels"), []
+    for model, f in fx.label_sets(spark, d).items():
+        p = f"{root}/labels_{model}"
+        f = f.select(F.col("source").alias("subreddit"), F.col("doc_id").alias("post_id"), "labels")
+        if model == "B":
+            again = f.withColumn("labels", F.lit("news;clinical"))
+            f = f.withColumn("copy", F.lit(1)).unionByName(again.withColumn("copy", F.lit(2))).orderBy("post_id", "subreddit", "copy")
+            f = f.select("post_id", F.lit("some text").alias("body"), "subreddit", "labels")
+        elif model == "C":
+            f = f.select("labels", "subreddit", "post_id")
+        write_csv(f, p)
+        paths.append(p)
+    cons = consensus.consensus_labels(read_label_files(spark, paths), ["subreddit", "post_id"], len(paths))
+    return cons.select(F.col("subreddit").alias("source"), F.col("post_id").cast("bigint").alias("doc_id"), "consensus_labels")
+
+
+def unify_flat_duplicates(spark, d):
+    """Repeated comments stay as many as they are, and comments on a cycle have no post."""
+    objs = fx.conversation_objects(spark, d)
+    cycle = table(spark, d, "region").select("r_name", "r_regionkey", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    name = lambda k: F.concat(F.lit("cycle"), F.col("r_regionkey").cast("string"), F.lit("_"), k.cast("string"))
+    rings = cycle.select(F.lit(False).alias("is_post"), F.col("r_name").alias("subreddit"), name(F.col("k")).alias("id"),
+                         F.concat(F.lit("t1_"), name((F.col("k") + 1) % 3)).alias("parent_id"), F.lit(0).alias("created_utc"))
+    again = objs.where(~F.col("is_post") & (F.col("created_utc") <= 2))
+    return threads.unify_flat_objects(objs.unionByName(again).unionByName(rings, allowMissingColumns=True))
+
+
+def _touchy_model(prompts):
+    if any(int(p.split("|")[0]) % 101 == 7 for p in prompts):
+        raise ValueError("a prompt that the model refuses")
+    return ['{"labels": ["news"]}' for _ in prompts]
+
+
+def label_batch_with_failures(spark, d):
+    """Y1 + Y3: a prompt that always fails loses its own reply only."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = batch.label_posts(docs, _touchy_model, text_col="text", policy=batch.RetryPolicy(2, 0.0),
+                            prompt=lambda body: F.concat(F.col("doc_id").cast("string"), F.lit("|"), body))
+    return out.select("doc_id", "labels", F.col("reply_error").isNotNull().alias("failed"))
+
+
+def clean_by_lang(spark, d):
+    """K4: documents written as Parquet per language, read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.sinks import write_clean
+
+    path = scratch_path(spark, "clean")
+    write_clean(table(spark, d, "documents"), path, by="lang")
+    return spark.read.parquet(path).select("doc_id", "lang", "n_chars")
+
+
+def name_list(spark, d):
+    """K7: names written one per line in input order, read back."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.sinks import write_name_list
+
+    path = scratch_path(spark, "names")
+    write_name_list(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("input_order")), path)
+    return spark.read.text(path).select(F.col("value").alias("name"))
+
+
+def comment_objects(spark, d):
+    """Conversation turns as comment objects (absent authors and scores take defaults)."""
+    c = fx.conversation_objects(spark, d).where("not is_post")
+    raw = c.withColumn("author", F.when(F.col("author") != "user", F.col("author"))).withColumn(
+        "score", F.when(F.col("score") % 2 == 0, F.col("score")))
+    return threads.project_comment(raw)
+
+
+def defaults(spark, d):
+    """Null and absent counters take their defaults."""
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("score"))
+    return sampling.with_defaults(c, {"score": 0.0, "num_comments": 0})
+
+
+def strip_links(spark, d):
+    """X1 + X2: URLs and emoji of whole pages, each replaced on its own."""
+    return table(spark, d, "pages").select("page_id", strip_urls("html").alias("no_links"), strip_emoji("html").alias("no_emoji"))
+
+
+QUERIES.update({
+    "threads_file_roundtrip": threads_file_roundtrip,
+    "label_files_mixed_headers": label_files_mixed_headers,
+    "unify_flat_duplicates": unify_flat_duplicates,
+    "label_batch_with_failures": label_batch_with_failures,
+    "clean_by_lang": clean_by_lang,
+    "name_list": name_list,
+    "comment_objects": comment_objects,
+    "defaults": defaults,
+    "strip_links": strip_links,
+})

@@ -4,14 +4,18 @@ pass runs over the data and absent fields arrive as NULL.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadscope.functions.text import model_name_from_path, trim_ws
+from threadscope.operators.consensus import keep_first
+from threadscope.session import ship_package
 
 # --- fixed values -------------------------------------------------------------
 CATALOG_SCHEMA = T.StructType([
@@ -96,17 +100,81 @@ def read_catalog_dump(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     })
 
 
+# A JSON text may nest this deep before its inner ``replies`` become pieces of their own.
+CUT_DEPTH = 32
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def cut_replies(line: str, depth: int = CUT_DEPTH) -> list[str]:
+    """A thread too deep for the JSON parser as shallow texts: the thread itself and, for every
+    ``replies`` array that begins ``depth`` levels down, ``{"_fragment": true, ..., "comments": [...]}``
+    with the thread's community and id. One pass over the text, no recursion; [] if it is malformed.
+    """
+    done: list[str] = []
+    open_: list[tuple[list[str], int]] = [([], 0)]  # text so far and the level it began at
+    level = at = 0
+    last = ""
+    for m in _TOKEN.finditer(line):
+        sign = m.group()
+        open_[-1][0].append(line[at:m.start()])
+        at = m.end()
+        if sign in "[{":
+            if sign == "[" and last == '"replies"' and level - open_[-1][1] >= depth:
+                open_[-1][0].append("[]")
+                open_.append(([], level))
+            open_[-1][0].append(sign)
+            level += 1
+        elif sign in "]}":
+            level -= 1
+            if level < 0:
+                return []
+            open_[-1][0].append(sign)
+            if len(open_) > 1 and level == open_[-1][1]:
+                done.append("".join(open_.pop()[0]))
+        else:
+            open_[-1][0].append(sign)
+            last = sign
+    open_[-1][0].append(line[at:])
+    root = "".join(open_[-1][0])
+    try:
+        thread = json.loads(root)
+        head = json.dumps({"_fragment": True, "subreddit": thread.get("subreddit"), "id": thread.get("id")})
+    except (ValueError, AttributeError, RecursionError):
+        return []
+    if level or len(open_) > 1:
+        return []
+    return [root, *(f'{head[:-1]}, "comments": {f}}}' for f in done)]
+
+
 def read_threads(spark: SparkSession, paths: str | Sequence[str], col: str = "thread",
                  min_partitions: int | None = None) -> DataFrame:
     """Nested thread JSON lines (``.jsonl`` or ``.jsonl.gz``) -> one VARIANT column.
 
-    A gzip file is read by one task (not splittable); ``min_partitions`` spreads the
+    No line is lost. A line nested deeply (it doesn't parse, or closes many levels at once) becomes
+    several rows: the thread with its upper levels, and fragments that hold the replies below
+    (``cut_replies``; G1 knows them), so the levels below are taken apart side by side. A
+    line that is no JSON object has a NULL thread and its text in ``_corrupt_record``. Blank lines
+    are no lines. A gzip file is read by one task (not splittable); ``min_partitions`` spreads the
     parsed rows before the heavy work.
     """
-    df = spark.read.text(paths).select(F.try_parse_json("value").alias(col)).where(F.col(col).isNotNull())
+    ship_package(spark)
+    cut = F.pandas_udf(_cut_all, T.ArrayType(T.StringType()))
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    parsed = lines.withColumn(col, F.try_parse_json("value"))
+    deep = F.col(col).isNull() | F.col("value").rlike(r"(?:[\]}]\s*){%d}" % CUT_DEPTH)
+    # only deep or malformed lines reach Python
+    pieces = parsed.withColumn("_piece", F.explode_outer(cut(F.when(deep, F.col("value")))))
+    thread = F.coalesce(F.try_parse_json("_piece"), F.when(F.col("_piece").isNull(), F.col(col)))
+    thread = F.when(F.schema_of_variant(thread).startswith("OBJECT"), thread)
+    df = pieces.select(thread.alias(col), F.col("value")).select(
+        col, F.when(F.col(col).isNull(), F.col("value")).alias("_corrupt_record"))
     return df.repartition(min_partitions) if min_partitions else df
 
 
+def _cut_all(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: None if x is None else cut_replies(x) or None)
+
+
 def read_flat_objects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Flat submission/comment objects; a missing ``is_post`` means submission."""
     df = spark.read.schema(FLAT_OBJECT_SCHEMA).json(paths)
@@ -138,29 +206,36 @@ def read_flat_csv(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
 
 
 def read_label_files(spark: SparkSession, paths: Sequence[str], keys: Sequence[str] = LABEL_KEYS,
-                     labels_col: str = "labels") -> DataFrame:
-    """Per-model label CSVs as one long table ``(keys..., model, labels)``.
-
-    Every column is read as a string and an empty cell stays ''. The model is the
-    file stem without ``labels_``. At least two files are required, and each must
-    carry the key columns and the labels column.
+                     labels_col: str = "labels", first_only: bool = True) -> DataFrame:
+    """S8 + W2: per-model label CSVs as one long table ``(keys..., model, labels)``.
+
+    Each path (a file, or a folder of part files) is read by its own header, so files may order or
+    extend their columns differently. Every column is a string and an empty cell stays ''. The model
+    is the file stem without ``labels_``. A key that a file repeats keeps its first row
+    (``first_only``). At least two files are required, and each must carry the key columns and the
+    labels column.
     """
     paths = list(paths)
     if len(paths) < 2:
         raise ValueError("need at least two label files for a consensus")
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("nullValue", "\u0000").option("emptyValue", ""))
-    for p in paths:  # header check per file (a file lacking a column would read it as NULL)
-        cols = r.csv(p).columns
-        missing = [k for k in (*keys, labels_col) if k not in cols]
-        if missing:
-            raise ValueError(f"{p} lacks columns {missing}")
-    raw = r.csv(paths)
+         .option("nullValue", "\u0000").option("emptyValue", "").option("enforceSchema", False))
+    out = None
     path = F.col("_metadata.file_path")
     # a folder written by Spark holds part files: the folder names the model
     folder = F.regexp_extract(path, r"([^/]+)/part-[^/]*$", 1)
     model = model_name_from_path(F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")))
-    return raw.select(*keys, model.alias("model"), F.coalesce(F.col(labels_col), F.lit("")).alias("labels"))
+    for p in paths:
+        raw = r.csv(p)
+        missing = [k for k in (*keys, labels_col) if k not in raw.columns]
+        if missing:
+            raise ValueError(f"{p} lacks columns {missing}")
+        part = raw.select(*keys, model.alias("model"), F.coalesce(F.col(labels_col), F.lit("")).alias("labels"),
+                          path.alias("_file"), F.monotonically_increasing_id().alias("_line"))
+        out = part if out is None else out.unionByName(part)
+    if first_only:
+        out = keep_first(out, [*keys, "model"], ["_file", "_line"])
+    return out.select(*keys, "model", "labels")
 
 
 def read_by_period(spark: SparkSession, root: str, months: Sequence[str] | None = None,

@@ -21,16 +21,26 @@ def append_candidates(df: DataFrame, path: str) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def write_objects(df: DataFrame, path: str, by: str = "subreddit", mode: str = "overwrite") -> None:
-    """K3: gzip JSON lines per community; non-ASCII kept, NULL fields written."""
-    (df.write.mode(mode).partitionBy(by).option("compression", "gzip")
+def _by_community(df: DataFrame, by: str, pieces: int) -> DataFrame:
+    """Rows of one community meet in at most ``pieces`` tasks, so a folder gets at most that many
+    files and a community that holds most rows is still written by several tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(pieces))
+    return df.repartition(F.col(by), salt)
+
+
+def write_objects(df: DataFrame, path: str, by: str = "subreddit", mode: str = "overwrite", pieces: int = 8) -> None:
+    """K3: gzip JSON lines per community (at most ``pieces`` files each); non-ASCII kept, NULL
+    fields written."""
+    (_by_community(df, by, pieces).write.mode(mode).partitionBy(by).option("compression", "gzip")
      .option("ignoreNullFields", False).json(path))
 
 
-def write_clean(df: DataFrame, path: str, by: str | None = "subreddit", mode: str = "overwrite") -> None:
-    """K4: Parquet, one folder per community."""
-    w = df.write.mode(mode)
-    (w.partitionBy(by) if by else w).parquet(path)
+def write_clean(df: DataFrame, path: str, by: str | None = "subreddit", mode: str = "overwrite", pieces: int = 8) -> None:
+    """K4: Parquet, one folder per community (at most ``pieces`` files each)."""
+    if by:
+        _by_community(df, by, pieces).write.mode(mode).partitionBy(by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -44,7 +54,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 _VERSION = re.compile(r"v=(\d+)$")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """Version numbers below ``path``; ``whole``: only those whose write was committed."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -53,7 +64,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     found = []
     for st in fs.listStatus(hpath):
         m = _VERSION.search(st.getPath().getName())
-        if m:
+        if m and (not whole or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             found.append(int(m.group(1)))
     return sorted(found)
 
@@ -65,14 +76,14 @@ def snapshot_then_replace(df: DataFrame, path: str, fmt: str = "parquet") -> str
     written path.
     """
     spark = df.sparkSession
-    n = (_versions(spark, path) or [0])[-1] + 1
+    n = (_versions(spark, path, whole=False) or [0])[-1] + 1
     target = f"{path.rstrip('/')}/v={n}"
     df.write.mode("error").format(fmt).save(target)
     return target
 
 
 def read_latest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The newest version written by ``snapshot_then_replace``."""
+    """The newest version that ``snapshot_then_replace`` finished; half-written ones are passed over."""
     vs = _versions(spark, path)
     if not vs:
         raise FileNotFoundError(path)
