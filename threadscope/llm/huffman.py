@@ -20,9 +20,11 @@ symbol and length in a table of 2^longest entries.
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +38,66 @@ MARK = "\n=TIDS=\n"
 LONGEST = 16
 STEP = 64
 BLOCK_IDS = 1 << 16
-_SPACE = b" \t\n\r"
 
 
 # ---------------------------------------------------------------- tokenizing
 
-def _encoder(path: str) -> Callable[[bytes], bytes]:
-    """Text bytes -> its ids as little-endian u16.
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Printable ASCII but the apostrophe, and white space; Latin-1 letters as UTF-8.
+_PLAIN = bytes([9, 10, 11, 12, 13, *(c for c in range(32, 127) if c != 39)])
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_LETTERS = re.compile(rb"(?:" + _LATIN + rb")*")
+#: The pieces of a folded run of these.
+_PIECE = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
 
-    The tokenizer normalises by NFC, white space and case and splits at white space before it
-    merges, so the ids of a text are those of its runs between ASCII blanks, one after the other.
-    A run seen before is looked up instead of encoded again; the look-up table is emptied when full.
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Callable[[bytes], bytes]:
+    """Text bytes -> its ids as little-endian u16, equal to the tokenizer's ids of the whole text.
+
+    The tokenizer normalises (NFC, white space, lower case), splits at white space and where letters,
+    digits and other signs meet, and merges inside the pieces. So equal pieces have equal ids: each is
+    taken through the library once and looked up afterwards, in a table that is emptied when full.
+    Where a piece ends is only decided here for printable ASCII and Latin-1 letters; a run between
+    blanks with anything else in it (an apostrophe may begin a contraction, marks may combine, the
+    special tokens' brackets) is one piece and left to the library whole.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    split = lambda s: [part for part, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(s))]
+    merge, known = tok.model.tokenize, {}
+    letters = {c: split(chr(c))[0] for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}  # as the vocabulary spells them
+
+    def plain(text: bytes) -> bool:
+        return b"<|" not in text and _LETTERS.fullmatch(text.translate(None, _PLAIN)) is not None
+
+    def ids_of(piece: bytes) -> bytes:
+        if not plain(piece):
+            ids = tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        elif piece.isascii():
+            ids = [t.id for t in merge(piece.decode())]
+        else:
+            ids = [t.id for t in merge(piece.decode().translate(letters))]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(text: bytes) -> bytes:
-        runs = text.split()
+        folded = text.translate(_LOWER)
+        if plain(folded):
+            pieces = _PIECE.findall(folded)
+        else:
+            pieces = []
+            for run, low in zip(text.split(), folded.split()):
+                pieces += _PIECE.findall(low) if plain(low) else [run]
         try:
-            return b"".join([known[r] for r in runs])
+            return b"".join([known[p] for p in pieces])
         except KeyError:
-            pass
-        new = list({r for r in runs if r not in known})
-        if len(known) + len(new) > 400_000:
-            known.clear()
-            new = list(set(runs))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for run, e in zip(part, tok.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)):
-                known[run] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([known[r] for r in runs])
+            if len(known) > 500_000:
+                known.clear()
+            for p in pieces:
+                if p not in known:
+                    known[p] = ids_of(p)
+        return b"".join([known[p] for p in pieces])
 
     return encode
 
