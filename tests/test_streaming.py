@@ -44,6 +44,9 @@ def test_first_last_stream_equals_batch(spark, tmp_dir):
     li.where(F.col("created_utc") >= cut).write.parquet(os.path.join(src, "b"))  # later comments of known posts
     I.first_last_reply_stream(spark, src + "/*", li.schema, sink, ck)
     got = I.latest_first_last(spark, sink)
+    snaps = str(tmp_dir) + "/snaps"
+    I.compact_first_last(spark, sink, snaps)
+    assert sorted(I.latest_first_last(spark, sink, snapshots=snaps).collect()) == sorted(got.collect())
     want = li.groupBy("post_id").agg(F.min("created_utc").alias("first_comment_utc"),
                                      F.max("created_utc").alias("last_comment_utc"))
     assert got.count() == want.count() and got.exceptAll(want).count() == 0

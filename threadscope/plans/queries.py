@@ -628,7 +628,7 @@ def ingest_stream(spark, d):
 def first_last_stream(spark, d):
     """I4: running first/last reply per post over two batches of line items."""
     from threadscope.session import scratch_path
-    from threadscope.streaming.incremental import first_last_reply_stream, latest_first_last
+    from threadscope.streaming.incremental import compact_first_last, first_last_reply_stream, latest_first_last
 
     c = fx.line_comments(spark, d)
     root = scratch_path(spark, "firstlast")
@@ -636,9 +636,10 @@ def first_last_stream(spark, d):
     early = F.col("created_utc") < F.lit(epoch_seconds(F.lit("1998-01-01 00:00:00")))
     c.where(early).write.parquet(f"{src}/batch=1")
     first_last_reply_stream(spark, f"{src}/*", c.schema, sink, ck)
+    compact_first_last(spark, sink, f"{root}/snapshots")
     c.where(~early).write.parquet(f"{src}/batch=2")
     first_last_reply_stream(spark, f"{src}/*", c.schema, sink, ck)
-    return latest_first_last(spark, sink).select(F.col("post_id").alias("o_orderkey"), "first_comment_utc",
+    return latest_first_last(spark, sink, snapshots=f"{root}/snapshots").select(F.col("post_id").alias("o_orderkey"), "first_comment_utc",
                                                  "last_comment_utc")
 
 

@@ -55,26 +55,36 @@ _LITERAL = T.ArrayType(T.StructType([
 ]))
 
 
-def read_ontology_terms(spark: SparkSession, path: str, row_tags: Sequence[str] = ONTOLOGY_ROW_TAGS,
+_SUBJECT = r"<([A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*)\s[^<>]*rdf:(?:about|ID|nodeID)="
+
+
+def ontology_subject_tags(spark: SparkSession, path: str) -> list[str]:
+    """Element names that occur as subjects (with rdf:about, rdf:ID or rdf:nodeID) besides the usual
+    kinds: one pass over the text, as many names come back as the ontology has kinds."""
+    names = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(_SUBJECT), 1)).alias("n")).distinct()
+    return sorted({r["n"] for r in names.collect()} | set(ONTOLOGY_ROW_TAGS))
+
+
+def read_ontology_terms(spark: SparkSession, path: str, row_tags: Sequence[str] | None = None,
                         label_el: str = ONTOLOGY_LABEL, synonym_el: str = ONTOLOGY_SYNONYM,
                         lang: str = "en") -> DataFrame:
     """S1 + U1 + A10: distinct stripped labels (no language or ``lang``) and exact
     synonyms (any language) of every subject, one ``term`` column.
 
-    One XML read per subject kind (``rowTag``) with an explicit schema; a repeated
-    or attributed literal arrives as ``array<struct<_VALUE, _xml:lang>>``.
+    One XML read per subject kind (``rowTag``; by default all kinds that the text shows) with an
+    explicit schema; a repeated or attributed literal arrives as ``array<struct<_VALUE, _xml:lang>>``
+    and labels and synonyms leave it together.
     """
     schema = T.StructType([T.StructField(label_el, _LITERAL), T.StructField(synonym_el, _LITERAL)])
     out = None
-    for tag in row_tags:
+    for tag in row_tags if row_tags is not None else ontology_subject_tags(spark, path):
         x = (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
              .schema(schema).load(path))
-        labels = (x.select(F.explode(F.col(f"`{label_el}`")).alias("l"))
-                  .where(F.col("l.`_xml:lang`").isNull() | (F.col("l.`_xml:lang`") == lang))
-                  .select(trim_ws(F.col("l._VALUE")).alias("term")))
-        syns = x.select(F.explode(F.col(f"`{synonym_el}`")).alias("s")).select(
-            trim_ws(F.col("s._VALUE")).alias("term"))
-        part = labels.unionByName(syns)
+        none = F.array().cast(_LITERAL)
+        labels = F.filter(F.coalesce(F.col(f"`{label_el}`"), none),
+                          lambda v: v["_xml:lang"].isNull() | (v["_xml:lang"] == lang))
+        both = F.concat(labels, F.coalesce(F.col(f"`{synonym_el}`"), none))
+        part = x.select(F.explode(both).alias("v")).select(trim_ws(F.col("v._VALUE")).alias("term"))
         out = part if out is None else out.unionByName(part)
     return out.where(F.col("term").isNotNull()).distinct()
 

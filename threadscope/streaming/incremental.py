@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadscope.operators.relations import only_new
+from threadscope.sources.sinks import _versions, read_latest, snapshot_then_replace
 
 
 def ingest_new_files(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
@@ -71,16 +72,16 @@ def first_last_reply_stream(spark: SparkSession, source_dir: str, schema: T.Stru
     """I4: running min/max comment time per post, written as upserts per micro-batch.
 
     Update mode without a watermark keeps every key's state, so no late comment is
-    dropped. Each micro-batch writes its updated rows tagged with the batch id;
-    ``latest_first_last`` reads the newest row per key.
+    dropped. Each micro-batch writes its updated rows to a folder of its own (a replayed
+    batch replaces it); ``latest_first_last`` reads the newest row per key and
+    ``compact_first_last`` shortens what it has to read.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
     agg = stream.groupBy(by).agg(F.min(time).alias("first_comment_utc"),
                                  F.max(time).alias("last_comment_utc"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("append").parquet(sink_dir))
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
@@ -88,10 +89,28 @@ def first_last_reply_stream(spark: SparkSession, source_dir: str, schema: T.Stru
     return len(q.recentProgress)
 
 
-def latest_first_last(spark: SparkSession, sink_dir: str, by: str = "post_id") -> DataFrame:
-    """The current first/last reply per post from the upsert log of I4."""
-    log = spark.read.parquet(sink_dir)
-    newest = F.max_by(F.struct("first_comment_utc", "last_comment_utc"), F.col("batch_id"))
+def _newest(log: DataFrame, by: str) -> DataFrame:
+    newest = F.max_by(F.struct("first_comment_utc", "last_comment_utc", "batch_id"), F.col("batch_id"))
     return (log.groupBy(by).agg(newest.alias("_v"))
-            .select(by, "_v.first_comment_utc", "_v.last_comment_utc"))
+            .select(by, "_v.first_comment_utc", "_v.last_comment_utc", "_v.batch_id"))
+
+
+def _log(spark: SparkSession, sink_dir: str, by: str, snapshots: str | None) -> DataFrame:
+    """The newest snapshot and the batches after it (older batch folders are pruned)."""
+    log = spark.read.parquet(sink_dir).select(by, "first_comment_utc", "last_comment_utc", F.col("batch_id").cast("bigint"))
+    if snapshots is None or not _versions(spark, snapshots):
+        return log
+    base = read_latest(spark, snapshots)
+    upto = base.agg(F.max("batch_id")).first()[0]
+    return base.unionByName(log.where(F.col("batch_id") > upto)) if upto is not None else log
+
+
+def latest_first_last(spark: SparkSession, sink_dir: str, by: str = "post_id", snapshots: str | None = None) -> DataFrame:
+    """The current first/last reply per post from the upsert log of I4."""
+    return _newest(_log(spark, sink_dir, by, snapshots), by).drop("batch_id")
+
 
+def compact_first_last(spark: SparkSession, sink_dir: str, snapshots: str, by: str = "post_id") -> str:
+    """Write the newest row of every key as a new snapshot version; later reads take it and only the
+    batches that came after. Batch folders up to it are no longer needed."""
+    return snapshot_then_replace(_newest(_log(spark, sink_dir, by, snapshots), by), snapshots)
