@@ -25,8 +25,10 @@ def test_no_python_udf(spark, key):
 
 
 def test_expected_operators(spark):
-    assert "BroadcastNestedLoopJoin" in plan_text(QUERIES["term_match"](spark, SF01))
-    assert "BroadcastHashJoin" in plan_text(QUERIES["restrict_to"](spark, SF01))
+    for key in ("term_match", "term_match_qgram", "acronym_match", "lookup_fallback", "discovery_lookup"):
+        p = plan_text(QUERIES[key](spark, SF01))
+        assert "BroadcastHashJoin" in p and "NestedLoop" not in p
+    assert "LeftSemi" in plan_text(QUERIES["restrict_to"](spark, SF01))
     p = plan_text(QUERIES["high_signal_events"](spark, SF01))
     assert p.index("WindowGroupLimit") < p.rindex("Exchange") or "Partial" in p
     p = plan_text(QUERIES["since_date"](spark, SF01))
@@ -40,7 +42,7 @@ def test_expected_operators(spark):
 
 def test_label_batch_uses_arrow_batches(spark):
     p = plan_text(QUERIES["label_batch"](spark, SF01))
-    assert "MapInPandas" in p and "BatchEvalPython" not in p
+    assert "ArrowEvalPython" in p and "MapInPandas" not in p and "BatchEvalPython" not in p
 
 
 def test_yield_curve_matches_running_count(spark):

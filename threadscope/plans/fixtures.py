@@ -195,7 +195,7 @@ CHAIN = 1500
 
 def part_chain_lines(spark: SparkSession, d: str) -> DataFrame:
     """Parts as threads of CHAIN replies, each the reply to the one before."""
-    part = table(spark, d, "part").select(F.floor((F.col("p_partkey") - 1) / CHAIN).cast("string").alias("g"), "p_partkey", "p_name")
+    part = table(spark, d, "part").select(F.floor(F.col("p_partkey") / CHAIN).cast("string").alias("g"), "p_partkey", "p_name")
     threads = part.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("t"))
 
     def opened(x: Column, i: Column) -> Column:

@@ -289,7 +289,7 @@ SELECT p_name, p_partkey, matched_term FROM h WHERE rn = 1""",
 WITH names AS (SELECT DISTINCT p_name AS term FROM part),
 words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
 terms AS (SELECT term FROM names UNION SELECT term FROM words),
-exact AS (SELECT t.term AS matched_term, p.p_partkey FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name) AND p.p_size < 45),
+exact AS (SELECT t.term AS matched_term, p.p_partkey FROM terms t JOIN part p ON lower(t.term) = lower(p.p_name)),
 missing AS (SELECT term FROM terms WHERE term NOT IN (SELECT matched_term FROM exact)),
 fb AS (SELECT m.term AS matched_term, p.p_partkey,
               row_number() OVER (PARTITION BY m.term ORDER BY p.p_retailprice DESC, p.p_partkey) AS hit_rank
@@ -538,11 +538,11 @@ SELECT post_id, comment_id, parent_id, is_post FROM (
               ELSE 't1_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn - 1 AS VARCHAR) END AS parent_id, turn = 0 AS is_post
   FROM conversations
   UNION ALL
-  SELECT DISTINCT 'chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), '', 't3_chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), true FROM part
+  SELECT DISTINCT 'chain' || CAST(p_partkey // 1500 AS VARCHAR), '', 't3_chain' || CAST(p_partkey // 1500 AS VARCHAR), true FROM part
   UNION ALL
-  SELECT 'chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR), 'p' || CAST(p_partkey AS VARCHAR),
-         coalesce('t1_p' || CAST(lag(p_partkey) OVER (PARTITION BY (p_partkey - 1) // 1500 ORDER BY p_partkey) AS VARCHAR),
-                  't3_chain' || CAST((p_partkey - 1) // 1500 AS VARCHAR)), false FROM part
+  SELECT 'chain' || CAST(p_partkey // 1500 AS VARCHAR), 'p' || CAST(p_partkey AS VARCHAR),
+         coalesce('t1_p' || CAST(lag(p_partkey) OVER (PARTITION BY p_partkey // 1500 ORDER BY p_partkey) AS VARCHAR),
+                  't3_chain' || CAST(p_partkey // 1500 AS VARCHAR)), false FROM part
   UNION ALL
   SELECT NULL, '{"id": "' || r_name, NULL, NULL FROM region)""",
     "label_files_mixed_headers": ORACLE["label_files_roundtrip"],
