@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, arrow_map, as_long, byte_rows, id_and_text, saved, shingles, word_hashes
+from .common import SPACED, arrow_map, as_long, byte_rows, id_and_text, saved, shingles, small_batches, word_hashes
 from .components import connected_components
-from .sketch import CELL_BITS, add_up, maybe_in, packed, seen_in
+from .sketch import CELL_BITS, add_up, may_be_in, maybe_in, packed, seen_in
 
 NEIGHBOURS = 2
 SUFFIX_SLICES = 64
@@ -62,12 +62,15 @@ def _scan(k: int):
     return run
 
 
-def _postings(texts: DataFrame, order, k: int, num: int, den: int, hot: float) -> DataFrame:
-    """tok, node, size << 32 | position, salt of the first ``n - ceil(t n) + 1`` n-grams of every text."""
+def _postings(texts: DataFrame, order, k: int, num: int, den: int, hot: float, without=None) -> DataFrame:
+    """tok, node, size << 32 | position, salt of the first ``n - ceil(t n) + 1`` n-grams of every text;
+    texts whose id may be in ``without`` are left out."""
 
     def run(batches):
         rank = order.value
         for batch in batches:
+            if without is not None:
+                batch = may_be_in(batch, without.value, False)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tok, node, place, salt = [], [], [], []
             size = 0
@@ -161,11 +164,13 @@ def _regrouped(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """node, n, slices (n-grams per 1/64 of the hash space, u32), grams (sorted hashes)."""
+def _sets(texts: DataFrame, k: int, wanted) -> DataFrame:
+    """node, n, slices (n-grams per 1/64 of the hash space, u32), grams (sorted hashes) of the texts
+    whose id may be in ``wanted``."""
 
     def run(batches):
         for batch in batches:
+            batch = may_be_in(batch, wanted.value, True)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 grams = [shingles(word_hashes(t, SPACED), k) for t in byte_rows(part.column("text"))]
@@ -201,10 +206,10 @@ def _check(rows: DataFrame, num: int, den: int, suffix: bool) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b), distinct, that link; the sets of their texts are made anew from the texts."""
     spark = pairs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seen = spark.sparkContext.broadcast(seen_in(nodes, "node"))
-    asked = maybe_in(texts, seen, True).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = saved(_sets(asked, k), "gram-sets")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    # a few texts more than needed, where cells coincide: cheaper than a shuffle of texts, and no pair asks for them
+    wanted = spark.sparkContext.broadcast(seen_in(nodes, "node"))
+    sets = saved(_sets(texts, k, wanted), "gram-sets")
 
     def beside(p, col):
         x, y = sets.select(F.col("node").alias("a"), F.col(col).alias("x")), sets.select(F.col("node").alias("b"), F.col(col).alias("y"))
@@ -224,6 +229,11 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     repeat an id are one document: what one of them links with, all do. An empty table gives no rows.
     ``rep_id`` is the smallest id with the same set (the class).
     """
+    with small_batches(docs.sparkSession):  # all jobs with Python run in here
+        return _components(docs, k, num, den, id_col, text_col)
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
     scan = saved(arrow_map(texts, _scan(k), "doc_id long, n long, d1 long, d2 long, slice int, cells binary"), "gram-scan")
@@ -240,10 +250,10 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
         "not kept").select("doc_id")
 
     maybe = spark.sparkContext.broadcast(seen_in(copies, "doc_id"))
-    alone = maybe_in(texts, maybe, False)
     others = maybe_in(texts, maybe, True).join(copies, "doc_id", "left_anti").select("doc_id", "text")
-    postings = _postings(alone, order, k, num, den, hot).unionByName(_postings(others, order, k, num, den, hot))
-    dealt = postings.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "place", "node")
+    postings = _postings(texts, order, k, num, den, hot, maybe).unionByName(_postings(others, order, k, num, den, hot))
+    # by size, then id: a family of near copies has the same neighbours under all its n-grams
+    dealt = postings.repartition("tok", "salt").sortWithinPartitions("tok", "salt", F.shiftright("place", 32), "node")
     met = saved(arrow_map(dealt.select("tok", "salt", "node", "place"), _neighbours(num, den),
                           "a long, b long, tok long, place long"), "gram-postings")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 CELL_BITS = 20
+ID_BITS = 22
 SLICES = 32
 CELLS = "slice int, cells binary"
 
@@ -45,31 +46,34 @@ def add_up(rows: DataFrame, size: int = 1 << CELL_BITS) -> np.ndarray:
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
 
 
 def seen_in(ids: DataFrame, col: str) -> np.ndarray:
     """A bit per cell of an id space: whether an id of ``col`` may be among ``ids`` (no false 'no')."""
 
     def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << ID_BITS, np.uint8)
         for batch in batches:
             counts[_spread(batch.column(0).to_numpy(zero_copy_only=False))] = 1
         at, cells = packed(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells, pa.binary())], names=["slice", "cells"])
 
-    return add_up(arrow_map(ids.select(col), run, CELLS)) > 0
+    return add_up(arrow_map(ids.select(col), run, CELLS), 1 << ID_BITS) > 0
+
+
+def may_be_in(batch: pa.RecordBatch, seen: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    """The rows of a batch whose id's cell is set (or isn't); null ids go either way."""
+    ids = batch.column("doc_id")
+    keep = seen[_spread(ids.fill_null(0).to_numpy(zero_copy_only=False))] == wanted
+    return batch.filter(pa.array(keep & ~np.asarray(ids.is_null())))
 
 
 def maybe_in(texts: DataFrame, seen, wanted: bool) -> DataFrame:
-    """The rows of ``texts`` whose id's cell is set (or isn't)."""
+    """The rows (doc_id, text) whose id's cell is set (or isn't)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            keep = seen.value[_spread(ids.fill_null(0).to_numpy(zero_copy_only=False))] == wanted
-            yield batch.filter(pa.array(keep & ~np.asarray(ids.is_null())))
+            yield may_be_in(batch, seen.value, wanted)
 
     return arrow_map(texts, run, "doc_id long, text binary")
-
-
