@@ -7,10 +7,10 @@
 3. Postings meet by n-gram, sorted by (size, id). Neighbours that pass the length and positional
    filters are candidates; each distinct pair is checked once: first the suffix filter (n-grams per
    fixed slice of the hash space bound the overlap), then the sets themselves.
-4. The links make components. In n-grams with more postings than the neighbours cover, all pairs of
-   *different* components that pass the filters follow, checked the same way. A pair inside a
-   component needs no check, so a family of near copies costs its chain, not its square, and no
-   link between components is lost.
+4. The links make components. In n-grams with more postings than the neighbours cover, pairs of
+   *different* components follow, checked the same way: first a few per posting and round, then all
+   that pass the filters. A pair inside a component needs no check, so a family of near copies costs
+   a few pairs per member, not its square, and no link between components is lost.
 
 Hot n-grams are dealt out by a salt in step 3; step 4 joins what the salt kept apart.
 """
@@ -29,6 +29,8 @@ from .components import connected_components
 from .sketch import CELL_BITS, add_up, may_be_in, maybe_in, packed, seen_in
 
 NEIGHBOURS = 2
+#: How far later rounds look among postings of different components, before all the rest is joined.
+LATER = (8, 64)
 SUFFIX_SLICES = 64
 _U = np.uint64
 
@@ -109,26 +111,28 @@ def _passes(a_place: np.ndarray, b_place: np.ndarray, num: int, den: int) -> np.
     return (np.minimum(na, nb) * den >= num * np.maximum(na, nb)) & (np.minimum(na - ia, nb - ib) >= least)
 
 
-def _neighbours(num: int, den: int):
-    """Sorted postings -> candidate pairs (a < b) of near neighbours, and the postings (b null) of
-    n-grams whose pairs these don't all cover."""
+def _neighbours(num: int, den: int, reach: int = NEIGHBOURS):
+    """Sorted postings -> candidate pairs (a < b) of neighbours up to ``reach`` places apart (of different
+    components, where the postings say theirs), and the postings (b null) of n-grams whose pairs these
+    don't all cover."""
 
     def run(batches):
-        for batch in _regrouped(batches):
+        for batch in _regrouped(batches, reach):
             tok, salt, node, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "salt", "node", "place"))
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])
             group = np.cumsum(new) - 1
             count = np.bincount(group)[group]
+            part = batch.column("component").to_numpy(zero_copy_only=False) if "component" in batch.schema.names else node
             a, b = [], []
-            for d in range(1, NEIGHBOURS + 1):
+            for d in range(1, reach + 1):
                 if len(tok) > d:
-                    near = (group[d:] == group[:-d]) & (node[d:] != node[:-d])
+                    near = (group[d:] == group[:-d]) & (part[d:] != part[:-d])
                     near[near] = _passes(place[:-d][near], place[d:][near], num, den)
                     a.append(np.minimum(node[:-d][near], node[d:][near]))
                     b.append(np.maximum(node[:-d][near], node[d:][near]))
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
-            keep = (count > NEIGHBOURS + 1) | (salt > 0)
+            keep = (count > reach + 1) | (salt > 0)
             k, p = int(keep.sum()), len(pairs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate((pairs[:, 0], node[keep]))), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(k, pa.int64())]),
@@ -138,7 +142,7 @@ def _neighbours(num: int, den: int):
     return run
 
 
-def _regrouped(batches):
+def _regrouped(batches, reach: int):
     """Arrow batches cut at a change of n-gram where there is one. A group longer than a batch goes
     on in the next together with its last rows, so that neighbours still meet."""
     held = []
@@ -157,7 +161,7 @@ def _regrouped(batches):
             held = [whole.slice(cut)]
         elif whole.num_rows > 200_000:
             yield whole
-            held = [whole.slice(whole.num_rows - NEIGHBOURS - 2)]
+            held = [whole.slice(whole.num_rows - reach - 2)]
         else:
             held = [whole]
     if held:
@@ -259,27 +263,55 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
 
     first = saved(met.where("b is not null").select("a", "b").distinct(), "near-pairs")
     links = _verified(first, texts, k, num, den)
-    same = members.where("rep != doc_id and n > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = saved(connected_components(links), "components")
 
-    # what neighbours didn't cover, between different components only
-    rest = met.where("b is null").select(F.col("a").alias("node"), "tok", "place")
-    rest = saved(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct(), "rest")
-    mixed = rest.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("tok")
-    some = rest.join(mixed, "tok", "left_semi")
+    # What the neighbours didn't cover, between different components only. Rounds that look at few
+    # others, in a new order each, merge families of near copies before all that is left is joined.
+    rest, asked = met.where("b is null").select(F.col("a").alias("node"), "tok", "place").distinct(), first
+    for turn, reach in enumerate(LATER):
+        mixed = _mixed_groups(rest, found)
+        dealt = mixed.withColumn("salt", F.lit(0)).repartition("tok").sortWithinPartitions("tok", F.xxhash64("node", F.lit(turn)), "node")
+        near = saved(arrow_map(dealt.select("tok", "salt", "node", "place", "component"), _neighbours(num, den, reach),
+                               "a long, b long, tok long, place long").where("b is not null").select("a", "b").distinct().join(
+                                   asked, ["a", "b"], "left_anti"), "near-pairs")
+        if near.isEmpty():
+            continue
+        new = _verified(near, texts, k, num, den)
+        asked = asked.unionByName(near)
+        if not new.isEmpty():
+            found = saved(connected_components(new.unionByName(_stars(found))), "components")
+    some = _mixed_groups(rest, found)
     n, i = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
     x = some.selectExpr("tok", "node a", "component ca", f"{n.format('place')} na", f"{i.format('place')} ia")
     y = some.selectExpr("tok", "node b", "component cb", f"{n.format('place')} nb", f"{i.format('place')} ib")
     late = x.join(y, "tok").where(
         f"a < b and ca != cb and least(na, nb) * {den} >= {num} * greatest(na, nb) "
         f"and least(na - ia, nb - ib) * {num + den} >= {num} * (na + nb)").select("a", "b").distinct()
-    late = saved(late.join(first, ["a", "b"], "left_anti"), "late-pairs")
-    every = links
-    if not late.isEmpty():
-        every = links.unionByName(_verified(late, texts, k, num, den))
-    final = connected_components(every.unionByName(same))
-    return members.join(final, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("rep").alias("rep_id"))
+    late = saved(late.join(asked, ["a", "b"], "left_anti"), "late-pairs")
+    # rows that repeat an id tie their classes together
+    tied = members.where("n > 0").select("doc_id", "rep").distinct()
+    tied = tied.join(tied.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # the components found are stars already: only what came late moves them
+    more = tied if late.isEmpty() else tied.unionByName(_verified(late, texts, k, num, den))
+    final = found
+    if not more.isEmpty():
+        final = connected_components(more.unionByName(_stars(found)))
+    rows = members.withColumn("at", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    return rows.join(final, F.when(F.col("doc_id").isNotNull(), F.col("at")) == F.col("node"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "at")).alias("component_id"), F.col("rep").alias("rep_id"))
+
+
+def _stars(components: DataFrame) -> DataFrame:
+    return components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _mixed_groups(postings: DataFrame, components: DataFrame) -> DataFrame:
+    """node, tok, place, component of the postings of n-grams that more than one component has."""
+    named = saved(postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
+    mixed = named.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("tok")
+    return saved(named.join(mixed, "tok", "left_semi").select("node", "tok", "place", "component"), "mixed")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
