@@ -6,7 +6,7 @@ emits the class: ``P(word | state) = P(class | state) * (c + 0.5) / mass of the
 seen are one type, as in the base score; by Good-Turing it weighs as much as all words seen once, and
 shares the last class with the words that aren't sent to the tasks. A text's last token is the end.
 
-Counts of the most frequent ``KNOWN`` words are sent to the tasks. Rarer ones stay in a table and meet
+Counts of the most frequent words, at most ``KNOWN``, are sent to the tasks. Rarer ones stay in a table and meet
 the texts' rare words in a join.
 
 Recursions run over all texts of a batch at once: a text is cut into chunks of 64 tokens, the scaled
@@ -263,7 +263,12 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1, id_col: str = "doc_id",
     vocabulary = saved(count_words(texts.where("not held_out").select("text")), "words")
     n_all, v_all, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     unseen = max(float(once), 0.5)
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(known).toPandas()  # at most `known` rows
+    # counts by eighths of a power of two: the words above the lowest step that leaves at most `known`
+    step = F.floor(8 * F.log2("c")).cast("int")
+    steps = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step", ascending=False)
+    fits = steps[steps["n"].cumsum() <= known]["step"]
+    top = vocabulary.where(step >= (int(fits.min()) if len(fits) else 1 << 20)).toPandas()
+    top = top.sort_values(["c", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     # symbols: 0 the end, then the most frequent words, then classes by count, last the words not sent
     width = symbols + CLASSES + 2
