@@ -76,8 +76,8 @@ def _skippable(magic: int, body: bytes) -> bytes:
     return struct.pack("<II", magic, len(body)) + body
 
 
-def write_archives(records: DataFrame, path: str, dictionary: bytes, archives: int, level: int = 3) -> None:
-    """Write (page_id, url, payload, refers_to) as ``archives`` files of one frame per record."""
+def write_archives(records: DataFrame, path: str, dictionary: bytes, level: int = 3) -> None:
+    """Write (page_id, url, payload, refers_to), an archive per partition, one frame per record."""
     sent = records.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
@@ -95,8 +95,7 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes, archives: i
                     out.append(packer.compress(record(i, url, payload.tobytes(), refers)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    dealt = records.repartition(archives, "page_id").select("page_id", "url", "payload", "refers_to")
-    arrow_map(dealt, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", LINE_END).text(path)
+    arrow_map(records.select("page_id", "url", "payload", "refers_to"), run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", LINE_END).text(path)
 
 
 def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -226,13 +225,14 @@ def round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     some = [bytes(r[0]) for r in rows.select(F.substring("payload", 1, 8192)).limit(samples).collect()]
-    keys = rows.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("n"))
+    # one key for a page and its payload, so that the rows are dealt into archives and joined by one shuffle
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn(
+        "key", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("sha1")))
+    keys = rows.select("page_id", "sha1", "key", F.length("payload").alias("n"))
     total = keys.agg(F.sum(F.col("n") + 512)).first()[0] or 0
     last = keys.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1 and last is not null")
-    revisits = keys.select("page_id", "sha1").distinct().join(last.drop("c"), "sha1").where(
-        ~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), F.col("last").alias("refers_to"))
-    keyed = rows.withColumn("sha1", F.sha1("payload"))
-    records = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
-    write_archives(records.select("page_id", "url", "payload", "refers_to"), path, train_dictionary(some),
-                   max(1, -(-int(total) // _ARCHIVE_BYTES)))
+    revisits = keys.select("page_id", "sha1", "key").distinct().join(last.drop("c"), "sha1").where(
+        ~F.col("page_id").eqNullSafe(F.col("last"))).select("key", F.col("last").alias("refers_to"))
+    dealt = rows.drop("sha1").repartition(max(1, -(-int(total) // _ARCHIVE_BYTES)), "key")
+    write_archives(dealt.join(revisits, "key", "left"), path, train_dictionary(some))
     return read_archives(spark, path)
