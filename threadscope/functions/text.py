@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 # --- fixed values -------------------------------------------------------------
-# Whitespace as Python's str.isspace()/re "\s" sees it (the reference strips and
-# splits with those): \t \n \v \f \r, U+001C..U+001F, space, U+0085, U+00A0,
+# Whitespace as Python's str.isspace()/re "\s" sees it (stripping and
+# splitting use these): \t \n \v \f \r, U+001C..U+001F, space, U+0085, U+00A0,
 # U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
 # Java's "\s" is ASCII-only, so the class is spelled out; the same text is valid
 # RE2, which keeps the DuckDB oracle on identical semantics.

@@ -102,7 +102,7 @@ def select_high_signal(df: DataFrame, by: str = "subreddit", tiebreak: Sequence[
                        min_rows: int = MIN_ROWS, posts_only: bool = False) -> DataFrame:
     """The sampling stage: drop deleted authors, score, keep big groups, take the top share.
 
-    ``posts_only=False`` samples comments too, as the original stage does.
+    ``posts_only=False`` samples comments too.
     """
     from threadscope.operators.filters import drop_deleted_authors
     from threadscope.operators.filters import posts_only as _posts_only

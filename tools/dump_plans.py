@@ -13,16 +13,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 KEYS = {
     "high_signal_events": "W1: partial WindowGroupLimit before the exchange; group sizes from a partial aggregate",
-    "term_match": "J1 (small vocabulary): broadcast nested-loop contains; best term via row_number with group limit",
-    "term_match_qgram": "J1 (large vocabulary): regex q-grams hash-joined to broadcast anchors, per-row verification",
-    "term_match_words": "J2: word n-grams equi-joined to the (size-checked, broadcast) vocabulary",
+    "term_match": "J1: character runs joined to one anchor per term, pairs verified; best term via row_number with group limit",
+    "term_match_qgram": "J1: the same plan with a vocabulary of passages and words",
+    "term_match_words": "J2: word n-grams of occurring lengths equi-joined to the vocabulary",
     "keep_first": "W2: row_number() <= 1 with partial WindowGroupLimit",
     "label_consensus": "J7 + A5: one shuffle on the keys, votes counted inside each key's group",
-    "latency_by_label": "A4: exact percentile as one partial/final aggregate per label",
+    "latency_by_label": "A4: exact quantiles from (label, value) ranges with offsets",
     "since_date": "F1: literal of the column's own type -> PushedFilters; ReadSchema pruned",
     "min_length": "X4 + F3: cleaned text evaluated once, after spreading the single-split input",
     "fastest_20": "W5: TakeOrderedAndProject",
-    "restrict_to": "J10: size-checked broadcast semi join",
+    "restrict_to": "J10: semi join, strategy left to the planner",
     "first_last_reply": "A1 + J6: comments reduced to one row per post before the left join",
 }
 
