@@ -88,3 +88,39 @@ def test_hostile_rows(spark):
     assert decontam.without_benchmark(docs, b).count() == len(got) - 4
     assert decontam.contamination(hostile.empty(spark), b).count() == 0
     assert not any(r["contaminated"] for r in decontam.contamination(docs, b.where("item_id = 99")).collect())
+
+
+def agreeing(text, item):
+    """The most words of ``item`` that agree along any diagonal: knows neither masks, seeds nor segments."""
+    w, b = words(text), words(item)
+    return max(sum(0 <= x + j < len(w) and w[x + j] == b[j] for j in range(len(b))) for x in range(-len(b) + 1, len(w)))
+
+
+def test_items_quoted_whole_with_changed_words(spark):
+    rng = random.Random(9)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (5, 7, 9, 10, 11, 12, 13, 15, 16, 17, 20, 25, 26, 40)]
+    docs = []
+    for n, t in items:
+        w = t.split()
+        changes = [(k,) for k in range(n)] + [tuple(sorted(rng.sample(range(n), c))) for c in range(2, n // 5 + 2) for _ in range(20)]
+        for places in changes:
+            docs.append((len(docs), " ".join(["a b c", *("x" if k in places else v for k, v in enumerate(w)), "d e"])))
+        docs += [(len(docs), " ".join(w[n // 5:])), (len(docs) + 1, " ".join(w[:n - n // 5]))]  # cut at an end of the text
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(d, b).collect()}
+    for i, t in docs:
+        whole = [n for n, item in items if 5 * agreeing(t, item) >= 4 * n]
+        assert not whole or got[i]["contaminated"] and [got[i]["item_id"]] == whole, t
+        # longer items may also be found by a part of 13 words
+        assert got[i]["contaminated"] == bool(whole) or got[i]["item_id"] > 13, t
+    assert {r["doc_id"] for r in decontam.without_benchmark(d, b).collect()} == {i for i, r in got.items() if not r["contaminated"]}
+
+
+def test_items_without_id(spark):
+    text = "one two three four five six seven"
+    b = spark.createDataFrame([(None, text), (None, "other " + text), (3, text)], "item_id long, text string")
+    d = spark.createDataFrame([(1, text), (2, "none of those words")], "doc_id long, text string")
+    for items, n, item in ((b, 2, 3), (b.where("item_id is null"), 1, None)):
+        got = {r["doc_id"]: r for r in decontam.contamination(d, items, unnamed=True).collect()}
+        assert (got[1]["contaminated"], got[1]["n_items"], got[1]["item_id"]) == (True, n, item) and not got[2]["contaminated"]
+        assert [r["doc_id"] for r in decontam.without_benchmark(d, items, unnamed=True).collect()] == [2]
