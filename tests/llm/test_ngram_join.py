@@ -4,8 +4,9 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tests.llm import hostile
+from threadscope.llm import ngram_join
 from threadscope.llm.components import connected_components
-from threadscope.llm.ngram_join import ngram_components, one_of_each
+from threadscope.llm.ngram_join import ngram_components, ngram_links, one_of_each
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -97,3 +98,45 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(51)}}
     assert connected_components(df.where(F.lit(False))).count() == 0
+
+
+def brute_links(rows):
+    """Number of other documents that any text of a document links with."""
+    out = {i: set() for i, _ in rows if i is not None}
+    for (a, x), (b, y) in combinations([(i, grams(t)) for i, t in rows if i is not None], 2):
+        if a != b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            out[a].add(b)
+            out[b].add(a)
+    return {i: len(v) for i, v in out.items()}
+
+
+def links(df):
+    return {(r["doc_id"], r["n_links"]) for r in df.collect()}
+
+
+def test_links_of_hostile_rows(spark):
+    rows = [r[:2] for r in hostile.rows()]
+    got = ngram_links(hostile.docs(spark))
+    assert found(got) == brute(rows)
+    assert links(got) == {*brute_links(rows).items(), (None, 0)}
+    assert ngram_links(hostile.empty(spark)).count() == 0
+
+
+def test_links_inside_families_of_near_copies(spark, monkeypatch):
+    """No link is lost in families of many different texts, copies and documents of several texts."""
+    rng = random.Random(12)
+    rows = []
+    for family, size in enumerate((1, 2, 4, 40, 60)):
+        words = [f"f{family}x{k}" for k in range(80)]
+        for _ in range(size):
+            text = list(words)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                text[rng.randrange(80)] = f"own{rng.random()}"
+            rows += [(len(rows), " ".join(text[:rng.choice([80, 80, 70])]))]
+    rows += [(rng.randrange(len(rows)), rng.choice(rows)[1]) for _ in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = set(brute_links(rows).items())
+    assert links(ngram_links(df)) == want
+    monkeypatch.setattr(ngram_join, "BUCKET_CLASSES", 7)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    assert links(ngram_links(df)) == want

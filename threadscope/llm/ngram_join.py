@@ -13,6 +13,10 @@
    a few pairs per member, not its square, and no link between components is lost.
 
 Hot n-grams are dealt out by a salt in step 3; step 4 joins what the salt kept apart.
+
+:func:`ngram_links` counts all links of every document. No link leaves a component, so the classes of each
+are dealt into buckets of bounded size, every pair of buckets is one cell of work, and in it the overlaps
+of all its pairs of sets are counted at once. A link is met in one cell only; sums leave it, not pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ NEIGHBOURS = 2
 #: How far later rounds look among postings of different components, before all the rest is joined.
 LATER = (8, 64)
 SUFFIX_SLICES = 64
+#: A bucket of classes holds about so many classes and n-grams at most; columns of a cell's matrix at a time.
+BUCKET_CLASSES, BUCKET_GRAMS, COLUMNS = 256, 1 << 18, 4096
 _U = np.uint64
 
 
@@ -47,7 +53,7 @@ def _scan(k: int):
             for text in byte_rows(batch.column("text")):
                 grams = shingles(word_hashes(text, SPACED), k)
                 np.add.at(counts, _cell(grams), 1)
-                digest = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
+                digest = _digest(grams)
                 sizes.append(len(grams))
                 d1.append(digest[0])
                 d2.append(digest[1])
@@ -237,7 +243,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
         return _components(docs, k, num, den, id_col, text_col)
 
 
-def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, also: tuple = ()) -> DataFrame:
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
     scan = saved(arrow_map(texts, _scan(k), "doc_id long, n long, d1 long, d2 long, slice int, cells binary"), "gram-scan")
@@ -249,7 +255,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     members = saved(rows.join(classes, ["d1", "d2"], "left").select(
-        "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "gram-classes")
+        "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), *also), "gram-classes")
     copies = members.where("n > 0").groupBy("doc_id").agg(F.max(F.col("rep") == F.col("doc_id")).alias("kept")).where(
         "not kept").select("doc_id")
 
@@ -300,7 +306,133 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
     rows = members.withColumn("at", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     return rows.join(final, F.when(F.col("doc_id").isNotNull(), F.col("at")) == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "at")).alias("component_id"), F.col("rep").alias("rep_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "at")).alias("component_id"), F.col("rep").alias("rep_id"), *also)
+
+
+def ngram_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of ``docs``.
+
+    ``n_links`` is the number of other documents it links with, equal texts among them, by the rules of
+    :func:`ngram_components`: rows that repeat an id are one document, which links if any of its texts
+    does and counts once; rows with a null id and texts without words have no links.
+    """
+    with small_batches(docs.sparkSession):
+        return _link_counts(docs, k, num, den, id_col, text_col)
+
+
+def _digest(grams: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def _digested(k: int):
+    def run(batches):
+        for batch in batches:
+            d = [_digest(shingles(word_hashes(t, SPACED), k)) for t in byte_rows(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()),
+                 batch.column("text")], names=["doc_id", "d1", "d2", "text"])
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared n-grams of every set of ``a`` with every set of ``b`` (places in ``sets``)."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(a), len(b)))
+    for c in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
+        x[owner[lo:hi], column[lo:hi] - c] = 1
+        both += x[a] @ x[b].T
+    return both
+
+
+def _cells(k: int, num: int, den: int):
+    """Rows sorted by cell -> d1, d2, single documents of the classes it links with, and its links (e1, e2)
+    with classes that hold documents of several texts."""
+    names = ["d1", "d2", "links", "e1", "e2"]
+
+    def counted(cell):
+        lo, hi, bucket = (cell.column(c).to_numpy() for c in ("lo", "hi", "bucket"))
+        d1, d2, single, several = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2", "single", "several"))
+        sets = [shingles(word_hashes(t, SPACED), k) for t in byte_rows(cell.column("text"))]
+        a, b = np.flatnonzero(bucket == lo), np.flatnonzero(bucket == hi)
+        size = np.array([len(x) for x in sets], np.int64)
+        link = np.zeros((len(sets), len(sets)), bool)
+        if len(a) and len(b):
+            link[np.ix_(a, b)] = (num + den) * _overlaps(sets, a, b) >= num * (size[a][:, None] + size[b])
+        link |= link.T
+        np.fill_diagonal(link, False)
+        i, j = np.nonzero(link & several)
+        n = len(i)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((d1, d1[i]))), pa.array(np.concatenate((d2, d2[i]))),
+             pa.array(np.concatenate((link @ single, np.zeros(n, np.int64)))),
+             pa.concat_arrays([pa.nulls(len(d1), pa.int64()), pa.array(d1[j], pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(d1), pa.int64()), pa.array(d2[j], pa.int64())])], names=names)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("component", "lo", "hi")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                part = batch.slice(at, end - at)
+                if held and held[-1][0] != tuple(key[at]):
+                    yield counted(pa.Table.from_batches([x for _, x in held]).combine_chunks().to_batches()[0])
+                    held = []
+                held.append((tuple(key[at]), part))
+        if held:
+            yield counted(pa.Table.from_batches([x for _, x in held]).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _link_counts(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    known = saved(_components(docs, k, num, den, id_col, text_col, ("d1", "d2")), "link-classes")
+    held = known.where("n_shingles > 0 and doc_id is not null").select(
+        "doc_id", F.col("component_id").alias("component"), F.col("n_shingles").alias("n"), "d1", "d2").distinct()
+    repeats = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("several"))
+    held = saved(held.join(repeats, "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False))), "link-documents")
+    classes = saved(held.groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("rep"), F.min("component").alias("component"), F.min("n").alias("n"),
+        F.sum(F.expr("cast(not several as long)")).alias("single"), F.max("several").alias("several")), "link-sets")
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total")).where("c > 1").selectExpr(
+        "component", f"greatest(ceil(c / {BUCKET_CLASSES}), ceil(total / {BUCKET_GRAMS})) buckets")
+    dealt = saved(classes.join(sizes, "component").withColumn(
+        "bucket", F.expr("pmod(xxhash64(d1, d2), buckets)")).withColumnRenamed("rep", "doc_id"), "link-buckets")
+    wanted = spark.sparkContext.broadcast(seen_in(dealt, "doc_id"))
+    texts = maybe_in(id_and_text(docs, id_col, text_col), wanted, True)
+    texts = saved(arrow_map(texts, _digested(k), "doc_id long, d1 long, d2 long, text binary").join(
+        dealt, ["doc_id", "d1", "d2"]).dropDuplicates(["d1", "d2"]), "link-texts")
+    cells = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1))).select(
+        "component", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "bucket",
+        "d1", "d2", "single", "several", "text").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    met = saved(arrow_map(cells, _cells(k, num, den), "d1 long, d2 long, links long, e1 long, e2 long"), "links")
+
+    links = met.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
+    # Documents of several texts, by class that one of their texts is in or links with, each once.
+    mine = held.where("several").select("doc_id", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    near = met.where("e1 is not null").select("d1", "d2", "e1", "e2").unionByName(
+        classes.where("several").selectExpr("d1", "d2", "d1 e1", "d2 e2"))
+    around = saved(near.join(mine, ["e1", "e2"]).select("doc_id", "d1", "d2").distinct(), "links-of-several")
+    one = held.where("not several").select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "single"), ["d1", "d2"]).join(
+        links, ["d1", "d2"], "left").join(around.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("more")), ["d1", "d2"], "left").selectExpr(
+        "doc_id", "single - 1 + coalesce(links, 0) + coalesce(more, 0) n_links")
+    singles = around.join(classes.select("d1", "d2", "single"), ["d1", "d2"]).groupBy("doc_id").agg(F.sum("single").alias("n"))
+    others = around.join(mine.select(F.col("doc_id").alias("other"), F.col("e1").alias("d1"), F.col("e2").alias("d2")), ["d1", "d2"]).select(
+        "doc_id", "other").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("more"))
+    per_document = one.unionByName(singles.join(others, "doc_id").selectExpr("doc_id", "n + more - 1 n_links"))
+    return known.join(per_document, "doc_id", "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _stars(components: DataFrame) -> DataFrame:
