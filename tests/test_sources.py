@@ -215,3 +215,14 @@ def test_period_paths_select_month_files(spark, tmp_dir):
     assert got == ["c2024-01", "c2024-03"]
     with pytest.raises(ValueError):
         R.period_paths(tmp_dir, ["2024-1"])
+
+
+def test_candidates_append_covers_rows_without_a_language(spark, tmp_dir):
+    from threadscope.plans.queries import candidates_append
+
+    text = "some words around one fixed benchmark passage of the table and more"
+    spark.createDataFrame([(1, text, "en"), (2, text, "de"), (3, text, None)], "doc_id long, text string, lang string").write.parquet(
+        f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(1, "one fixed benchmark passage of the table")], "item_id long, text string").write.parquet(
+        f"{tmp_dir}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in candidates_append(spark, tmp_dir).collect()) == [1, 2, 3]

@@ -778,7 +778,7 @@ def flat_csv_roundtrip(spark, d):
 
 
 def candidates_append(spark, d):
-    """K2: matches of two runs (by language) appended to one candidate folder, read back."""
+    """K2: matches of two runs (English, all others and no language) appended to one candidate folder, read back."""
     from threadscope.session import scratch_path
     from threadscope.sources.readers import read_catalog_csv
     from threadscope.sources.sinks import append_candidates
@@ -786,7 +786,8 @@ def candidates_append(spark, d):
     path = scratch_path(spark, "candidates")
     terms = table(spark, d, "benchmark").select(F.col("text").alias("term"))
     docs = fx.text_table(spark, d, "documents").select("doc_id", "lang", "text")
-    for run in (F.col("lang") == "en", F.col("lang") != "en"):
+    english = F.col("lang").eqNullSafe("en")
+    for run in (english, ~english):
         hits = matching.match_terms(docs.where(run), "text", terms, ["doc_id"])
         append_candidates(hits.select("doc_id", "matched_term"), path)
     return read_catalog_csv(spark, path, "doc_id bigint, matched_term string")
