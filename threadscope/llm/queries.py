@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadscope.session import scratch_path
 
-from . import decontam, hmm, huffman, license_scan, mixing, ngram_join, topk, toxicity, url_filter, warc
+from . import alignment, decontam, hmm, huffman, license_scan, mixing, ngram_join, packing, topk, toxicity, url_filter, warc, whitening
 from .common import read_table
 
 
@@ -84,6 +84,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_files(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op1_ngram_links": op1_ngram_links,
@@ -96,6 +108,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_token_ids": op10_token_ids,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
