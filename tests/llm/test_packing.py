@@ -121,11 +121,15 @@ def test_word_table_equals_whole_texts():
     signs = [*"aAbZ sS'tT 09.,!<>|=\"*-_\n\t\x0b\x0c\x1c\x85\xa0 é ñß×　日本 ½²​😀\r \x00", "   ", "<|endoftext|>", " \n ", "\n\n", "don't"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(16))) for _ in range(6000)]
     assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    table = word_ids.WordTable(lambda words: words)
-    word_ids.FULL, before = 10, word_ids.FULL
-    try:
-        for at in range(0, 100, 7):
-            assert all(table.ready([[str(i)]])[str(i)] == str(i) for i in range(at, at + 7))
-            assert len(table.known) <= 17
-    finally:
-        word_ids.FULL = before
+    table = word_ids.WordTable(lambda words: words, full=10)
+    for at in range(0, 100, 7):
+        assert all(table.ready([[str(i)]])[str(i)] == str(i) for i in range(at, at + 7))
+        assert len(table.known) <= 10
+
+
+def test_words_that_cannot_be_joined():
+    """A vocabulary with a token over a blank: the joined text is not taken apart, words are encoded one by one."""
+    entries = [b" a", b" b", b" a b"]
+    sizes = np.array([len(e) for e in entries])
+    got = word_ids.many_words(["a", "b"], lambda texts: [[2] for _ in texts], lambda words: [[0] if w == "a" else [1] for w in words], sizes)
+    assert got == [word_ids.little([0]), word_ids.little([1])]

@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_rows, id_and_text, saved
-from .word_ids import WordTable, byte_bpe, little, text_groups, words_of
+from .word_ids import WordTable, byte_bpe, many_words, text_groups, words_of
 
 SENT = 1 << 18  # pairs sent to every task, 17 bytes each
+HELD_WORDS = 400_000  # of a task's table, about 400 bytes each
 _HELD = 1 << 22  # links counted in a task before equal pairs are summed
 
 
@@ -127,31 +128,31 @@ def _both(path_a: str, path_b: str):
     """word -> (ids of A, ids of B) of a blank and the word, or None where the bytes of either are other ones;
     bytes per id of A and of B; the larger vocabulary."""
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path_a)
     sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    # the letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(sorted(set(range(256)) - set(plain)))}
-    entries = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
-    bytes_a = [bytes(byte_of[c] for c in e) if all(c in byte_of for c in e) else e.encode() for e in entries]
+    _, words_a, bytes_a, size_a = byte_bpe(path_a, True)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     bytes_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+    size_b = np.array([len(e) for e in bytes_b], np.uint32)
     blank = sp.piece_to_id("▁")
-    encode_a = byte_bpe(path_a, True)
+
+    def each_b(words):
+        return [b if w else [blank] for w, b in zip(words, sp.encode(words, num_threads=1))]
+
+    def whole_b(texts):
+        return sp.encode([t[1:] for t in texts], num_threads=1)  # it puts the blank before a text itself
+
+    def equal(ids, entries, raw):
+        return b"".join([entries[i] for i in np.frombuffer(ids, "<u2").tolist()]) == raw
 
     def fill(words):
-        for word, a, b in zip(words, encode_a([" " + w for w in words]), sp.encode(words, num_threads=1)):
-            b = b if word else [blank]
-            raw = b" " + word.encode()
-            if b"".join([bytes_a[i] for i in a]) == raw == b"".join([bytes_b[i] for i in b]):
-                yield little(a), little(b)
-            else:
-                yield None
-
-    sizes = lambda entries: np.array([len(e) for e in entries], np.uint32)
-    return WordTable(fill), sizes(bytes_a), sizes(bytes_b), max(len(entries), len(pieces))
+        found = [words_a(words), many_words(words, whole_b, each_b, size_b, "▁")]
+        raw = ["", *words]
+        if all(equal(b"".join(ids), entries, " ".join(raw).encode()) for ids, entries in zip(found, (bytes_a, bytes_b))):
+            return zip(*found)
+        return [(a, b) if equal(a, bytes_a, b" " + w.encode()) and equal(b, bytes_b, b" " + w.encode()) else None for w, a, b in zip(words, *found)]
+
+    return WordTable(fill, HELD_WORDS), size_a, size_b, max(len(bytes_a), len(bytes_b))
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
