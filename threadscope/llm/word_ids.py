@@ -41,7 +41,7 @@ class WordTable:
 
     def ready(self, words: Iterable[list[str]]) -> dict:
         """The table, with every given word in it."""
-        missing = set().union(*words) - self.known.keys()
+        missing = set().union(*words).difference(self.known)  # looks its own members up in the dict
         if missing:
             if len(self.known) + len(missing) > self.full:
                 self.known.clear()
@@ -127,7 +127,7 @@ def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return run
 
 
-def text_groups(column, rows: int = 256, size: int = 1 << 21) -> Iterable[tuple[int, int]]:
+def text_groups(column, rows: int = 512, size: int = 1 << 22) -> Iterable[tuple[int, int]]:
     """Ranges of at most ``rows`` rows and about ``size`` bytes of a binary column."""
     from .common import byte_rows
 
