@@ -106,3 +106,59 @@ def test_relations(spark):
     assert [r["term"] for r in t.collect()] == ["a", "b", "c"]
     i = relations.intersect_keys([df, df.where("k > 1"), df.where("k < 3")], ["s", "k"])
     assert [tuple(r) for r in i.collect()] == [("b", 2)]
+
+
+def _found(df):
+    return {(r["id"], r["_term"]) for r in df.collect()}
+
+
+def test_all_contained_terms_on_every_path(spark):
+    """Parts of words, terms over blanks, blanks alone, line ends; anchors broadcast or shuffled behind the filter of cells."""
+    import random
+
+    rng = random.Random(8)
+    alphabet = ["a", "b", "ab", "é", " ", "  ", "\n", "the", "c"]
+    texts = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(25)))) for i in range(300)] + [(900, None), (901, ""), (902, "   ")]
+    terms = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 7))) for _ in range(150)} | {"a", " ", "   ", " the ", "the ab"})
+    want = {(i, t) for i, x in texts for t in terms if x is not None and t in x}
+    left = _texts(spark, texts).withColumnRenamed("txt", "_text")
+    vocab = _terms(spark, terms).select(F.col("term").alias("_term"))
+    assert len({t for _, t in want}) > 60
+    for q, most in ((5, 10 ** 6), (2, 10 ** 6), (5, 0)):
+        assert _found(matching._contained(left, ["id"], vocab, q, sent_anchors=most)) == want
+        top = {i: min((t for j, t in want if j == i), key=lambda t: (-len(t), t)) for i, _ in want}
+        assert _found(matching._contained(left, ["id"], vocab, q, best=True, sent_anchors=most)) == set(top.items())
+
+
+def test_words_are_filtered_below_the_exchange(spark):
+    texts = _texts(spark, [(i, f"x rare{i} word y") for i in range(50)]).withColumnRenamed("txt", "_text")
+    vocab = _terms(spark, ["a rare7 w", "rare8 word"]).select(F.col("term").alias("_term"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_text(matching._contained(texts, ["id"], vocab, 5, sent_anchors=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tree = plan[:plan.index("\n\n")]
+    lines = tree.splitlines()
+    semi = next(i for i, l in enumerate(lines) if "BroadcastHashJoin LeftSemi" in l)
+    depth = lambda l: len(l) - len(l.lstrip(" :+-"))
+    above = [l for l in lines[:semi] if depth(l) < depth(lines[semi])]
+    assert any("Exchange" in l for l in above)  # the exchange to the join reads what the filter left
+
+
+def test_anchors_avoid_common_words(spark):
+    texts = _texts(spark, [(i, f"say the most common words {i}") for i in range(200)] + [(900, "in the seldom common case")]).withColumnRenamed("txt", "_text")
+    terms = matching._terms_by_part(_terms(spark, ["n the seldom common c", "y the most common w"]).select(F.col("term").alias("_term")))
+    got = {r["_term"]: r["_word"] for r in matching._rarest_words(terms, texts).collect()}
+    assert got["n the seldom common c"] == "seldom"
+
+
+def test_lookup_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("als", i % 3, f"als group {i}") for i in range(40)]
+    terms = _terms(spark, ["ls g"])
+    answers = set()
+    for seed in range(5):
+        cat = spark.createDataFrame(rows, "name string, subscribers long, public_description string").orderBy(F.rand(seed)).repartition(1 + seed)
+        got = matching.lookup_with_fallback(terms, cat, relevance=[F.col("subscribers").desc()])
+        answers.add(tuple(r["public_description"] for r in got.orderBy("hit_rank").collect()))
+    assert len(answers) == 1 and len(answers.pop()) == 3

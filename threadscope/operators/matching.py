@@ -1,7 +1,7 @@
 """Vocabulary matching against community text.
 
-J1 ``match_terms``: exact substring matching; terms anchored on a run of their characters
-are hash-joined to each text's runs and verified.
+J1 ``match_terms``: exact substring matching; terms anchored on their rarest word
+are hash-joined to each text's words and verified.
 J2 ``match_words``: word n-gram equi-join (scales with any vocabulary size).
 J3 ``match_acronyms``: acronyms over rows J1 left unmatched.
 J4/J5 name lookups and W3 first-writer-wins.
@@ -10,6 +10,7 @@ J4/J5 name lookups and W3 first-writer-wins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,14 @@ from threadscope.session import scratch_path
 ACRONYM_DELIMITER = "[^A-Za-z0-9]+"
 # Number of relevance hits a term without an exact name hit may add.
 FALLBACK_K = 3
-# Substring matching: length of the anchors.
+# Substring matching: length of the anchors inside words.
 QGRAM = 5
+# Counters of the sketch and of the filter of anchors, and texts that the sketch counts.
+CELLS = 1 << 20
+SKETCH_TEXTS = 500
+# Terms, and characters of them, up to which their anchors are broadcast; beyond, the texts' words are filtered and shuffled.
+SENT_ANCHORS = 200_000
+SENT_CHARS = 1 << 24
 # Word n-grams longer than this are found by their first words and verified.
 ANCHOR_WORDS = 8
 # -----------------------------------------------------------------------------
@@ -48,39 +55,127 @@ def _terms(terms: DataFrame, term_col: str, fold: bool) -> DataFrame:
     return terms.select(t.alias("_term")).where(F.col("_term").isNotNull() & (F.col("_term") != "")).distinct()
 
 
-def _anchors(vocab: DataFrame, q: int) -> DataFrame:
-    """``(_term, _gram)``: each term with the one of its q-character runs that the fewest terms have
-    (the smallest of equals); a term shorter than q is its own run."""
-    runs = F.when(F.length("_term") < q, F.array("_term")).otherwise(
-        F.array_distinct(F.regexp_extract_all(F.col("_term"), F.lit("(?s)(?=(.{%d}))" % q), 1)))
-    grams = vocab.select("_term", F.explode(runs).alias("_gram"))
+def _cell(word: str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(CELLS))
+
+
+def _words(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., _word)``: the distinct words between blanks of every text."""
+    return left.select(*keys, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word != ''")
+
+
+def _terms_by_part(vocab: DataFrame) -> DataFrame:
+    """``(_rank, _term, _inner, _piece)``, ranked longest first, then by code points. A text that holds the
+    term has every word between the term's first and last blank (``_inner``) as a word of its own; its
+    words at the ends may go on. ``_piece`` is the longest part without blanks, which stands inside one
+    word (null: the term is blanks alone)."""
+    parts = F.split("_term", " ")
+    inner = F.when(F.size(parts) > 2, F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), lambda p: p != "")).otherwise(
+        F.array().cast("array<string>"))
+    longest = F.array_max(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    # the ids of a sorted frame rise from partition to partition: a rank without one task that numbers all
+    ranked = vocab.orderBy(F.length("_term").desc(), F.col("_term")).select(F.monotonically_increasing_id().alias("_rank"), "_term")
+    return ranked.select("_rank", "_term", inner.alias("_inner"), longest["p"].alias("_piece"))
+
+
+def _rarest_words(terms: DataFrame, left: DataFrame) -> DataFrame:
+    """``(_rank, _term, _word)``: each term with the inner word that the fewest texts hold, by a count sketch
+    (``CELLS`` counters) over the first ``SKETCH_TEXTS`` texts; the longest of equals. The sketch steers the
+    work only: any inner word finds all texts."""
+    sketch = _words(left.limit(SKETCH_TEXTS), []).groupBy(_cell("_word").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    words = terms.select("_rank", "_term", F.explode("_inner").alias("_word")).withColumn("_cell", _cell("_word"))
+    counted = words.join(sketch, "_cell", "left")
+    return counted.groupBy("_rank", "_term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), -F.length("_word"), "_word")).alias("_a")).select(
+        "_rank", "_term", F.col("_a._word").alias("_word"))
+
+
+def _runs(df: DataFrame, column: str, lengths: Sequence[int]) -> DataFrame:
+    """``df`` with a row per run of characters (``_gram``) of the given lengths, at every place."""
+    placed = df.select("*", F.explode(F.sequence(F.lit(1), F.length(column))).alias("_at"))
+    here = F.length(column) - F.col("_at") + 1
+    grams = [F.when(here >= n, F.substring(F.col(column), F.col("_at"), F.lit(n))) for n in sorted(lengths)]
+    return placed.select("*", F.explode(F.array(*grams)).alias("_gram")).where(F.col("_gram").isNotNull()).drop("_at")
+
+
+def _inside_words(words: DataFrame, pieces: DataFrame, lengths: Sequence[int], q: int, few: bool) -> DataFrame:
+    """``(_word, _piece, _rank)`` for every one of the distinct ``words`` that contains a piece. A piece is
+    anchored on the one of its q-character runs that the fewest pieces have; ``few`` anchors are broadcast."""
+    grams = _runs(pieces.where(F.length("_piece") >= q), "_piece", [q]).distinct().unionByName(
+        pieces.where(F.length("_piece") < q).withColumn("_gram", F.col("_piece")))
     shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    return grams.join(shared, "_gram").groupBy("_term").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select(
-        "_term", F.col("_a._gram").alias("_gram"))
+    anchors = grams.join(shared, "_gram").groupBy("_piece", "_rank").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select(
+        "_piece", "_rank", F.col("_a._gram").alias("_gram"))
+    return _runs(words, "_word", lengths).join(F.broadcast(anchors) if few else anchors, "_gram").where(F.col("_word").contains(F.col("_piece"))).select("_word", "_piece", "_rank")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: the planner then knows its size and broadcasts it or not by the
+    session's threshold."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _contained(left: DataFrame, keys: Sequence[str], vocab: DataFrame, q: int) -> DataFrame:
-    """``(keys..., _term)`` for every row whose ``_text`` contains the term.
+def _contained(left: DataFrame, keys: Sequence[str], vocab: DataFrame, q: int, best: bool = False,
+               sent_anchors: int = SENT_ANCHORS) -> DataFrame:
+    """``(keys..., _term)`` for every row whose ``_text`` contains the term (``best``: its longest term only).
 
-    Every term is anchored on one run of its characters. A text's distinct runs of the anchors' lengths
-    (one linear regex pass per length that occurs; a zero-width lookahead captures them) are joined with
-    the anchors on equality; (row, term) pairs found so are checked against the text, unless the run is
-    the whole term. Work grows with the text, not with the vocabulary.
+    Texts are taken apart into distinct words, about a tenth of the rows that their character runs would
+    be, and one word of each term leads to the texts that may hold it:
+
+    * a term with inner words by the rarest of them, which must be a whole word of the text. Beyond
+      ``sent_anchors`` such words a filter of hash cells (at most ``CELLS``, so broadcast) drops the other
+      words of the texts before they are shuffled. The texts found are checked for the whole term;
+    * other terms by their longest part, looked up inside the distinct words of all texts.
+
+    A common word is no anchor where the term has a rarer one. Where it is the term itself, its texts are
+    the result; the join on it is an inner one, which adaptive execution splits. Matches travel as ranks of
+    their terms, so the best of a text is a plain minimum, taken before the shuffle.
     """
-    lengths = [r[0] for r in vocab.select(F.least(F.length("_term"), F.lit(q)).alias("n")).distinct().collect()]  # at most q
-    if not lengths:
+    terms = _written(_terms_by_part(vocab), "terms")
+    inner, alone = F.size("_inner") > 0, F.col("_piece") == F.col("_term")
+    kinds = terms.groupBy(inner.alias("inner"), F.when(F.col("_piece").isNotNull(), F.least(F.length("_piece"), F.lit(q))).alias("n"), alone.alias("alone")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.length("_term")).alias("size")).collect()  # a row per length up to q, times four at most
+    few = {of: all(sum(r[c] for r in kinds if r["inner"] == of) <= most for c, most in (("count", sent_anchors), ("size", SENT_CHARS)))
+           for of in (True, False)}  # with inner words, and without: whether their anchors may be broadcast
+    sure, unsure = [], []
+    if any(r["inner"] for r in kinds):
+        anchors, probes = _rarest_words(terms.where(inner), left), _words(left, keys)
+        if few[True]:
+            anchors = F.broadcast(anchors)
+        else:
+            anchors = _written(anchors, "anchors")
+            cells = F.broadcast(anchors.select(_cell("_word").alias("_cell")).distinct())  # at most CELLS numbers
+            probes = probes.withColumn("_cell", _cell("_word")).join(cells, "_cell", "left_semi").drop("_cell")
+        unsure.append(probes.join(anchors, "_word"))
+    lengths = sorted({r["n"] for r in kinds if not r["inner"] and r["n"]})
+    if lengths:
+        own = terms.where(~inner & F.col("_piece").isNotNull())
+        # a part that is a term has that term's rank
+        pieces = own.groupBy("_piece").agg(F.min(F.when(alone, F.col("_rank"))).alias("_rank"))
+        # few bytes, much work: adaptive execution would leave them to a task or two
+        words = _words(left, []).distinct().repartition(left.sparkSession.sparkContext.defaultParallelism)
+        hits = _inside_words(words, pieces, lengths, q, few[False])
+        of_word = hits.where(F.col("_rank").isNotNull()).select("_word", "_rank")
+        if best:  # of the terms inside a word only the best can be its text's best
+            of_word = of_word.groupBy("_word").agg(F.min("_rank").alias("_rank"))
+        sure.append(_words(left, keys).join(_written(of_word, "word-terms"), "_word").select(*keys, "_rank"))
+        if any(not r["inner"] and r["n"] and not r["alone"] for r in kinds):
+            longer = own.where(~alone).select("_rank", "_term", "_piece")
+            unsure.append(_words(left, keys).join(hits.select("_word", "_piece").join(longer, "_piece"), "_word"))
+    if any(not r["inner"] and r["n"] is None for r in kinds):
+        blanks = left.select(*keys, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(
+            F.regexp_extract_all("_text", F.lit(" +"), 0), lambda b: F.length(b))))).alias("_n"))
+        sure.append(blanks.join(terms.where(F.col("_piece").isNull()).select("_rank", F.length("_term").alias("_n")), "_n").select(*keys, "_rank"))
+    for pairs in unsure:
+        # the pairs go to the text once; its other columns stay behind
+        sure.append(pairs.select(*keys, "_rank", "_term").distinct().join(left.select(*keys, "_text"), list(keys)).where(
+            F.col("_text").contains(F.col("_term"))).select(*keys, "_rank"))
+    if not sure:
         return left.select(*keys).limit(0).withColumn("_term", F.lit(None).cast("string"))
-    runs = [F.regexp_extract_all(F.col("_text"), F.lit("(?s)(?=(.{%d}))" % n), 1) for n in sorted(lengths)]
-    probes = left.select(*keys, F.explode(F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])).alias("_gram"))
-    # written first: the planner then knows its size and broadcasts it or not by the session's threshold
-    path = scratch_path(left.sparkSession, "anchors")
-    _anchors(vocab, q).write.parquet(path)
-    anchors = left.sparkSession.read.schema("_term string, _gram string").parquet(path)
-    pairs = probes.join(anchors, "_gram", "inner").select(*keys, "_term", (F.col("_gram") == F.col("_term")).alias("_whole"))
-    # the pairs go to the text once; its other columns stay behind
-    checked = pairs.join(left.select(*keys, "_text"), list(keys), "inner").where(
-        F.col("_whole") | F.col("_text").contains(F.col("_term")))
-    return checked.select(*keys, "_term")
+    found = reduce(DataFrame.unionByName, sure)
+    found = found.groupBy(*keys).agg(F.min("_rank").alias("_rank")) if best else found.distinct()
+    return found.join(terms.select("_rank", "_term"), "_rank").select(*keys, "_term")
 
 
 def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[str],
@@ -89,14 +184,13 @@ def match_terms(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequence[s
 
     Unmatched rows are dropped. ``keys`` must identify a row of ``df``. The matched
     term is the lower-cased term; the longest wins, then code-point order (the
-    choice is deterministic). One anchored equi-join for any vocabulary (``_contained``).
+    choice is deterministic). Anchored equi-joins for any vocabulary (``_contained``).
     """
     keys = list(keys)
     vocab = _terms(terms, term_col, fold)
     text = F.lower(F.col(text_col)) if fold else F.col(text_col)
     left = df.select(*keys, text.alias("_text"))
-    best = _best_term(_contained(left, keys, vocab, q), keys, [], "_term", out)
-    return df.join(best, keys, "inner")
+    return df.join(_contained(left, keys, vocab, q, best=True).withColumnRenamed("_term", out), keys, "inner")
 
 
 def word_ngrams(text: Column, lengths: Sequence[int]) -> Column:
@@ -184,6 +278,8 @@ def find_candidates(df: DataFrame, text_col: str, terms: DataFrame, keys: Sequen
     if not acronyms_in_substring_pass:
         first_vocab = vocab.join(acronym_filter(vocab, "term"), "term", "left_anti")
     hit = match_terms(df, text_col, first_vocab, keys).withColumn("match_kind", F.lit("term"))
+    if acronyms_in_substring_pass and acronym_case == "exact":
+        return hit  # an acronym is a term too: the first pass found all that the second could
     rest = df.join(hit.select(*keys), keys, "left_anti")
     acr = match_acronyms(rest, text_col, vocab, keys, case=acronym_case).withColumn(
         "match_kind", F.lit("acronym"))
@@ -217,7 +313,8 @@ def lookup_with_fallback(terms: DataFrame, catalog: DataFrame, term_col: str = "
     """Exact name hits (J4); terms without one get their top-k relevance hits.
 
     Fallback hits are catalogue rows whose ``name + description`` contains the term
-    (case-folded, J1's anchored join), ranked by ``relevance`` then ``tiebreak``; ``row_number() <= k`` is a
+    (case-folded, J1's anchored join), ranked by ``relevance``, ``tiebreak`` and then a digest of the whole
+    row, so the answer does not depend on the order of the input; ``row_number() <= k`` is a
     constant limit so Spark trims each term's hits per task before the shuffle.
     Adds ``hit_kind`` ('exact'/'fallback') and ``hit_rank``.
     """
@@ -230,9 +327,9 @@ def lookup_with_fallback(terms: DataFrame, catalog: DataFrame, term_col: str = "
     cat = catalog.withColumn("_row", F.md5(whole.cast("binary")))
     found = _contained(cat.select("_row", F.lower(blob).alias("_text")).distinct(), ["_row"],
                        vocab.select("_term").where("_term != ''").distinct(), QGRAM)
-    pairs = found.distinct().join(vocab, "_term").join(cat, "_row").drop("_row")
+    pairs = found.join(vocab, "_term").join(cat, "_row")
     rel = list(relevance) if relevance else []
-    w = Window.partitionBy("matched_term").orderBy(*rel, F.col(tiebreak).asc())
-    fb = (pairs.drop("_term").withColumn("hit_rank", F.row_number().over(w))
+    w = Window.partitionBy("matched_term").orderBy(*rel, F.col(tiebreak).asc(), F.col("_row").asc())
+    fb = (pairs.drop("_term").withColumn("hit_rank", F.row_number().over(w)).drop("_row")
           .filter(F.col("hit_rank") <= k).withColumn("hit_kind", F.lit("fallback")))
     return exact.unionByName(fb, allowMissingColumns=True)
