@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from threadscope.functions.text import model_name_from_path, trim_ws
 from threadscope.operators.consensus import keep_first
 from threadscope.session import ship_package
+from threadscope.sources.csv_records import read_quoted_csv
 
 # --- fixed values -------------------------------------------------------------
 CATALOG_SCHEMA = T.StructType([
@@ -193,10 +194,8 @@ def read_flat_objects(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 
 def read_catalog_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None
                      ) -> DataFrame:
-    """Quoted CSV whose descriptions may hold newlines and quotes."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("quote", '"'))
-    return r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    """Quoted CSV whose descriptions may hold newlines and quotes; a large file is read by many tasks."""
+    return read_quoted_csv(spark, path, {"escape": '"', "quote": '"'}, schema)
 
 
 _BLANK_HEADER = re.compile(r"^_c\d+$")
@@ -208,9 +207,7 @@ def read_flat_csv(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
 
     Only empty fields become NULL (no "NA"/"None" guessing).
     """
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("nullValue", "").option("emptyValue", ""))
-    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    df = read_quoted_csv(spark, path, {"escape": '"', "nullValue": "", "emptyValue": ""}, schema)
     keep = [c for c in df.columns if c.strip() and not _BLANK_HEADER.match(c)]
     return df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in keep])
 
@@ -228,23 +225,22 @@ def read_label_files(spark: SparkSession, paths: Sequence[str], keys: Sequence[s
     paths = list(paths)
     if len(paths) < 2:
         raise ValueError("need at least two label files for a consensus")
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("nullValue", "\u0000").option("emptyValue", "").option("enforceSchema", False))
+    options = {"escape": '"', "nullValue": "\u0000", "emptyValue": ""}
     out = None
-    path = F.col("_metadata.file_path")
+    path = F.col("file")
     # a folder written by Spark holds part files: the folder names the model
     folder = F.regexp_extract(path, r"([^/]+)/part-[^/]*$", 1)
-    model = model_name_from_path(F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")))
+    model = model_name_from_path(F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]*)$", 1)))
     for p in paths:
-        raw = r.csv(p)
-        missing = [k for k in (*keys, labels_col) if k not in raw.columns]
+        raw = read_quoted_csv(spark, p, options, place=True)
+        missing = [k for k in (*keys, labels_col) if k not in raw.columns[3:]]
         if missing:
             raise ValueError(f"{p} lacks columns {missing}")
         part = raw.select(*keys, model.alias("model"), F.coalesce(F.col(labels_col), F.lit("")).alias("labels"),
-                          path.alias("_file"), F.monotonically_increasing_id().alias("_line"))
+                          path.alias("_file"), F.col("start").alias("_start"), F.col("at").alias("_at"))
         out = part if out is None else out.unionByName(part)
     if first_only:
-        out = keep_first(out, [*keys, "model"], ["_file", "_line"])
+        out = keep_first(out, [*keys, "model"], ["_file", "_start", "_at"])
     return out.select(*keys, "model", "labels")
 
 
