@@ -31,6 +31,40 @@ def test_ontology_terms(spark, tmp_dir):
     assert terms == ["ALD", "Alpha disease", "Alpha syndrome FR", "Beta syndrome", "Gamma", "has phenotype"]
 
 
+ODD_OWL = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"
+ xmlns:oboInOwl="http://www.geneontology.org/formats/oboInOwl#" xmlns="urn:kinds" xmlns:ex="urn:ex">
+<ex:Disease
+   rdf:about="a"
+ ><rdfs:label
+   xml:lang="en">Split tag</rdfs:label></ex:Disease>
+<Disorder><rdfs:label>Blank &amp; unprefixed</rdfs:label><ex:part><ex:Disease><rdfs:label>Nested node</rdfs:label></ex:Disease></ex:part></Disorder>
+<!-- <ex:Disease><rdfs:label>Commented out</rdfs:label></ex:Disease> -->
+<ex:Disease><rdfs:labelled>No label</rdfs:labelled><rdfs:label></rdfs:label><oboInOwl:hasExactSynonym>two
+lines</oboInOwl:hasExactSynonym></ex:Disease>
+</rdf:RDF>"""
+
+
+def test_ontology_subjects_of_any_kind(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "odd.owl")
+    open(p, "w").write(ODD_OWL)
+    got = sorted(r[0] for r in R.read_ontology_terms(spark, p).collect() if r[0])
+    assert got == ["Blank & unprefixed", "Nested node", "Split tag", "two\nlines"]
+    assert plan_text(R.read_ontology_terms(spark, p)).count("Scan xml") <= 4  # two reads, named twice each at most
+    only = R.read_ontology_terms(spark, p, row_tags=["ex:Disease"])
+    assert "Blank & unprefixed" not in {r[0] for r in only.collect()}
+
+
+def test_broken_bytes_leave_the_row(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "dump.jsonl")
+    with open(p, "wb") as f:
+        f.write(b'{"name": "a\xff\xc3ls", "title": "t\xe2\x82", "subscribers": 5}\n\n  \t\n')
+        f.write('{"name": "fine \ufffd", "title": "\ufdd0é"}\n'.encode())
+        f.write('{"name": "both \ufffd'.encode() + b'\x80"}\n{broken \xff\n')
+    rows = {(r["name"], r["title"], r["subscribers"], r["_corrupt_record"]) for r in R.read_catalog_dump(spark, p).collect()}
+    assert rows == {("als", "t", 5, None), ("fine \ufffd", "\ufdd0é", None, None), ("both \ufffd", "", None, None), ("", "", None, "{broken ")}
+
+
 def test_term_list_roundtrip(spark, tmp_dir):
     df = spark.createDataFrame([(t,) for t in ["b", "a", "  c ", "a", "B"]], "term string")
     out = os.path.join(tmp_dir, "terms")

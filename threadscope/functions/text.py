@@ -44,6 +44,13 @@ def trim_ws(c: ColumnOrName) -> Column:
     return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+def without_broken_bytes(c: ColumnOrName) -> Column:
+    """The text without bytes that are not UTF-8 (what decoding that ignores errors leaves). Replacement
+    characters that the text itself holds stay: they stand as a noncharacter meanwhile."""
+    kept = F.replace(_c(c), F.lit("\ufffd"), F.lit("\ufdd0"))
+    return F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0"), F.lit("\ufffd"))
+
+
 def collapse_ws(c: ColumnOrName) -> Column:
     """Every whitespace run becomes one space, then strip."""
     return F.trim(F.regexp_replace(_c(c), WS_CLASS + "+", " "))

@@ -421,6 +421,8 @@ FROM x WHERE author IS NOT NULL AND author NOT IN ('[deleted]') AND length(clean
 }
 
 ORACLE.update({
+    "catalog_broken_bytes": """
+SELECT p_name AS name, p_type || chr(65533) AS title, CAST(p_partkey AS BIGINT) AS subscribers, false AS corrupt FROM part""",
     "ontology_terms": """
 SELECT DISTINCT term FROM (
   SELECT n_name AS term FROM nation

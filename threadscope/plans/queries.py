@@ -511,15 +511,19 @@ def ontology_terms(spark, d):
 
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
+    # subjects: a start tag over two lines, a node without a name, and the usual one; regions have a kind without prefix
+    start = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('<owl:Class\n    rdf:about="n'), F.col("n_nationkey").cast("string"), F.lit('">'))) \
+        .when(F.col("n_nationkey") % 3 == 1, F.lit("<owl:Class>")) \
+        .otherwise(F.concat(F.lit('<owl:Class rdf:about="n'), F.col("n_nationkey").cast("string"), F.lit('">')))
     nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_regionkey", F.concat(
-        F.lit('<owl:Class rdf:about="n'), F.col("n_nationkey").cast("string"), F.lit('">'),
+        start,
         F.lit('<rdfs:label xml:lang="en">'), _xml_text(F.col("n_name")), F.lit("</rdfs:label>"),
         F.lit('<rdfs:label xml:lang="fr">'), _xml_text(F.lower("n_name")), F.lit("</rdfs:label>"),
         F.lit('<oboInOwl:hasExactSynonym xml:lang="fr">'), _xml_text(F.concat_ws(" ", "n_name", "r_name")),
         F.lit("</oboInOwl:hasExactSynonym></owl:Class>")).alias("element"))
     regions = r.select("r_regionkey", F.concat(
-        F.lit('<owl:AnnotationProperty rdf:about="r'), F.col("r_regionkey").cast("string"), F.lit('">'),
-        F.lit("<rdfs:label> "), _xml_text(F.col("r_name")), F.lit(" </rdfs:label></owl:AnnotationProperty>"))
+        F.lit('<Region xmlns="urn:regions" rdf:about="r'), F.col("r_regionkey").cast("string"), F.lit('">'),
+        F.lit("<rdfs:label\n> "), _xml_text(F.col("r_name")), F.lit(" </rdfs:label></Region>"))
         .alias("element"))
     docs = nations.unionByName(regions).groupBy("r_regionkey").agg(F.concat(
         F.lit(f'<?xml version="1.0"?>\n<rdf:RDF {_NS}>\n'),
@@ -830,6 +834,20 @@ QUERIES.update({
 })
 
 
+def catalog_broken_bytes(spark, d):
+    """S3: a dump whose names and titles hold bytes that are not UTF-8; every row keeps its fields."""
+    from threadscope.session import scratch_path
+    from threadscope.sources.readers import read_catalog_dump
+
+    part = table(spark, d, "part")
+    raw = lambda x: (F.lit(x) if isinstance(x, str) else x).cast("binary")
+    line = F.concat(raw('{"name": "'), F.expr("X'FFC3'"), raw(F.col("p_name")), F.expr("X'E282'"), raw('", "title": "'), raw(F.col("p_type")),
+                    raw("\ufffd"), F.expr("X'80'"), raw('", "subscribers": '), raw(F.col("p_partkey").cast("string")), raw("}"))
+    path = scratch_path(spark, "catalog")
+    part.select(line.cast("string").alias("value")).write.text(path)
+    return read_catalog_dump(spark, path).select("name", "title", "subscribers", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 def catalog_months(spark, d):
     """S3 + S9: catalogue dumps named by month; only two of three months are read."""
     from threadscope.session import scratch_path
@@ -848,6 +866,7 @@ def catalog_months(spark, d):
 
 
 QUERIES["catalog_months"] = catalog_months
+QUERIES["catalog_broken_bytes"] = catalog_broken_bytes
 
 
 # --- files and edge cases ---------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadscope.functions.text import model_name_from_path, trim_ws
+from threadscope.functions.text import model_name_from_path, trim_ws, without_broken_bytes
 from threadscope.operators.consensus import keep_first
 from threadscope.session import ship_package
 from threadscope.sources.csv_records import read_quoted_csv
@@ -42,9 +42,7 @@ FLAT_OBJECT_SCHEMA = T.StructType([
     T.StructField("first_comment_utc", T.LongType()),
     T.StructField("last_comment_utc", T.LongType()),
 ])
-# Ontology elements: subject kinds, label element, exact-synonym element.
-ONTOLOGY_ROW_TAGS = ("owl:Class", "owl:ObjectProperty", "owl:AnnotationProperty", "owl:DatatypeProperty",
-                     "owl:NamedIndividual", "owl:Ontology", "rdf:Description")
+# Ontology elements: label element, exact-synonym element.
 ONTOLOGY_LABEL = "rdfs:label"
 ONTOLOGY_SYNONYM = "oboInOwl:hasExactSynonym"
 LABEL_KEYS = ("subreddit", "post_id")
@@ -56,36 +54,36 @@ _LITERAL = T.ArrayType(T.StructType([
 ]))
 
 
-_SUBJECT = r"<([A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*)\s[^<>]*rdf:(?:about|ID|nodeID)="
-
-
-def ontology_subject_tags(spark: SparkSession, path: str) -> list[str]:
-    """Element names that occur as subjects (with rdf:about, rdf:ID or rdf:nodeID) besides the usual
-    kinds: one pass over the text, as many names come back as the ontology has kinds."""
-    names = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(_SUBJECT), 1)).alias("n")).distinct()
-    return sorted({r["n"] for r in names.collect()} | set(ONTOLOGY_ROW_TAGS))
-
-
 def read_ontology_terms(spark: SparkSession, path: str, row_tags: Sequence[str] | None = None,
                         label_el: str = ONTOLOGY_LABEL, synonym_el: str = ONTOLOGY_SYNONYM,
                         lang: str = "en") -> DataFrame:
     """S1 + U1 + A10: distinct stripped labels (no language or ``lang``) and exact
     synonyms (any language) of every subject, one ``term`` column.
 
-    One XML read per subject kind (``rowTag``; by default all kinds that the text shows) with an
-    explicit schema; a repeated or attributed literal arrives as ``array<struct<_VALUE, _xml:lang>>``
-    and labels and synonyms leave it together.
+    The rows read are the label and synonym elements themselves, wherever they stand: what the subject
+    around them is called, how its start tag is written and whether it has a name does not matter, and
+    there are two reads for any number of subject kinds. ``row_tags`` restricts the subjects to the given
+    elements, at a read each. A language that an outer element sets is not passed on.
     """
+    text = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_xml:lang", T.StringType())])
+
+    def rows(tag: str, schema: T.StructType) -> DataFrame:
+        return (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
+                .schema(schema).load(path))
+
+    if row_tags is None:
+        spoken = F.col("`_xml:lang`").isNull() | (F.col("`_xml:lang`") == lang)
+        found = rows(label_el, text).where(spoken).select("_VALUE").unionByName(rows(synonym_el, text).select("_VALUE"))
+        terms = found.select(trim_ws(F.col("_VALUE")).alias("term"))
+        return terms.where(F.col("term").isNotNull()).distinct()
     schema = T.StructType([T.StructField(label_el, _LITERAL), T.StructField(synonym_el, _LITERAL)])
     out = None
-    for tag in row_tags if row_tags is not None else ontology_subject_tags(spark, path):
-        x = (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
-             .schema(schema).load(path))
+    for tag in row_tags:
         none = F.array().cast(_LITERAL)
         labels = F.filter(F.coalesce(F.col(f"`{label_el}`"), none),
                           lambda v: v["_xml:lang"].isNull() | (v["_xml:lang"] == lang))
         both = F.concat(labels, F.coalesce(F.col(f"`{synonym_el}`"), none))
-        part = x.select(F.explode(both).alias("v")).select(trim_ws(F.col("v._VALUE")).alias("term"))
+        part = rows(tag, schema).select(F.explode(both).alias("v")).select(trim_ws(F.col("v._VALUE")).alias("term"))
         out = part if out is None else out.unionByName(part)
     return out.where(F.col("term").isNotNull()).distinct()
 
@@ -100,10 +98,14 @@ def read_catalog_dump(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     """S3: community catalogue JSON lines (any Hadoop codec, by file extension).
 
     Malformed lines are kept in ``_corrupt_record`` (PERMISSIVE) instead of failing
-    the file; absent text fields read as ''.
+    the file; absent text fields read as ''. Bytes that are not UTF-8 are left out of their line before
+    it is parsed, so a line that holds some keeps its fields. Blank lines are no lines.
     """
-    df = (spark.read.schema(CATALOG_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths))
+    lines = spark.read.text(paths)
+    valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(without_broken_bytes("value"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    df = (lines.select(valid.alias("value")).where(trim_ws("value") != "")
+          .select(F.from_json("value", CATALOG_SCHEMA, options).alias("r")).select("r.*"))
     return df.withColumns({
         "name": F.coalesce("name", F.lit("")),
         "title": F.coalesce("title", F.lit("")),
