@@ -123,6 +123,16 @@ def test_other_splits_than_surveyed_are_an_error(spark, tmp_dir, split_bytes):
         spark.createDataFrame(records.collect(), records.schema)
 
 
+def test_small_files_are_left_to_the_own_reader(spark, tmp_dir, split_bytes):
+    p = os.path.join(tmp_dir, "x.csv")
+    _file(p, _random_rows(9, 100))
+    split_bytes("64kb")
+    assert not C.cuts_files(spark, p) and C._bytes("128MB") == 1 << 27 and C._bytes("77") == 77 and C._bytes("9b") == 9
+    assert [int(r["id"]) for r in C.read_quoted_csv(spark, p, {"escape": '"'}, place=True).orderBy("file", "start", "at").collect()] == list(range(100))
+    split_bytes("1k")
+    assert C.cuts_files(spark, p)
+
+
 def test_empty_files(spark, tmp_dir):
     p = os.path.join(tmp_dir, "none.csv")
     open(p, "w").write("id,text\n")

@@ -10,6 +10,7 @@ the split they began in. Records are parsed by Spark's own CSV parser.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -141,20 +142,37 @@ def csv_records(spark: SparkSession, path: Path) -> DataFrame:
     return whole.unionByName(found.where("part and at >= 0").drop("part"))
 
 
+def cuts_files(spark: SparkSession, path: Path) -> bool:
+    """Whether Spark's splits, under the session's settings, are smaller than the largest file (only the
+    folder is listed)."""
+    conf = lambda key: spark.conf.get(f"spark.sql.files.{key}")
+    files = spark.read.format("binaryFile").load(path).agg(F.max("length"), F.sum("length"), F.count(F.lit(1))).first()
+    if not files[2]:
+        return False
+    most, fixed = (_bytes(conf(k)) for k in ("maxPartitionBytes", "openCostInBytes"))
+    tasks = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    return files[0] > min(most, max(fixed, (files[1] + files[2] * fixed) / tasks))
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.removesuffix("b") or ("b" if unit else "")]
+
+
 def read_quoted_csv(spark: SparkSession, path: Path, options: dict[str, str | bool], schema: T.StructType | str | None = None,
                     place: bool = False) -> DataFrame:
     """Rows of CSV files with a header each, by Spark's CSV ``options``; without ``schema`` all columns of the
-    first header, as strings. ``place`` adds file, start and at, which order the rows. Folders partitioned
-    by a column are left to Spark's own reader, which takes a file per task."""
+    first header, as strings. ``place`` adds file, start and at, which order the rows. Spark's own reader, which
+    takes a file per task, reads what would not be cut anyway, and folders partitioned by a column."""
     reader = spark.read.option("header", True).option("multiLine", True).options(**options)
     if schema is None:
         schema = reader.csv(path).schema
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if spark.read.text(path).columns != ["value"]:
-        if place:
-            raise ValueError("partitioned folders have no places")
-        return reader.schema(schema).csv(path)
+    if not cuts_files(spark, path) or spark.read.text(path).columns != ["value"]:
+        rows = reader.schema(schema).csv(path)
+        spot = [F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("start"), F.monotonically_increasing_id().alias("at")]
+        return rows.select(*spot, *[F.col(f"`{c}`") for c in schema.fieldNames()]) if place else rows
     records = csv_records(spark, path).where("not first").withColumn("record", F.regexp_replace("record", r"\r\z", "")).where("record != ''")
     parsed = F.from_csv("record", schema.toDDL() if hasattr(schema, "toDDL") else schema.simpleString(), {**options, "multiLine": True})
     columns = [F.col("row").getField(f.name).alias(f.name) for f in schema.fields]
