@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,16 @@ def _lines(spark: SparkSession, path: Path) -> DataFrame:
     return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
+def _by_split(batch: pa.RecordBatch):
+    """((file, start), values) of every run of lines of one split."""
+    names = batch.column("file").dictionary_encode()
+    which, starts = names.indices.to_numpy(), batch.column("start").to_numpy()
+    edges = np.flatnonzero((which[1:] != which[:-1]) | (starts[1:] != starts[:-1])) + 1
+    for begin, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(which)]):
+        if stop > begin:
+            yield (names.dictionary[int(which[begin])].as_py(), int(starts[begin])), batch.column("value").slice(begin, stop - begin).to_pylist()
+
+
 def split_states(spark: SparkSession, path: Path) -> DataFrame:
     """file, start, inside: whether the split's first line is inside a quoted field."""
     ship_package(spark)
@@ -63,14 +74,14 @@ def split_states(spark: SparkSession, path: Path) -> DataFrame:
     def survey(batches):
         key, ends = None, (False, True)
         for batch in batches:
-            files, starts, values = (batch.column(c).to_pylist() for c in ("file", "start", "value"))
-            for file, start, value in zip(files, starts, values):
-                if (file, start) != key:
+            for split, values in _by_split(batch):
+                if split != key:
                     if key:
                         yield row(key, ends)
-                    key, ends = (file, start), (False, True)
-                if value is not None:
-                    ends = tuple(inside_after(value, e) for e in ends) if ends[0] != ends[1] else (inside_after(value, ends[0]),) * 2
+                    key, ends = split, (False, True)
+                for value in values:
+                    if value is not None:
+                        ends = tuple(inside_after(value, e) for e in ends) if ends[0] != ends[1] else (inside_after(value, ends[0]),) * 2
         if key:
             yield row(key, ends)
 
@@ -108,20 +119,20 @@ def csv_records(spark: SparkSession, path: Path) -> DataFrame:
 
         for batch in batches:
             out = []
-            files, starts, values = (batch.column(c).to_pylist() for c in ("file", "start", "value"))
-            for file, start, value in zip(files, starts, values):
-                if (file, start) != key:
+            for split, values in _by_split(batch):
+                if split != key:
                     out += head()
-                    key = (file, start)
+                    key = (file, start) = split
                     if key not in sent.value:
                         raise RuntimeError(f"the splits of {file} are not those that were surveyed: read it again")
                     inside, at, open_ = sent.value[key], -1 if sent.value[key] else 0, []
-                if inside or '"' in value:
-                    inside = inside_after(value, inside)
-                open_.append(value)
-                if not inside:
-                    out.append((file, start, at, start == 0 and at == 0, "\n".join(open_), at < 0))
-                    at, open_ = at + 1, []
+                for value in values:
+                    if inside or '"' in value:
+                        inside = inside_after(value, inside)
+                    open_.append(value)
+                    if not inside:
+                        out.append((file, start, at, start == 0 and at == 0, "\n".join(open_), at < 0))
+                        at, open_ = at + 1, []
             if out:
                 yield rows(out)
         if open_:
@@ -143,15 +154,10 @@ def csv_records(spark: SparkSession, path: Path) -> DataFrame:
 
 
 def cuts_files(spark: SparkSession, path: Path) -> bool:
-    """Whether Spark's splits, under the session's settings, are smaller than the largest file (only the
-    folder is listed)."""
-    conf = lambda key: spark.conf.get(f"spark.sql.files.{key}")
-    files = spark.read.format("binaryFile").load(path).agg(F.max("length"), F.sum("length"), F.count(F.lit(1))).first()
-    if not files[2]:
-        return False
-    most, fixed = (_bytes(conf(k)) for k in ("maxPartitionBytes", "openCostInBytes"))
-    tasks = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
-    return files[0] > min(most, max(fixed, (files[1] + files[2] * fixed) / tasks))
+    """Whether a file is larger than ``spark.sql.files.maxPartitionBytes``, so that one task should not read it
+    alone (only the folder is listed)."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    return largest > _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
 
 
 def _bytes(size: str) -> int:
@@ -163,7 +169,7 @@ def read_quoted_csv(spark: SparkSession, path: Path, options: dict[str, str | bo
                     place: bool = False) -> DataFrame:
     """Rows of CSV files with a header each, by Spark's CSV ``options``; without ``schema`` all columns of the
     first header, as strings. ``place`` adds file, start and at, which order the rows. Spark's own reader, which
-    takes a file per task, reads what would not be cut anyway, and folders partitioned by a column."""
+    takes a file per task, reads files of up to one split, and folders partitioned by a column."""
     reader = spark.read.option("header", True).option("multiLine", True).options(**options)
     if schema is None:
         schema = reader.csv(path).schema
