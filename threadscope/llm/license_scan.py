@@ -38,6 +38,7 @@ TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2",
     "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by 4 0": "cc-by",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under the gnu general public license version 3": "gpl-3",
@@ -51,6 +52,10 @@ TEMPLATES = {
 }
 
 
+#: Words that tell licences apart. A block names a template's licence only if it holds those of them that the template has.
+MARKS = ("mit", "apache", "nc", "noncommercial", "cc", "commons", "gnu", "mozilla", "unencumbered")
+
+
 class _Notices:
     """Templates and phrases over a vocabulary of word hashes, in a global order."""
 
@@ -74,6 +79,7 @@ class _Notices:
             for i in range(len(own) - least + 1):
                 self.prefix[window][own[i]].append((len(self.templates), i))
             self.templates.append((own, least, label))
+        self.marks = [{rank[w] for w in t.split() if w in MARKS} for t in templates]
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
         """The rank of every word, -1 for words of no template or phrase."""
@@ -91,6 +97,13 @@ class _Notices:
                 out += [(int(i), label) for i in at]
         return out
 
+    def named(self, ranks: np.ndarray, blocks: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The blocks that name their template's licence: they hold its telling words, and no overlapping block
+        names a template that has all words of this one and more."""
+        held = [x for x in blocks if self.marks[x[2]] <= set(ranks[x[0]:x[0] + x[1]].tolist())]
+        larger = lambda a, b: set(self.templates[a[2]][0]) > set(self.templates[b[2]][0])
+        return [x for x in held if not any(larger(y, x) and y[0] < x[0] + x[1] and x[0] < y[0] + y[1] for y in held)]
+
     def blocks(self, ranks: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(first word, words, template, containment) of every block that contains a template."""
         out = []
@@ -139,8 +152,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
     blocks (first word, words, label, containment).
 
     ``n_base`` counts the places of all phrases, first/last_word are the smallest and largest word they
-    start at (null if none). ``labels`` are those of phrases and of contained templates. ``score`` is 1
-    with a phrase, else the highest containment found, 0 if none. Null and empty texts have no words;
+    start at (null if none). ``blocks`` are all that reach the threshold; ``labels`` are those of phrases
+    and of blocks that name a licence: they hold the template's telling words (``MARKS``), and no larger
+    template is named there. ``score`` is 1 with a phrase, else the highest containment of a block that
+    names one, 0 if none. Null and empty texts have no words;
     null ids are kept; an empty table gives no rows.
     """
     vocabulary = sorted({w for t in (*templates, *phrases) for w in t.split()})
@@ -155,11 +170,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
                 base, blocks = notices.base(ranks), notices.blocks(ranks)
                 named = {label for _, label in base}
                 found = [(b, n, notices.templates[t][2], c) for b, n, t, c in blocks]
+                sure = [(notices.templates[t][2], c) for _, _, t, c in notices.named(ranks, blocks)]
                 rows.append({
                     "n_words": len(ranks), "n_base": len(base), "first_word": min((i for i, _ in base), default=None),
                     "last_word": max((i for i, _ in base), default=None), "base_labels": ",".join(sorted(named)),
-                    "labels": ",".join(sorted(named | {x[2] for x in found})),
-                    "score": 1.0 if base else max((x[3] for x in found), default=0.0),
+                    "labels": ",".join(sorted(named | {label for label, _ in sure})),
+                    "score": 1.0 if base else max((c for _, c in sure), default=0.0),
                     "blocks": [{"first_word": b, "words": n, "label": label, "containment": c} for b, n, label, c in found]})
             made = pa.RecordBatch.from_pylist(rows, schema=_ROWS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made.columns], names=["doc_id", *made.schema.names])
