@@ -93,6 +93,14 @@ def test_base_scores_with_and_without_a_table_of_rare_words(spark, known, symbol
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_the_end_is_known_whatever_its_count(spark):
+    """Two long documents: every word is more frequent than the end, which the step of the count would drop."""
+    rows = [(i, " ".join(f"w{k % 300}" for k in range(6000))) for i in (2, 4)]
+    assert not any(held for _, held, *_ in base(rows))
+    got = sorted(tuple(r)[:6] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), known=10, rounds=1).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in base(rows)] and [r[5] for r in got] == pytest.approx([r[5] for r in base(rows)])
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"l{i % 2}w{int(x)}" for x in rng.zipf(1.5, 80) % 500)) for i in range(600)]

@@ -267,7 +267,8 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1, id_col: str = "doc_id",
     step = F.floor(8 * F.log2("c")).cast("int")
     steps = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step", ascending=False)
     fits = steps[steps["n"].cumsum() <= known]["step"]
-    top = vocabulary.where(step >= (int(fits.min()) if len(fits) else 1 << 20)).toPandas()
+    end = F.col("h") == int(_END.view(np.int64))  # every document has one: known whatever its count
+    top = vocabulary.where((step >= (int(fits.min()) if len(fits) else 1 << 20)) | end).toPandas()
     top = top.sort_values(["c", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     # symbols: 0 the end, then the most frequent words, then classes by count, last the words not sent
