@@ -84,11 +84,32 @@ def test_threshold_is_inclusive(spark):
     assert found(ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
-def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
-    kept = one_of_each(hostile.docs(spark))
+def test_one_of_each_keeps_one_row_of_each_component_of_texts(spark):
+    """Rows are judged by their own text; an id that repeats, or none, comes after the others."""
+    rows = [r[:2] for r in hostile.rows()] + [(30, "alpha beta gamma delta epsilon zeta"), (30, "alpha beta gamma delta epsilon zeta"), (5, "an own text of the id five here"),
+                                              (3, None), (3, None)]
+    kept = one_of_each(hostile.docs(spark, rows))
     assert kept.columns == hostile.docs(spark).columns
-    want = [r[0] for r in hostile.rows() if r[0] is None or r[0] == dict((i, c) for i, _, c in brute([x[:2] for x in hostile.rows()]))[r[0]]]
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want))
+    component = dict((i, c) for i, _, c in brute([(n, t) for n, (_, t) in enumerate(rows)]))
+    ids = [i for i, _ in rows]
+    own = lambda n: ids[n] is not None and ids.count(ids[n]) == 1
+    want = []
+    for c in sorted(set(component.values())):
+        members = [n for n in component if component[n] == c]
+        single = sorted((ids[n], n) for n in members if own(n))
+        want.append([rows[single[0][1]]] if single else [rows[n] for n in members])
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(want)
+    for choice in want:
+        found = next(x for x in choice if x in got)
+        got.remove(found)
+    assert not got
+
+
+def test_one_of_each_of_plain_ids(spark):
+    rows = [(i, t) for i, t in dict((r[0], r[1]) for r in hostile.rows()).items() if i is not None]
+    want = [i for i, _, c in brute(rows) if i == c]
+    assert sorted(r["doc_id"] for r in one_of_each(hostile.docs(spark, rows)).collect()) == sorted(want)
 
 
 def test_components_of_a_long_path_and_a_star(spark):

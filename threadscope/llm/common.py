@@ -68,6 +68,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, each made longer until it is new."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each row of a binary column, without copying."""
     n = len(column)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, arrow_map, byte_rows, saved, word_hashes
+from .common import ALNUM, arrow_map, byte_rows, fresh, saved, word_hashes
 
 #: Fixed masks: 8 of 12 words each, the last one 8 words in a row.
 MASKS = ("110110101101", "111010011011", "101101110011", "11111111")
@@ -215,6 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, unname
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 13, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with ``unnamed`` with none without id either."""
-    found = saved(overlaps(docs, benchmark, least, whole=True, unnamed=unnamed).select(F.col("doc_id").alias("_i"), F.col("dig").alias("_d")), "overlaps").distinct()
+    i, d = fresh(docs, "_i", "_d")
+    found = saved(overlaps(docs, benchmark, least, whole=True, unnamed=unnamed).select(F.col("doc_id").alias(i), F.col("dig").alias(d)), "overlaps").distinct()
     dig = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (dig == F.col("_d")), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (dig == F.col(d)), "left_anti")

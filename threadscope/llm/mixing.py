@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, arrow_map, byte_rows, word_count
+from .common import arrow_map, byte_rows, fresh, SPACED, word_count
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -120,15 +120,17 @@ def mix(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0,
                   seed: int = 0) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` (doc_id, text, source, ...), each as often as the mix takes it."""
-    keys = ["_i", "_s", "_d"]
+    i, s, d, copies, rows, takes, copy = fresh(docs, "_i", "_s", "_d", "_copies", "_rows", "_takes", "_copy")
     plan = mix(measure(docs), weights, share, most, seed).groupBy(
-        F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("dig").alias("_d")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+        F.col("doc_id").alias(i), F.col("source").alias(s), F.col("dig").alias(d)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
     text = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))
-                       & (text == F.col("_d")))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    share_of_row = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
-    taken = joined.withColumn("_takes", share_of_row).where("_takes > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select(
+    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s))
+                       & (text == F.col(d)))
+    # rows of one id, source and text by their other columns: a rerun gives each its same share
+    other = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    nth = F.row_number().over(Window.partitionBy(i, s, d).orderBy(other))
+    share_of_row = F.floor(F.col(copies) / F.col(rows)) + (nth <= F.col(copies) % F.col(rows)).cast("long")
+    taken = joined.withColumn(takes, share_of_row).where(F.col(takes) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(takes)))).select(
         *[docs[c] for c in docs.columns])

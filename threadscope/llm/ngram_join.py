@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, arrow_map, as_long, byte_rows, id_and_text, saved, shingles, small_batches, word_hashes
+from .common import arrow_map, as_long, byte_rows, fresh, id_and_text, saved, shingles, small_batches, SPACED, word_hashes
 from .components import connected_components
 from .sketch import CELL_BITS, add_up, may_be_in, maybe_in, packed, seen_in
 
@@ -447,6 +447,23 @@ def _mixed_groups(postings: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near copies: of each component the rows of its smallest id stay."""
-    gone = ngram_components(docs, **options).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without near copies: of each component of texts one row stays, the one of the smallest id.
+
+    A row is judged by its own text: where an id repeats, or is null, each of its rows is a document by
+    itself, which comes after all rows with an id of their own. Rows without words all stay."""
+    (gone,) = fresh(docs, "_gone")
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+    repeats = saved(ids.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or i is null").select("i"), "repeated-ids")
+    some = repeats.agg(F.count(F.lit(1)), F.max(F.col("i").isNull().cast("int"))).first()
+    if not some[0]:
+        copies = ngram_components(docs, **options).where("component_id != doc_id").select(F.col("doc_id").alias(gone))
+        return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
+    row, i, nth = fresh(docs, "_row", "_id", "_nth")
+    last = ids.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0]
+    numbered = saved(docs.withColumn(nth, F.monotonically_increasing_id()), "numbered")
+    again = numbered.join(repeats.select(F.col("i").alias(i)), F.col("doc_id").cast("long").eqNullSafe(F.col(i)), "left_semi").select(
+        F.col(nth).alias(i), (F.lit(max(last, 0) + 1) + F.col(nth)).alias(row))
+    rows = saved(numbered.join(again, F.col(nth) == F.col(i), "left").withColumn(
+        row, F.coalesce(row, F.col("doc_id").cast("long"))).drop(i, nth), "rows")
+    copies = ngram_components(rows, **{**options, "id_col": row}).where("component_id != doc_id").select(F.col("doc_id").alias(gone))
+    return rows.join(copies, F.col(row) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, arrow_map, byte_rows, id_and_text, saved, word_hashes
+from .common import ALNUM, arrow_map, byte_rows, fresh, id_and_text, saved, word_hashes
 from .sketch import CELLS, add_up, maybe_in, packed, seen_in
 
 BITS = 20
@@ -205,7 +205,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: st
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic."""
+    i, d = fresh(docs, "_i", "_d")
     bad = saved(score(docs, labels, **options).where("predicted = 1").select(
-        F.col("doc_id").alias("_i"), F.col("dig").alias("_d")).distinct(), "toxic")
+        F.col("doc_id").alias(i), F.col("dig").alias(d)).distinct(), "toxic")
     dig = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (dig == F.col("_d")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (dig == F.col(d)), "left_anti")
