@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_rows, id_and_text, saved
+from .common import arrow_map, byte_rows, id_and_text, saved, small_batches
 
 MARK = "\n=TIDS=\n"
 LONGEST = 16
@@ -319,7 +319,8 @@ def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, voc
     table gives no rows. Each part holds about ``part_ids`` ids.
     """
     spark = docs.sparkSession
-    tokens = saved(tokenize(docs, tokenizer, end_id), "token-ids")
+    with small_batches(spark):  # whole texts: fewer rows at once in the JVM and in Python
+        tokens = saved(tokenize(docs, tokenizer, end_id), "token-ids")
     n = tokens.agg(F.sum(F.length("ids") / 2)).first()[0] or 0
     write_ids(tokens, path, vocabulary, max(1, round(n / part_ids)))
     found = saved(read_ids(spark, path).drop("ids"), "token-rows")
