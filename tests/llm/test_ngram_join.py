@@ -1,11 +1,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import hostile
 from threadscope.llm import ngram_join
-from threadscope.llm.components import connected_components
+from threadscope.llm.components import connected_components, united
 from threadscope.llm.ngram_join import ngram_components, ngram_links, one_of_each
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -116,11 +117,32 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1001 + i) for i in range(50)]
     df = spark.createDataFrame([*path, *star, (5, 5), (None, 3), (7, 6)], "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
-    assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(51)}}
+    want = {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(51)}}
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == want
+    # many small parts: the star rounds join what the parts keep apart
+    df = spark.createDataFrame([(a, b) for a, b in zip(range(200), range(1, 201))][::-1] + star, "a long, b long").repartition(16)
+    assert {r["node"]: r["component"] for r in connected_components(df, part=16).collect()} == want
     assert connected_components(df.where(F.lit(False))).count() == 0
 
 
+def test_united_links_match_a_walk():
+    rng = np.random.default_rng(5)
+    for n, m in ((2, 1), (30, 20), (300, 280), (40, 400)):
+        u, v = rng.integers(0, n, (2, m)) * 7 - 50
+        root = {x: x for x in {*u.tolist(), *v.tolist()}}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        got = dict(zip(*(x.tolist() for x in united(u, v))))
+        assert got == {x: top(x) for x in root if top(x) != x}
+
+
 def brute_links(rows):
     """Number of other documents that any text of a document links with."""
     out = {i: set() for i, _ in rows if i is not None}

@@ -269,7 +269,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
 
     first = saved(met.where("b is not null").select("a", "b").distinct(), "near-pairs")
     links = _verified(first, texts, k, num, den)
-    found = saved(connected_components(links), "components")
+    found = connected_components(links)
 
     # What the neighbours didn't cover, between different components only. Rounds that look at few
     # others, in a new order each, merge families of near copies before all that is left is joined.
@@ -285,7 +285,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
         new = _verified(near, texts, k, num, den)
         asked = asked.unionByName(near)
         if not new.isEmpty():
-            found = saved(connected_components(new.unionByName(_stars(found))), "components")
+            found = connected_components(new.unionByName(_stars(found)))
     some = _mixed_groups(rest, found)
     n, i = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
     x = some.selectExpr("tok", "node a", "component ca", f"{n.format('place')} na", f"{i.format('place')} ia")
