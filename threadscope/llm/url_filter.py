@@ -19,12 +19,18 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(host, r"\.$", ""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and every parent domain of it; [] of a null or empty host."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
+def labels(host: Column) -> Column:
+    return F.split(host, r"\.")
+
+
+def suffixes(host: Column, sizes: list[int] | None = None) -> Column:
+    """The last n labels of the host for each n of ``sizes`` that it has (default: the host and every parent
+    domain); [] of a null or empty host. With sizes, a host of many labels is only spelled out in the lengths asked for, not once per parent domain."""
+    parts = labels(host)
+    some = F.sequence(F.size(parts), F.lit(1), F.lit(-1)) if sizes is None else F.filter(
+        F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size(parts))
     return F.when(F.length(host) > 0, F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))).otherwise(F.array())
+        some, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -47,14 +53,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str,
 
     ``categories`` are those with an interval over the fetch time for the host or a parent domain,
     sorted and comma-joined ('' if none). A capture with a null time or without a host meets no
-    entry. Verdicts are found once per (host, time) and brought back, so a host that holds a large
+    entry. A host is looked up in the lengths (labels) that patterns have, so one of thousands of labels
+    costs no more than its own length for each. Verdicts are found once per (host, time) and brought back, so a host that holds a large
     part of the captures is joined once per moment.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
                            F.col(at_col).alias("fetched"))
     moments = rows.where("fetched is not null and host != ''").select("host", "fetched").distinct()
-    asked = moments.withColumn("pattern", F.explode(suffixes(F.col("host"))))
     spans = intervals(entries)
+    # the numbers of labels that patterns have: k different ones need a list of k * k / 2 labels at least
+    sizes = sorted(r[0] for r in entries.where("pattern is not null").select(F.size(labels(F.lower("pattern")))).distinct().collect())
+    asked = moments.withColumn("pattern", F.explode(suffixes(F.col("host"), sizes)))
     active = asked.join(spans, "pattern").where(
         (F.col("from_ts") <= F.col("fetched")) & (F.col("until_ts").isNull() | (F.col("fetched") < F.col("until_ts"))))
     verdicts = active.groupBy(F.col("host").alias("h"), F.col("fetched").alias("f")).agg(
