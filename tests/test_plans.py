@@ -34,6 +34,8 @@ def test_expected_operators(spark):
     p = plan_text(QUERIES["since_date"](spark, SF01))
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
+    p = plan_text(QUERIES["preprocess_posts"](spark, SF01))
+    assert "GreaterThanOrEqual(o_orderdate" in p
     p = plan_text(QUERIES["fastest_20"](spark, SF01))
     assert "TakeOrderedAndProject" in p
     p = plan_text(QUERIES["keep_first"](spark, SF01))

@@ -18,14 +18,16 @@ from threadscope.operators.sizing import with_computed
 
 
 def clean_posts(posts: DataFrame, comments: DataFrame | None = None, since_date: str = DEFAULT_SINCE,
-                min_chars: int = 20, title: str = "title", selftext: str = "selftext") -> DataFrame:
+                min_chars: int = 20, title: str = "title", selftext: str = "selftext",
+                since_col: str = "created_utc") -> DataFrame:
     """Keep posts from ``since_date`` with a known author and at least ``min_chars`` of
     cleaned text; add ``clean_text``, ``engagement`` and ``latency_min``.
 
     ``comments`` (post_id, created_utc) supply the first reply time; without them an
-    existing ``first_comment_utc`` column is used.
+    existing ``first_comment_utc`` column is used. ``since_col`` is the stored column that the date is
+    compared with (where ``created_utc`` is computed from it, the filter still reaches the scan).
     """
-    df = since(posts, "created_utc", since_date)
+    df = since(posts, since_col, since_date)
     if comments is not None:
         df = enrich_first_last(df, comments)
     elif "first_comment_utc" not in df.columns:

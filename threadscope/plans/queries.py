@@ -427,9 +427,9 @@ def preprocess_posts(spark, d):
     posts = o.join(c, o["o_custkey"] == c["c_custkey"], "left").select(
         F.col("o_orderkey").alias("post_id"), F.col("o_orderpriority").alias("title"),
         F.col("c_name").alias("selftext"), F.col("o_orderstatus").alias("author"),
-        epoch_seconds("o_orderdate").alias("created_utc"),
+        epoch_seconds("o_orderdate").alias("created_utc"), "o_orderdate",
         (F.col("o_totalprice") / 1000.0).alias("score"), F.lit(None).cast("bigint").alias("num_comments"))
-    out = clean_posts(posts, fx.line_comments(spark, d), since_date="1998-01-01")
+    out = clean_posts(posts, fx.line_comments(spark, d), since_date="1998-01-01", since_col="o_orderdate")
     return out.select(F.col("post_id").alias("o_orderkey"), "clean_text", _r6(F.col("engagement")).alias("engagement"),
                       _r6(F.col("latency_min")).alias("latency_min"))
 
