@@ -25,7 +25,8 @@ def labels(host: Column) -> Column:
 
 def suffixes(host: Column, sizes: list[int] | None = None) -> Column:
     """The last n labels of the host for each n of ``sizes`` that it has (default: the host and every parent
-    domain); [] of a null or empty host. With sizes, a host of many labels is only spelled out in the lengths asked for, not once per parent domain."""
+    domain); [] of a null or empty host. With sizes, a host of many labels is only spelled out in the lengths
+    asked for, not once per parent domain."""
     parts = labels(host)
     some = F.sequence(F.size(parts), F.lit(1), F.lit(-1)) if sizes is None else F.filter(
         F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size(parts))
