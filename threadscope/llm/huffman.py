@@ -216,8 +216,9 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in byte_rows(batch.column("ids")):
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=vocabulary)
+            rows = list(byte_rows(batch.column("ids")))
+            for at in range(0, len(rows), 128):  # one walk over the vocabulary per 128 rows
+                total += np.bincount(np.concatenate(rows[at:at + 128]).view("<u2"), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
@@ -227,9 +228,11 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-def write_ids(tokens: DataFrame, path: str, vocabulary: int, parts: int) -> None:
-    """Write (doc_id, ids) in ascending doc_id order as ``parts`` part files (null ids first)."""
-    lengths = code_lengths(count_ids(tokens, vocabulary))
+def write_ids(tokens: DataFrame, path: str, vocabulary: int, part_ids: int) -> None:
+    """Write (doc_id, ids) in ascending doc_id order as part files of about ``part_ids`` ids (null ids first)."""
+    counts = count_ids(tokens, vocabulary)
+    parts = max(1, round(int(counts.sum()) / part_ids))
+    lengths = code_lengths(counts)
     codes = canonical(lengths)
     sent = tokens.sparkSession.sparkContext.broadcast((lengths, codes))  # a byte and a word per id of the vocabulary
 
@@ -288,9 +291,11 @@ def read_blocks(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray
         yield part, [int(k) if h else None for k, h in zip(keys, has)], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), unpack(bits, offsets, n, table, step)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document of the files at ``path``: part, seq (its place in the part), doc_id, before (ids
-    ahead of it in the part), n_tokens, ids_crc32 and ids (u32 LE bytes)."""
+    ahead of it in the part), n_tokens, ids_crc32 and, if asked for, ids (u32 LE bytes)."""
+    fields = ["part int", "seq long", "doc_id long", "before long", "n_tokens long", "ids_crc32 long"] + ["ids binary"] * with_ids
+    names = [f.split()[0] for f in fields]
 
     def run(batches):
         for batch in batches:
@@ -299,15 +304,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 for part, keys, places, ids in read_blocks(data.tobytes()):
                     raw = [ids[places[i]:places[i + 1]].astype("<u4").tobytes() for i in range(len(keys))]
                     k = len(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), pa.array(keys, pa.int64()),
-                         pa.array(before + places[:-1], pa.int64()), pa.array(np.diff(places), pa.int64()),
-                         pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
-                        names=["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
+                    columns = [pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), pa.array(keys, pa.int64()),
+                               pa.array(before + places[:-1], pa.int64()), pa.array(np.diff(places), pa.int64()),
+                               pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.array(raw, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
                     seq, before = seq + k, before + len(ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return arrow_map(files, run, "part int, seq long, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary")
+    return arrow_map(files, run, ", ".join(fields))
 
 
 def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocabulary: int = 49408,
@@ -321,9 +327,8 @@ def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, voc
     spark = docs.sparkSession
     with small_batches(spark):  # whole texts: fewer rows at once in the JVM and in Python
         tokens = saved(tokenize(docs, tokenizer, end_id), "token-ids")
-    n = tokens.agg(F.sum(F.length("ids") / 2)).first()[0] or 0
-    write_ids(tokens, path, vocabulary, max(1, round(n / part_ids)))
-    found = saved(read_ids(spark, path).drop("ids"), "token-rows")
+        write_ids(tokens, path, vocabulary, part_ids)
+    found = saved(read_ids(spark, path, with_ids=False), "token-rows")
     per_part = found.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(
         F.col("part").alias("p"), F.coalesce(F.sum("n").over(
             Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
