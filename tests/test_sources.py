@@ -232,6 +232,32 @@ def test_snapshot_versions_and_name_list(spark, tmp_dir):
     assert lines == ["zeta", "alpha"]
 
 
+def test_writers_of_one_snapshot_at_once(spark, tmp_dir):
+    """Eight writers, three versions each, none lost or mixed, and numbers without a gap."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = os.path.join(tmp_dir, "raced")
+    with ThreadPoolExecutor(8) as pool:
+        paths = list(pool.map(lambda i: K.snapshot_then_replace(spark.range(i, i + 1).coalesce(1), base), range(24)))
+    assert sorted(paths) == sorted(f"{base}/v={n}" for n in range(1, 25))
+    for i, path in enumerate(paths):
+        assert [r[0] for r in spark.read.parquet(path).collect()] == [i]
+    assert [f for f in os.listdir(base) if f.startswith("_")] == []
+    assert K.read_latest(spark, base).count() == 1
+
+
+def test_a_writer_that_comes_late_takes_the_next_number(spark, tmp_dir, monkeypatch):
+    """Each sees no version at first, as if another had renamed between its look and its own rename."""
+    from threadscope.sources import sinks
+
+    base = os.path.join(tmp_dir, "late")
+    monkeypatch.setattr(sinks, "_versions", lambda *a, **k: [])
+    paths = [K.snapshot_then_replace(spark.range(i, i + 1), base) for i in range(3)]
+    monkeypatch.undo()
+    assert [p[-3:] for p in paths] == ["v=1", "v=2", "v=3"]
+    assert [spark.read.parquet(p).first()[0] for p in paths] == [0, 1, 2]
+
+
 def test_append_candidates(spark, tmp_dir):
     out = os.path.join(tmp_dir, "cands")
     df = spark.createDataFrame([("als", "x")], "name string, matched_term string")

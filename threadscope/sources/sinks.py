@@ -5,6 +5,7 @@ are written from a range-sorted frame, so the part files concatenate in order.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,13 +74,27 @@ def snapshot_then_replace(df: DataFrame, path: str, fmt: str = "parquet") -> str
     """K6: write a new version ``path/v=<n+1>``; earlier versions stay as snapshots.
 
     A plan that still reads version n is never overwritten under it. Returns the
-    written path.
+    written path. Rows go to a hidden folder of this writer's own, which one rename makes the
+    next version. Of writers that want the same number one gets it: the rename of the others puts
+    their folder, still hidden, below the version that is there, and they take it out again and try
+    the next number. So no version is lost or mixed on file systems whose rename is one step (HDFS,
+    POSIX); an object store needs a committer of its own. A failed write leaves its hidden folder.
     """
     spark = df.sparkSession
+    root, own = path.rstrip("/"), f"_write-{uuid.uuid4().hex}"
+    df.write.mode("error").format(fmt).save(f"{root}/{own}")
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source = hpath(f"{root}/{own}")
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     n = (_versions(spark, path, whole=False) or [0])[-1] + 1
-    target = f"{path.rstrip('/')}/v={n}"
-    df.write.mode("error").format(fmt).save(target)
-    return target
+    while True:
+        target = hpath(f"{root}/v={n}")
+        if not fs.exists(target) and fs.rename(source, target):
+            inside = hpath(target, own)
+            if not fs.exists(inside):
+                return f"{root}/v={n}"
+            source = inside  # another writer was first; the next rename takes the folder out again
+        n += 1
 
 
 def read_latest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
