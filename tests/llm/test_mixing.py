@@ -86,3 +86,29 @@ def test_mixed_rows_are_whole_and_repeat(spark):
         k = (r["doc_id"], r["source"], len((r["text"] or "").encode().split()))
         seen[k] = seen.get(k, 0) + 1
     assert seen == {k: n for k, n in plan.items() if n}
+
+
+def test_ranges_spread_whatever_the_script(spark):
+    """4,000 texts almost without ASCII letters beside 4,000 of nothing else, in one source."""
+    rows = [(i, "日本語 の 文書 " * 9 if i % 2 else "plain letters here " * 9, "s") for i in range(8000)]
+    measured = mixing.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    ranged = measured.withColumn("key", mixing.sampling_key()).selectExpr("doc_id % 2 AS kind", "floor(ln(key) * 256) AS r")
+    for kind in (0, 1):
+        sizes = [r["count"] for r in ranged.where(f"kind = {kind}").groupBy("r").count().collect()]
+        assert len(sizes) > 500 and max(sizes) < 30
+    check(rows, mixing.mix(measured).collect())
+
+
+def test_order_of_the_sample_is_that_of_the_keys(spark):
+    """The fractional part holds the smallest keys of its source, found here by one sort."""
+    rows = [(i, ("日本 " if i % 3 else "letters ") * (1 + i % 7), "a" if i < 300 else "b" if i < 2500 else "c") for i in range(4000)]
+    measured = mixing.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    keys = {r["doc_id"]: r["k"] for r in measured.select("doc_id", mixing.sampling_key().alias("k")).collect()}
+    got = mixing.mix(measured).collect()
+    for s in "abc":
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: (keys[r["doc_id"]], r["doc_id"]))
+        epochs, ahead = int(mine[0]["target"] // mine[0]["source_size"]), 0
+        wanted = mine[0]["target"] - epochs * mine[0]["source_size"]
+        for r in mine:
+            assert r["copies"] == epochs + (ahead + r["size"] / 2 < wanted)
+            ahead += r["size"]

@@ -6,8 +6,10 @@ without replacement of any length. A source's target first buys complete epochs
 once more per epoch); what remains is taken from the start of the sorted list until the sizes
 reach it.
 
-Nothing is sorted per source in one task: keys are cut into fixed ranges, ``(source, range)``
-totals give each range its offset, and only the rows of one range meet in a window.
+Nothing is sorted per source in one task: keys are cut into ranges of equal width in ln(key),
+``(source, range)`` totals give each range its offset, and only the rows of one range meet in a window.
+Whatever w is, ln(key) of a document has a density of at most 1/e per unit, so with ``steps`` ranges a
+unit no range can expect more than 1 / (e * steps) of a source's documents, in any script or mix of scripts.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def sampling_key(seed: int = 0) -> Column:
 
 
 def mix(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0,
-        seed: int = 0, ranges: int = 1024) -> DataFrame:
+        seed: int = 0, steps: int = 256) -> DataFrame:
     """How often the mix takes each document: columns of ``measured`` + source_size, target, copies, taken.
 
     ``copies`` is floor(target / source_size), plus 1 for documents of the fractional part: those
@@ -98,7 +100,7 @@ def mix(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     gives an empty result. Ties of keys go to the smaller id, then to the text digest.
     """
     keyed = measured.withColumn("key", sampling_key(seed)).withColumn(
-        "range", F.floor((1 - F.exp(-F.col("key") / 2)) * ranges).cast("int"))
+        "range", F.floor(F.log("key") * steps).cast("int"))
     parts = keyed.groupBy("source", "range").agg(F.sum("size").alias("part"))
     totals = parts.groupBy("source").agg(F.sum("part").alias("source_size"))
     offsets = parts.withColumn("offset", F.coalesce(F.sum("part").over(
