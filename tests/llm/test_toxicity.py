@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -80,3 +81,61 @@ def test_score_depends_on_the_text_alone(spark):
     rows += [(100_000 + i, t, y) for i, t, y in rows]
     got = scored(spark, rows, labels)
     assert all(got[i]["score"] == got[100_000 + i]["score"] for i in range(300))
+
+
+def plain_cells(text):
+    """Words and five-byte runs by Python's own loops; the hashes are the operator's constants."""
+    low = "".join(c if c.isalnum() else " " for c in text.lower())
+    found = {T.word_hashes(np.frombuffer(w.encode(), np.uint8), T.ALNUM)[0].item() >> (64 - T.BITS) for w in low.split()}
+    padded = f" {low} ".encode()
+    for i in range(len(padded) - 4):
+        run = int.from_bytes(padded[i:i + 5], "big")
+        found.add((run * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - T.BITS)) + (1 << T.BITS))
+    return found
+
+
+def test_features_and_scores_against_plain_loops(spark):
+    rows, labels = corpus(300, seed=8)
+    y_of = {i: toxic for i, _, toxic, *_ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    cells = {i: plain_cells(t) for i, t, _ in rows}
+    n = [sum(1 for y in y_of.values() if y == k) for k in (0, 1)]
+    counts = {}
+    for i, y in y_of.items():
+        for c in cells[i]:
+            counts.setdefault(c, [0, 0])[y] += 1
+    gain = {}
+    for c, seen in counts.items():
+        g = 0.0
+        for k in (0, 1):
+            for part, whole in ((seen[k], sum(seen)), (n[k] - seen[k], sum(n) - sum(seen))):
+                if part and whole:
+                    g += 2 * part * math.log(part / (whole * n[k] / sum(n)))
+        gain[c] = g
+    chosen = sorted(c for c in sorted(gain, key=lambda c: (-gain[c], c))[:T.FEATURES] if gain[c] > 10.8)
+    assert 0 < len(chosen) < T.FEATURES
+    place = {c: i for i, c in enumerate(chosen)}
+    vector = lambda found: np.array(sorted(place[c] for c in found if c in place), int)
+    text_of, pairs = {i: t for i, t, _ in rows}, []
+    for i in y_of:
+        for a, b in T._counterfactuals(text_of[i].encode(), T.IDENTITY_TERMS):
+            pairs.append((vector(plain_cells(a.decode())), vector(plain_cells(b.decode()))))
+    weights, intercept = T.fit([(y, vector(cells[i])) for i, y in y_of.items()], pairs, len(chosen))
+    got = scored(spark, rows, labels)
+    for i, _, _ in rows:
+        z = weights[vector(cells[i])].sum() + intercept
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-z))) < 2e-3
+
+
+def test_the_sample_takes_copies_in_their_share(spark, monkeypatch):
+    """400 equal rows and 400 different ones of one label: a sample of 100 holds some of both."""
+    monkeypatch.setattr(T, "FIT_ROWS", 100)
+    rows = [(i, "word00 same same same" if i < 400 else f"word{i % 20:02d} w{i}", 0) for i in range(800)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    train = train.selectExpr("doc_id", "cast(text AS binary) text", "y")
+    chosen = np.unique(np.concatenate([T.cells_of(np.frombuffer(f"word{i:02d}".encode(), np.uint8)) for i in range(20)]))
+    texts, _ = T._fit_rows(train, chosen, T.IDENTITY_TERMS)
+    again, _ = T._fit_rows(train.repartition(7), chosen, T.IDENTITY_TERMS)
+    same = T._Lookup(chosen)(np.frombuffer(b"word00 same same same", np.uint8)).tolist()
+    equal = sum(x.tolist() == same for _, x in texts)
+    assert len(texts) == 100 and 30 <= equal <= 70
+    assert [x.tolist() for _, x in texts] == [x.tolist() for _, x in again]

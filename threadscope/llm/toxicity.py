@@ -120,24 +120,32 @@ def _counterfactuals(text: bytes, terms: Sequence[str]) -> list[tuple[bytes, byt
 
 def _fit_rows(train: DataFrame, chosen: np.ndarray, terms: Sequence[str]) -> tuple[list, list]:
     """(y, features) of at most FIT_ROWS rows of either label, and (features, features) of at most
-    FIT_SENTENCES counterfactual pairs, those whose digests come first."""
+    FIT_SENTENCES counterfactual pairs: those that come first by a digest of the document's id, of a pair
+    also its place in the text, so equal texts are in the sample as often as in the table."""
 
     def run(batches):
         look = _Lookup(chosen)
         for batch in batches:
-            y, x, pair = [], [], []
-            for text, label in zip(byte_rows(batch.column("text")), batch.column("y").to_pylist()):
+            ids, place, y, x, pair = [], [], [], [], []
+            for i, text, label in zip(batch.column("doc_id").to_pylist(), byte_rows(batch.column("text")), batch.column("y").to_pylist()):
+                ids.append(i)
+                place.append(0)
                 y.append(int(label > 0))
                 x.append(look(text).tobytes())
                 pair.append(None)
-                for a, b in _counterfactuals(text.tobytes(), terms):
+                for at, (a, b) in enumerate(_counterfactuals(text.tobytes(), terms)):
+                    ids.append(i)
+                    place.append(at)
                     y.append(2)
                     x.append(look(np.frombuffer(a, np.uint8)).tobytes())
                     pair.append(look(np.frombuffer(b, np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary()), pa.array(pair, pa.binary())], names=["y", "x", "x2"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.binary()), pa.array(pair, pa.binary())],
+                names=["doc_id", "place", "y", "x", "x2"])
 
-    rows = saved(arrow_map(train.select("text", "y"), run, "y int, x binary, x2 binary"), "fit-rows")
-    take = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("x", "x2"), "x", "x2").limit(n).collect()
+    rows = saved(arrow_map(train.select("doc_id", "text", "y"), run, "doc_id long, place int, y int, x binary, x2 binary"), "fit-rows")
+    first = [F.xxhash64("doc_id", "place"), "doc_id", "place", "x", "x2"]
+    take = lambda y, n: rows.where(F.col("y") == y).orderBy(*first).limit(n).collect()
     vector = lambda b: np.frombuffer(bytes(b), np.int16)
     texts = [(r["y"], vector(r["x"])) for y in (0, 1) for r in take(y, FIT_ROWS)]
     return texts, [(vector(r["x"]), vector(r["x2"])) for r in take(2, FIT_SENTENCES)]
