@@ -124,3 +124,19 @@ def test_items_without_id(spark):
         got = {r["doc_id"]: r for r in decontam.contamination(d, items, unnamed=True).collect()}
         assert (got[1]["contaminated"], got[1]["n_items"], got[1]["item_id"]) == (True, n, item) and not got[2]["contaminated"]
         assert [r["doc_id"] for r in decontam.without_benchmark(d, items, unnamed=True).collect()] == [2]
+
+
+def test_repeated_items_are_sent_once(spark, monkeypatch):
+    """300 repeats of one item beside others: one text in one block, and still an overlap for each of its ids."""
+    words = [f"w{i}" for i in range(400)]
+    item = " ".join(words[:30])
+    items = [(i, item) for i in range(300)] + [(1000 + i, " ".join(words[40 + 9 * i:70 + 9 * i])) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, "nothing of it")], "doc_id long, text string")
+    sent = []
+    keep = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or keep(x))
+    found = decontam.overlaps(docs, bench, whole=True).collect()
+    assert sorted({r["item_id"] for r in found}) == list(range(300)) and {r["doc_id"] for r in found} == {1}
+    texts = [t for x in sent if isinstance(x, tuple) and len(x) == 4 for t in x[1]]
+    assert len(texts) == len(set(texts)) == 31

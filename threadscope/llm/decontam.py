@@ -174,13 +174,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("dig"), text.alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")).dropna(
         subset=["text"] if unnamed else ["item_id", "text"])
-    total = items.agg(F.sum(F.length("text") / 4)).first()[0] or 0
+    items = saved(items.withColumn("item", F.xxhash64("text")), "items")
+    # equal items are looked for once, so that repeats neither fill a block nor are sent many times
+    texts = items.groupBy("item").agg(F.min("text").alias("text"))
+    total = texts.agg(F.sum(F.length("text") / 4)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    schema = "doc_id long, dig long, item_id long, first_word long, n_words long, n_matched long, item_word long"
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(blocks)))
+    schema = "doc_id long, dig long, item long, first_word long, n_words long, n_matched long, item_word long"
     out = None
     for b in range(blocks):
-        part = dealt.where(F.col("block") == b).orderBy("item_id").select("item_id", "text").collect()  # bounded
+        part = dealt.where(F.col("block") == b).orderBy("item").select("item", "text").collect()  # bounded
         index = spark.sparkContext.broadcast(([r[0] for r in part], [bytes(r[1]) for r in part], least, whole))
 
         def run(batches, index=index):
@@ -191,11 +194,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, id_col: str
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("dig").take(at),
                      *(pa.array([f[k] for f in found], pa.int64()) for k in range(1, 6))],
-                    names=["doc_id", "dig", "item_id", "first_word", "n_words", "n_matched", "item_word"])
+                    names=["doc_id", "dig", "item", "first_word", "n_words", "n_matched", "item_word"])
 
         found = arrow_map(rows, run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(items.select("item", "item_id"), "item").select(
+        "doc_id", "dig", "item_id", "first_word", "n_words", "n_matched", "item_word")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 13, unnamed: bool = False) -> DataFrame:
