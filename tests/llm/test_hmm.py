@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -8,6 +9,7 @@ import pytest
 
 from tests.llm import hostile
 from threadscope.llm import hmm
+from threadscope.llm.common import SPACED, word_hashes
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -65,6 +67,52 @@ def test_chunk_borders_and_long_texts(monkeypatch):
     assert whole[2].sum() == pytest.approx(sum(map(len, texts)))
 
 
+def test_expected_counts_over_chunk_borders_equal_a_plain_forward_and_backward_pass(monkeypatch):
+    m = model(4, 9, 2)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n) for n in (700, 1, 63, 64, 65, 2, 128, 129, 64)]
+    starts, moves, emits = np.zeros(4), np.zeros((4, 4)), np.zeros((4, 9))
+    for t in texts:
+        n = len(t)
+        alpha, beta = np.empty((n, 4)), np.ones((n, 4))
+        for i, x in enumerate(t):
+            alpha[i] = (alpha[i - 1] @ m.move if i else m.start) * m.emit[:, x]
+            alpha[i] /= alpha[i].sum()
+        for i in reversed(range(n - 1)):
+            beta[i] = m.move @ (m.emit[:, t[i + 1]] * beta[i + 1])
+            beta[i] /= beta[i].sum()
+        for i, x in enumerate(t):
+            post = alpha[i] * beta[i]
+            emits[:, x] += post / post.sum()
+            if i:
+                pair = alpha[i - 1][:, None] * m.move * (m.emit[:, x] * beta[i])
+                moves += pair / pair.sum()
+            else:
+                starts += post / post.sum()
+    for slab in (4096, 7, 1):
+        monkeypatch.setattr(hmm, "_SLAB", slab)
+        a, b, c, _ = hmm._Chunks(texts).expected(m)
+        assert a == pytest.approx(starts) and b == pytest.approx(moves) and c == pytest.approx(emits)
+
+
+def test_a_training_round_costs_little_beside_hashing_the_words():
+    """Four rounds read every token: with states as the last axis of the arrays one took several times the hashing."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 8258, 400) for _ in range(500)]
+    texts = [np.frombuffer(" ".join(f"{x:05d}" for x in w).encode(), np.uint8) for w in words]
+    chunks, m = hmm._Chunks(words), hmm.Model.initial(np.full(8258, 1 / 8258))
+
+    def cost(f):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            f()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    assert cost(lambda: chunks.expected(m)) < 1.5 * cost(lambda: [word_hashes(t, SPACED) for t in texts])
+
+
 def test_training_raises_the_likelihood(spark):
     rng = np.random.default_rng(5)
     texts = [(rng.integers(0, 8, 200) + 8 * (i % 2)).astype("<u2").tobytes() for i in range(60)]

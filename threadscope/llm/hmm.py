@@ -70,25 +70,37 @@ class _Chunks:
         self.begins = np.zeros(n, bool)
         self.begins[self.first] = True
 
+    def _slabs(self, model: Model):
+        """Some chunks at a time, longest first: (rows, symbols (steps x chunks), how many chunks reach each
+        step, which begin a text, emission probabilities (states x steps x chunks)). States come before chunks
+        in all arrays, so that every step works on long contiguous rows."""
+        order = np.argsort(-self.used, kind="stable")
+        for s in range(0, len(order), _SLAB):
+            rows = order[s:s + _SLAB]
+            used = self.used[rows]
+            steps = int(used[0])
+            reach = len(rows) - np.searchsorted(used[::-1], np.arange(steps), side="right")
+            symbols = np.ascontiguousarray(self.symbols[rows, :steps].T, np.intp)
+            yield rows, symbols, reach.tolist(), self.begins[rows], model.emit.take(symbols, axis=1)
+
     def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Scaled matrix product of every chunk and the log of its scale."""
         n, k = len(self.symbols), len(model.start)
         out, log = np.empty((n, k, k)), np.zeros(n)
-        for s in range(0, n, _SLAB):
-            rows = slice(s, s + _SLAB)
-            m = np.broadcast_to(np.eye(k), (len(self.used[rows]), k, k)).copy()
-            for t in range(int(self.used[rows].max())):
-                new = (m.reshape(-1, k) @ model.move).reshape(m.shape)
-                if t == 0:
-                    new[self.begins[rows]] = m[self.begins[rows]]
-                new *= model.emit.T[self.symbols[rows, t]][:, None, :]
-                inside = t < self.used[rows]
-                m = new if inside.all() else np.where(inside[:, None, None], new, m)
-                if t % 16 == 15 or t == CHUNK - 1:
-                    scale = m.sum((1, 2))
-                    m /= scale[:, None, None]
+        into = np.ascontiguousarray(model.move.T)
+        for rows, _, reach, begins, seen in self._slabs(model):
+            m = np.where(begins, np.eye(k)[:, :, None], model.move[:, :, None]) * seen[:, 0]
+            new = np.empty_like(m)
+            for t, on in enumerate(reach):
+                now = m[:, :, :on]
+                if t:
+                    np.matmul(into, now, out=new[:, :, :on])
+                    np.multiply(new[:, :, :on], seen[:, t, :on], out=now)
+                if t % 16 == 15 or t == len(reach) - 1:
+                    scale = m.sum((0, 1))
+                    m /= scale
                     log[rows] += np.log(scale)
-            out[rows] = m
+            out[rows] = m.transpose(2, 0, 1)
         return out, log
 
     def log_likelihood(self, model: Model) -> np.ndarray:
@@ -123,39 +135,40 @@ class _Chunks:
             leave[at] = now[on]
             new = (products[at] @ now[on][:, :, None])[:, :, 0]
             now[on] = new / new.sum(1, keepdims=True)
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1]))
-        for s in range(0, n, _SLAB):
-            rows = slice(s, s + _SLAB)
-            used, symbols, begins = self.used[rows], self.symbols[rows], self.begins[rows]
-            steps = int(used.max())
-            m = len(used)
-            seen = model.emit.T[symbols[:, :steps]]  # rows x steps x states
-            before, ahead = np.empty((steps, m, k)), enter[rows]
-            alpha = np.empty((steps, m, k))
-            for t in range(steps):
-                before[t] = ahead @ model.move
-                if t == 0:
-                    before[0][begins] = ahead[begins]
-                a = before[t] * seen[:, t]
-                prior, ahead = ahead, a / a.sum(1, keepdims=True)
-                ahead = np.where((t < used)[:, None], ahead, prior)
-                alpha[t] = ahead
-            beta = leave[rows]
+        width = model.emit.shape[1]
+        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, width))
+        into = np.ascontiguousarray(model.move.T)
+        for rows, symbols, reach, begins, seen in self._slabs(model):
+            steps, m = symbols.shape
+            alpha, scale = np.empty((steps, k, m)), np.empty((steps, m))
+            entered = np.ascontiguousarray(enter[rows].T)
+            for t, on in enumerate(reach):
+                a = alpha[t, :, :on]
+                if t:
+                    np.matmul(into, alpha[t - 1, :, :on], out=a)
+                else:
+                    a[:] = np.where(begins, entered, into @ entered)
+                a *= seen[:, t, :on]
+                a /= a.sum(0, out=scale[t, :on])
+            # backward vectors have the forward scale and alpha . beta = 1 where a chunk ends, so that it is 1 everywhere
+            beta = np.ascontiguousarray(leave[rows].T)
+            post, done = np.zeros((k, steps, m)), 0
             for t in reversed(range(steps)):
-                inside = t < used
-                post = alpha[t] * beta
-                post /= post.sum(1, keepdims=True)
-                post[~inside] = 0
-                np.add.at(emits.T, symbols[inside, t], post[inside])
-                weighted = seen[:, t] * beta
-                came = alpha[t - 1] if t else enter[rows]
-                moving = inside if t else inside & ~begins
-                norm = (before[t] * weighted).sum(1)
-                moves += (came[moving] / norm[moving, None]).T @ weighted[moving]
-                if t == 0:
-                    starts += post[begins].sum(0)
-                new = weighted @ model.move.T
-                beta = np.where(inside[:, None], new / new.sum(1, keepdims=True), beta)
+                on = reach[t]
+                beta[:, done:on] /= (alpha[t, :, done:on] * beta[:, done:on]).sum(0)
+                done = on
+                np.multiply(alpha[t, :, :on], beta[:, :on], out=post[:, t, :on])
+                weighted = seen[:, t, :on] * beta[:, :on]
+                weighted /= scale[t, :on]
+                if t:
+                    moves += alpha[t - 1, :, :on] @ weighted.T
+                    np.matmul(model.move, weighted, out=beta[:, :on])
+                else:
+                    moves += entered[:, ~begins] @ weighted[:, ~begins].T
+                    starts += post[:, 0, begins].sum(1)
+            at = symbols.reshape(-1)
+            for z in range(k):
+                emits[z] += np.bincount(at, post[z].reshape(-1), width)
         return starts, moves * model.move, emits, float(total.sum())
 
 
